@@ -25,7 +25,7 @@ def per_file(files: DataFrame, work: Callable[[str | None, str | None], dict], f
     kept = ["file_id", "ingested_at", *keep]
     slim = files.select(*kept, "display_path", "text")
     schema = StructType([*[slim.schema[c] for c in kept], *_parse_datatype_string(fields).fields])
-    arrow = to_arrow_schema(_parse_datatype_string(fields), timezone="UTC")
+    arrow = to_arrow_schema(_parse_datatype_string(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import syntax
+from sievework.llm import functions, syntax
 
-MODULES = [syntax]
+MODULES = [functions, syntax]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
