@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import credentials, functions, syntax
+from sievework.llm import credentials, functions, provenance, syntax
 
-MODULES = [functions, syntax, credentials]
+MODULES = [functions, provenance, syntax, credentials]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
