@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import credentials, functions, provenance, syntax
+from sievework.llm import credentials, functions, personal, provenance, syntax
 
-MODULES = [functions, provenance, syntax, credentials]
+MODULES = [functions, provenance, syntax, credentials, personal]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
