@@ -228,10 +228,10 @@ def addresses(text: str) -> Iterator[Entity]:
 
 # ---- names
 
-_BEFORE = re.compile(rf"(?<![\w@.\-/])((?:[^\W\d_][\w'’\-]*)|[^\W\d_]\.(?:[ \-]?[^\W\d_]\.)*){_GAP}(?:[^\W\d_]\.{_GAP})?((?:(?:{'|'.join(sorted(PARTICLES))}){_GAP}){{0,2}})$", re.I)
+_BEFORE = re.compile(rf"(?<![\w@.\-/])((?:[^\W\d_](?:[\w'’\-]*\w)?)|[^\W\d_]\.(?:[ \-]?[^\W\d_]\.)*){_GAP}(?:[^\W\d_]\.{_GAP})?((?:(?:{'|'.join(sorted(PARTICLES))}){_GAP}){{0,2}})$", re.I)
 _PARTICLE_BEFORE = re.compile(rf"(?<![\w@.\-/])(?:(?:{'|'.join(sorted(PARTICLES))}){_GAP}){{1,2}}$", re.I)
-_AFTER_COMMA = re.compile(rf"(?:{_GAP}[^\W\d_][\w'’\-]*)?,{_GAP}((?:[^\W\d_]\.(?=\W))|[^\W\d_][\w'’\-]*)(?![\w@]|\.\w)")
-_AFTER = re.compile(rf"{_GAP}([^\W\d_][\w'’\-]*)(?![\w@]|\.\w)")
+_AFTER_COMMA = re.compile(rf"(?:{_GAP}[^\W\d_][\w'’\-]*)?,{_GAP}((?:[^\W\d_]\.(?=\W))|[^\W\d_](?:[\w'’\-]*\w)?)(?![\w@]|\.\w)")
+_AFTER = re.compile(rf"{_GAP}([^\W\d_](?:[\w'’\-]*\w)?)(?![\w@]|\.\w)")
 _INITIAL = re.compile(r"(?:[^\W\d_]\.[ \-]?)+$")
 
 
