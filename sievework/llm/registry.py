@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import credentials, functions, leakage, personal, provenance, syntax
+from sievework.llm import credentials, functions, leakage, packing, personal, provenance, syntax
 
-MODULES = [functions, provenance, syntax, credentials, leakage, personal]
+MODULES = [functions, provenance, syntax, credentials, leakage, personal, packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
