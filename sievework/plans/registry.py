@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import deliveries
+from sievework.plans import deliveries, reports
 
-MODULES = [deliveries]
+MODULES = [deliveries, reports]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return deliveries.p6_profile(spark, folder)
+    return reports.flagship(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
