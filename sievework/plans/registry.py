@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import deliveries, reports
+from sievework.plans import analysis, deliveries, reports
 
-MODULES = [deliveries, reports]
+MODULES = [deliveries, reports, analysis]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
