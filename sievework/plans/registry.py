@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import analysis, deliveries, reports
+from sievework.plans import analysis, deliveries, outputs, reports
+from sievework.streaming import deliveries as streams
 
-MODULES = [deliveries, reports, analysis]
+MODULES = [deliveries, reports, analysis, outputs, streams]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
