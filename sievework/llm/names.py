@@ -16,6 +16,7 @@ import numpy as np
 
 BUCKETS = 1 << 15
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_ADDRESS = re.compile(r"\S*(?:@|\(at\)|\[at\])\S*", re.I)
 _LOCAL = re.compile(r"([\w.%\-]+)(?:\+[\w\-]+)?\s?(?:@|\(at\)|\[at\])", re.I)
 PARTICLES = frozenset("von van de der den del della di da dos du la le zu zum ter ten af av bin ibn".split())
 
@@ -119,18 +120,19 @@ def train(texts: list[str], contact_lines: list[str], given_names: list[str], ro
     lower: Counter[str] = Counter()
     title: Counter[str] = Counter()
     for text in texts:
-        words = WORD.findall(text)
+        words = WORD.findall(_ADDRESS.sub(" ", text))
         lower.update(w for w in words if w.islower())
         title.update(w.lower() for w in words if w[0].isupper() and not w.isupper())
     families = Counter({w: n for w, n in families.items() if lower[w] <= 3 + title[w]})
     # a given name that is also an everyday word stays a given name: what follows it decides
     given |= {w for w in firsts if w not in families and (lower[w] <= 3 + title[w] or firsts[w] > 2)}
-    ordinary = {w for w, n in lower.items() if n > 3 + 2 * title[w] and w not in families and len(w) > 1}
+    ordinary = {w for w, n in lower.items() if n >= 3 and n > title[w] / 2 and w not in families and len(w) > 1}
     positives, negatives = sorted(families), sorted(w for w in ordinary | (set(lower) & set(title)) if w not in families and len(w) > 3)
     towns = sorted({w.lower() for text in texts for w in re.findall(r"\d[\w.]*,? (?:[NSEW]\. )?([A-ZÀ-Þ][\w\-]{3,}) ?[A-Z\d]?", text)} - set(families))
     seconds = sorted(w for w in given if w not in families)
     examples = [(_grams(w), 1.0) for w in positives] + [(_grams(w), 0.0) for w in [*negatives, *towns, *seconds]]
     weights = np.zeros(BUCKETS + 1)
+    weights[BUCKETS] = -1.0  # most words are no names
     if positives and negatives:
         order = sorted(range(len(examples)), key=lambda i: zlib.crc32(str(i).encode()))
         share = len(positives) / len(examples)

@@ -69,7 +69,7 @@ _NUMBER = re.compile(
     rf"|(?P<insee>[12](?P<is>[ ])\d\d(?P=is)\d\d(?P=is)(?:\d\d|2[AB])(?P=is)\d{{3}}(?P=is)\d{{3}}(?P=is)\d\d|[12]\d{{4}}(?:\d\d|2[AB])\d{{8}})"
     rf"|(?P<idnr>\d\d \d{{3}} \d{{3}} \d{{3}})"
     rf"|(?P<nif>(?:\d{{8}}|[XYZ]\d{{7}})-?[A-Z])"
-    rf"|(?P<nino>[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d\d ?\d\d ?\d\d ?[A-D])"
+    rf"|(?P<nino>[A-Z]{{2}} \d\d ?\d\d ?\d\d ?[A-D]|(?:QQ|[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z])\d{{6}}[A-D])"
     rf"|(?P<card>[3-6]\d{{3}}(?:[ \-]?\d{{4}}){{2}}[ \-]?\d{{1,7}}|3\d{{3}}[ \-]?\d{{6}}[ \-]?\d{{4,5}})"
     rf")(?![\w@]|[.\-/:]\d)"
 )
@@ -81,7 +81,7 @@ _NOT_PERSONAL = re.compile(r"(?i)(?:\b(?:order|orders|build|ticket|tickets|run|j
 
 
 # A run of digits that can hold a number of any kind, and keywords of which one precedes a value without form.
-_RUN = re.compile(r"[+(]?\d(?:[\d ().\-/+AB]|\r?\n(?:> ?)?){6,30}[\dA-Z]")
+_RUN = re.compile(r"[+(]?\d(?:[\d ().\-/+AB]|\r?\n(?:> ?)?){5,30}[\dA-Z]")
 _DATE = re.compile(r"(?:\d{4}-\d\d-\d\d(?![\d\-])|\d{1,3}\.\d{1,3}\.\d{1,3}(?:\.\d+)? ?-)")
 _KEYWORDS = ("medical rec", "health rec", "social sec", "tax id", "tax no", "tax number", "steuer", "idnr", "id-nr", "insee", "fiscal", "sozialvers", "svnr", "national ins", "ausweis", "cédula", "cedula", "identit", "passport", "reisepass", "pasaporte", "passeport", "patient")
 _SHORT_KEYWORDS = tuple(w for k in "mrn ssn tin itin ein nif nie dni nir nino".split() for w in (f"{k.upper()} ", f"{k.upper()}:", f" {k}:", f" {k}=", f"{k.title()}:"))
@@ -137,7 +137,8 @@ def _candidates(text: str) -> Iterator[re.Match]:
             at = _DATE.match(text, low).end()
             continue
         at = high
-        if sum(c.isdigit() for c in run.group()) < 7:
+        # six digits suffice where letters belong to the number
+        if sum(c.isdigit() for c in run.group()) < (6 if run.group()[-1].isalpha() else 7):
             continue
         place = max(0, low - 4)
         while True:

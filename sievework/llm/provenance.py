@@ -33,7 +33,7 @@ _DEPENDENCIES = re.compile(r"(?:^|/)(?:vendor|third[_\-]?party|thirdparty|extern
 _LOCK_NAME = re.compile(r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|composer\.lock|[\w.]+[\-.]lock\.(?:ya?ml|json)|bun\.lockb?|deno\.lock)$", re.I)
 _LOCK_TEXT = re.compile(r"^\s*[\"']?lockfile(?:Version|Format)[\"']?\s*:", re.M)
 _PACKED = re.compile(r"__webpack_require__|/\*{6}/|\bparcelRequire\b|System\.register\(\[|^//# sourceMappingURL=", re.M)
-_COMMENT = re.compile(r"/\*[\s\S]*?\*/|//[^\n]*")
+_STRING_OR_COMMENT = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`)|/\*[\s\S]*?\*/|//[^\n]*")
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|\b0[xX][0-9a-fA-F]+|-?\b\d[\d.eE_]*")
 _CONTROL = re.compile(r"\b(?:function|return|if|for|while|switch|try|await|class)\b|=>")
 _EXTERNAL_SCRIPTS = re.compile(r"(?:^|/)(?:js|javascripts?|scripts|static|public)/(?:ext|external|libs?|plugins|vendors?)/")
@@ -41,6 +41,11 @@ _EXTERNAL_SCRIPTS = re.compile(r"(?:^|/)(?:js|javascripts?|scripts|static|public
 _PUBLISHED = re.compile(r"\A\s*(?:[\"']use strict[\"'];?\s*)?(?:[;!+]?\(?function\s*\((?:root|global|window|self|globalThis)\s*,?\s*\w*\)\s*\{|(?:var|const|let) VERSION = [\"']\d+\.\d+\.\d+[\"'];)")
 
 
+def uncommented(text: str) -> str:
+    """Text without comments; what looks like one in a string stays."""
+    return _STRING_OR_COMMENT.sub(lambda m: m.group(1) or "", text)
+
+
 def head_lines(text: str) -> list[str]:
     """Lines of the comments in front of the code, without comment marks."""
     out = []
@@ -58,7 +63,7 @@ def head_lines(text: str) -> list[str]:
 def shapes(text: str) -> list[str]:
     """Lines of code with names, numbers and strings levelled."""
     out = []
-    for line in _COMMENT.sub("", text).split("\n"):
+    for line in uncommented(text).split("\n"):
         line = line.strip()
         if line:
             line = _LITERAL.sub("0", line)
@@ -79,7 +84,7 @@ def is_numbered(text: str) -> bool:
 
 def is_table(text: str) -> bool:
     """Whether nearly all of the code is literals: data stored as code."""
-    code = _COMMENT.sub("", text)
+    code = uncommented(text)
     bare = re.sub(r"\s+", "", code)
     if len(bare) < 400:
         return False
@@ -93,7 +98,7 @@ def is_table(text: str) -> bool:
 
 def is_message_map(text: str) -> bool:
     """Whether one object of equally shaped entries makes up the file, its keys being strings made by a tool."""
-    lines = [x for x in _COMMENT.sub("", text).split("\n") if x.strip()]
+    lines = [x for x in uncommented(text).split("\n") if x.strip()]
     rows = [x for x in lines if re.match(r"\s*[\"'][^\"']+\.\d+[\"']\s*:\s*\[[^\]]*\],?\s*$", x)]
     return len(rows) >= 4 and len(rows) >= 0.5 * len(lines)
 
@@ -102,7 +107,7 @@ def is_minified(text: str) -> bool:
     """Whether most of the text stands in very long lines that hold many statements of short names.
 
     A hand-written file with a few long literals is none, since literals do not count."""
-    code = _LITERAL.sub("0", _COMMENT.sub("", text))
+    code = _LITERAL.sub("0", uncommented(text))
     lines = [x for x in code.split("\n") if x.strip()]
     size = sum(map(len, lines))
     if size < 200:
@@ -115,7 +120,7 @@ def is_minified(text: str) -> bool:
     names = re.findall(r"[A-Za-z_$][\w$]*", joined)
     marks = len(re.findall(r"[;{}]", joined))
     blanks = joined.count(" ")
-    return marks >= len(joined) / 60 and blanks < 0.12 * len(joined) and bool(names)
+    return marks >= len(joined) / 60 and blanks < 0.16 * len(joined) and bool(names)
 
 
 def own_marks(text: str, path: str) -> str | None:
@@ -133,7 +138,7 @@ def own_marks(text: str, path: str) -> str | None:
         return "minified"
     if _BANG.match(text.lstrip("﻿ \r\n")) or any(_BANNER.match(line) for line in head[:12]):
         return "vendored"
-    if _DEPENDENCIES.search(path) or _EXTERNAL_SCRIPTS.search(path) or _PUBLISHED.match(_COMMENT.sub("", text).lstrip("﻿")):
+    if _DEPENDENCIES.search(path) or _EXTERNAL_SCRIPTS.search(path) or _PUBLISHED.match(uncommented(text).lstrip("﻿")):
         return "vendored"
     if is_table(text):
         return "data"
@@ -146,7 +151,7 @@ def own_marks(text: str, path: str) -> str | None:
 
 def leaf_hash(text: str) -> int:
     """Hash of a script without comments and white space, so that a banner, a licence or line ends do not matter."""
-    bare = re.sub(r"\s+", "", _COMMENT.sub("", text).lstrip("﻿"))
+    bare = re.sub(r"\s+", "", uncommented(text).lstrip("﻿"))
     return int.from_bytes(hashlib.blake2b(bare.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
@@ -154,7 +159,7 @@ def _marks(text: str | None, path: str | None) -> dict:
     if text is None or path is None:
         return {"mark": None, "leaf": None, "weight": 0, "shown": path}
     script = path.rsplit(".", 1)[-1].lower() in DIALECTS
-    bare = len(re.sub(r"\s+", "", _COMMENT.sub("", text))) if script else 0
+    bare = len(re.sub(r"\s+", "", uncommented(text))) if script else 0
     return {"mark": own_marks(text, path), "leaf": leaf_hash(text) if script and bare else None, "weight": bare, "shown": path}
 
 

@@ -84,6 +84,7 @@ class Parser:
         self.in_class_field = False
         self.ambient = dialect.ambient
         self.no_arrow_type = False
+        self.logical = 0
         pos = 0
         if text.startswith("﻿"):
             pos = 1
@@ -539,7 +540,7 @@ class Parser:
             self.identifier()
         elif self.at("{"):
             self.specifiers(True)
-        elif not named or True:
+        else:
             self.fail()
         self.from_clause(True)
         return True
@@ -887,7 +888,7 @@ class Parser:
             if self.typed and self.at("<"):
                 self.type_parameters()
             self.parameters()
-            if self.typed and self.eat(":"):
+            if self.typed and not self.no_arrow_type and self.eat(":"):
                 self.type(returns=True)
             if not self.at("=>") or self.nl:
                 raise ParseError(self.s, "")
@@ -937,8 +938,21 @@ class Parser:
         target = self.binary(0)
         if self.t == PUNCT and self.v == "?":
             self.next()
-            self.with_in(self.assignment)
-            self.want(":")
+            state = self.save() if self.typed else None
+            try:
+                self.with_in(self.assignment)
+                self.want(":")
+            except ParseError:
+                if state is None or self.no_arrow_type:
+                    raise
+                # what seemed the return type of an arrow function may be the other branch
+                self.restore(state)
+                self.no_arrow_type = True
+                try:
+                    self.with_in(self.assignment)
+                    self.want(":")
+                finally:
+                    self.no_arrow_type = False
             self.assignment()
             return False
         return target
@@ -958,22 +972,27 @@ class Parser:
             if self.t == PUNCT:
                 level = _BINARY.get(v)
                 if level is None or level <= least:
+                    self.logical = mixed
                     return target
             elif self.t == NAME:
                 if v == "instanceof" or v == "in" and not self.no_in:
                     level = 8
                     if level <= least:
+                        self.logical = mixed
                         return target
                 elif self.typed and v in ("as", "satisfies") and not self.nl:
                     if least >= 8:
+                        self.logical = mixed
                         return target
                     self.next()
                     if not self.eat("const"):
                         self.type()
                     continue
                 else:
+                    self.logical = mixed
                     return target
             else:
+                self.logical = mixed
                 return target
             if level <= 3:
                 kind = 1 if level == 1 else 2
@@ -982,6 +1001,8 @@ class Parser:
                 mixed = kind
             self.next()
             self.binary(level - 1 if v == "**" else level)
+            if level == 1 and self.logical == 2:
+                self.fail("?? mixed with || or &&")
             target = False
 
     def unary(self) -> bool:
@@ -1329,9 +1350,7 @@ class Parser:
         if self.typed and text.startswith("<", at):
             self.e = at
             self.next()
-            kept = self.match
             self.type_arguments()
-            self.match = kept
             at = self.s
         if not name:
             at = self._need(self._space(at), ">")
