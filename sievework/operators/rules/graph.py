@@ -78,7 +78,7 @@ def cycle_findings(edge: DataFrame) -> DataFrame:
     return _rows(rows, "design.circular-import", "Files import each other in a circle.", F.lit(1), F.array_join("files", " -> "))
 
 
-def concentration(files: DataFrame, config: Config, least_files: int = 5, least_lines: int = 200) -> DataFrame:
+def concentration(files: DataFrame, config: Config, least_files: int = 4, least_lines: int = 80) -> DataFrame:
     """The largest script of each repository if it holds more than the threshold of its lines, in per cent."""
     scripts = files.where(F.col("is_script") & F.col("text").isNotNull() & ~F.col("file_path").rlike(TEST) & ~F.col("file_path").rlike(r"\.d\.[cm]?ts$"))
     lines = scripts.select("repo", "file_path", (F.regexp_count("text", F.lit("\n")) + 1).alias("n"))

@@ -12,7 +12,7 @@ from sievework.operators.rules.perfile import Raw
 _SHELL = re.compile(r"\b(?:curl|wget)\b[^\n|;&]*https?://[^\n|;&]*\|\s*(?:sudo\s+)?(?:sh|bash|zsh)\b", re.I)
 _URL_SPEC = re.compile(r"^(?:https?://|git(?:\+https?|\+ssh)?://|ssh://|github:|gitlab:|bitbucket:|file:|git@[^:]+:[^/]+/|[\w.-]+/[\w.-]+(?:#.+)?$)", re.I)
 _LIFECYCLE = ("preinstall", "install", "postinstall", "prepare", "prepublish", "prepublishOnly")
-_WRITE_SCOPES = frozenset("actions checks contents deployments id-token issues packages pull-requests security-events statuses".split())
+_WRITE_SCOPES = frozenset("actions checks contents deployments issues packages pull-requests repository-projects security-events statuses".split())
 _JSONC = re.compile(r'"(?:[^"\\\n]|\\.)*"|//[^\n]*|/\*[\s\S]*?\*/|,(?=(?:\s|//[^\n]*|/\*[\s\S]*?\*/)*[}\]])')
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -153,7 +153,7 @@ def identifiers(f: File) -> list[tuple[str, int, str]]:
     return list(dict.fromkeys(out))
 
 
-_PLACEHOLDER_STEMS = frozenset("arg bar baz data elem el foo item obj param res result temp thing tmp val value var".split())
+_PLACEHOLDER_STEMS = frozenset("arg bar baz data fixture foo item mock obj object param stub temp test thing tmp value var".split())
 _STATES = frozenset("acknowledged exists validated detected resolved selected installed".split())
 _STATE_ENDS = ("Available", "Required", "Validated", "Detected", "Resolved", "Selected", "Installed")
 
@@ -182,7 +182,7 @@ def names(f: File) -> Iterator[Raw]:
     booleans = [(m.group(1), f.lexed.line(m.start()), False) for m in re.finditer(rf"\b(?:const|let|var|public|private|protected)\s+({_ID})\??(?:\s*:\s*boolean|\s*=\s*(?:true|false)\b)", f.lexed.masked)]
     for m in re.finditer(rf"\binterface\s+{_ID}[^{{]*\{{([^}}]*)\}}", f.lexed.masked):
         booleans += [(g.group(1), f.lexed.line(m.start(1) + g.start(1)), True) for g in _FIELD.finditer(m.group(1)) if re.match(r"\s*boolean\b", g.group(2))]
-    prefix = re.compile(r"^(?:" + "|".join(sorted(c.boolean_prefixes)) + r")[A-Z_]", re.I if False else 0)
+    prefix = re.compile(r"^(?:" + "|".join(sorted(c.boolean_prefixes)) + r")[A-Z_]", 0)
     for name, line, is_field in booleans:
         if not prefix.match(name) and name.lower() not in _STATES and not name.endswith(_STATE_ENDS) and not (is_field and name.lower() in c.accepted_boolean_names):
             yield Raw("naming.boolean-prefix", line, "A boolean's name is no statement.", name)
@@ -205,7 +205,7 @@ def names(f: File) -> Iterator[Raw]:
 # ---- comments
 
 
-_TRACKED = re.compile(r"#\d+|\b[A-Z]{2,}-\d+\b|https?://|\bADR-\d+|\bGH-\d+|\bM\d{1,3}\b|@[A-Za-z][\w-]+|\b\d{4}-\d\d-\d\d\b|\(([A-Za-z][\w-]*)\)")
+_TRACKED = re.compile(r"(?i:https?://|\bGH-\d+\b|\bADR-\d{3}\b|\bowner\s*:)|(?:^|\s)#\d+\b|\bM\d{1,3}\b|\b\d{4}-\d\d-\d\d\b")
 _REASON = re.compile(r"\b(?:because|intentional|false positive|tracked in|M\d{1,3}|ADR-\d{3}|GH-\d+)\b|\breason\s*:|(?:^|\s)#\d+\b|https?://|\s--\s", re.I)
 _SUPPRESSION = re.compile(r"\b(eslint-disable(?:-next-line|-line)?|biome-ignore|oxlint-disable|istanbul ignore|c8 ignore|v8 ignore|prettier-ignore)\b", re.I)
 _USEFUL = re.compile(r"\b(?:because|why|intentional|tradeoff|compat|avoid|preserve|invariant|contract|side effect|throws|writes|reads|persists|fallback|recover|stable|deterministic|schema|fingerprint)\b", re.I)
@@ -245,13 +245,12 @@ def comments(f: File) -> Iterator[Raw]:
         if other and re.search(r"[A-Z].*[A-Z]|[a-z][A-Z]|[_$]|\d", other.group(1)) and other.group(1) != b.name:
             yield Raw("docs.stale-comment", c.line, "The comment names another symbol.", b.name, metadata={"named": other.group(1)})
     if not f.is_test:
-        for n, (raw, code) in enumerate(zip(f.lines, f.code_lines), 1):
+        for n, code in enumerate(f.code_lines, 1):
             m = re.search(rf"\b(?:const|let|var)\s+({_ID}{_THRESHOLD_NAME}[\w$]*|{_THRESHOLD_NAME}[\w$]*)\b[^=\n]*=\s*(-?\d+(?:\.\d+)?)", code, re.I)
             if m and float(m.group(2)) not in (-1, 0, 1, 2):
                 near = " ".join(c.text for c in f.comments if c.line <= n <= c.end_line or c.end_line == n - 1)
                 if not re.search(r"\b(?:threshold|limit|cap|budget|tuned|default|because|empirical)\b", near, re.I):
                     yield Raw("docs.magic-threshold-without-rationale", n, "A limit is set without a reason.", m.group(1))
-            del raw
 
 
 @rule
@@ -323,7 +322,7 @@ _SOURCES = (("request", r"\b(?:req|request|ctx|event)\.(?:body|query|params|head
 _SINKS = (
     ("security.dynamic-regexp", r"\b(?:new\s+)?RegExp\s*\("),
     ("security.open-redirect-candidate", r"\b(?:res|response|reply)\.redirect\s*\(|\blocation\.(?:assign|replace)\s*\(|\blocation(?:\.href)?\s*=(?!=)"),
-    ("security.path-traversal-candidate", r"\b(?:fs(?:\.promises)?\.)?(?:readFile|readFileSync|writeFile|writeFileSync|appendFile|appendFileSync|createReadStream|createWriteStream|unlink|unlinkSync|readdir|readdirSync|rm|rmSync|stat|statSync|open|openSync)\s*\("),
+    ("security.path-traversal-candidate", r"\b(?:fs(?:\.promises)?\.)?(?:readFile|readFileSync|writeFile|writeFileSync|appendFile|appendFileSync|createReadStream|createWriteStream|unlink|unlinkSync|stat|statSync|readdir|readdirSync|rm|rmSync|mkdir|mkdirSync)\s*\("),
     ("security.ssrf-candidate", r"\b(?:fetch|axios(?:\.\w+)?|https?\.(?:get|request))\s*\("),
     ("security.unsafe-deserialization", r"\b(?:eval|Function|unserialize|yaml\.load|vm\.run\w*)\s*\("),
     ("security.xxe-candidate", r"\b(?:libxml\w*\.)?parseXml(?:String)?\s*\([^)]*(?:noent|dtdload)|processEntities\s*:\s*true|resolveEntity"),
@@ -338,8 +337,7 @@ def flows(f: File) -> Iterator[Raw]:
     scopes = sorted((b.declaration_line, b.start_line + b.line_count - 1) for b in f.blocks)
     tainted: dict[str, tuple[str, int]] = {}
     scope = None
-    flat_only = frozenset({"security.unsafe-deserialization", "security.xxe-candidate"})
-    for n, (raw, code) in enumerate(zip(f.lines, f.code_lines), 1):
+    for n, code in enumerate(f.code_lines, 1):
         now = next((s for s in reversed(scopes) if s[0] <= n <= s[1]), None)
         if now != scope:
             scope, tainted = now, {}
@@ -374,8 +372,3 @@ def flows(f: File) -> Iterator[Raw]:
                     name = part.split(":")[-1].split("=")[0].strip()
                     if re.fullmatch(_ID, name):
                         tainted[name] = (source or used[0], 0 if source else used[1] + 1)
-    del flat_only
-
-
-def counts(findings: list[dict]) -> Counter:
-    return Counter(x["rule_id"] for x in findings)

@@ -6,10 +6,10 @@ import re
 from dataclasses import dataclass
 
 # Folders that are left out when they are the first part of a path. Fixed values.
-DEFAULT_FOLDERS = frozenset(".cache .git .hg .idea .next .svn .turbo build coverage dist node_modules out tmp vendor".split())
+DEFAULT_FOLDERS = frozenset(".git .hg .svn .idea .vscode build cache coverage dist generated node_modules target tmp vendor".split())
 SCRIPT_EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
 TEXT_EXTENSIONS = ("conf", "config", "env", "ini", "json", "toml", "xml", "yaml", "yml")
-TEXT_NAMES = (".npmrc", ".yarnrc", ".editorconfig", ".gitignore")
+TEXT_NAMES = (".npmrc", ".pypirc", ".envrc", ".netrc")
 
 
 def kind_of(path: str) -> str | None:

@@ -37,7 +37,7 @@ def parse_yaml(text: str):
         if bare.strip():
             if "\t" in bare[: len(bare) - len(bare.lstrip())]:
                 raise ConfigError(f"line {n}: a tab indents")
-            if re.search(r":\s*[&*|>](?:\s|$)|:\s*\{.+\}", bare):
+            if re.search(r":\s+(?:[&*]\S|[|>])|:\s*\{.+\}", bare):
                 raise ConfigError(f"line {n}: not supported here: {bare.strip()}")
             lines.append((n, len(bare) - len(bare.lstrip(" ")), bare.strip()))
     at = 0
