@@ -79,7 +79,9 @@ class NameModel:
         if any(c.isupper() for c in word[1:]) and not word.isupper() and "-" not in word:
             return False  # a name of code
         grams = _grams(low)
-        return bool(self.weights[grams].sum() / len(grams) ** 0.5 + self.weights[BUCKETS] > 0)
+        # a capital is evidence too; and a family name counts only beside a given name or an initial
+        least = -0.75 if word[:1].isupper() and not word.isupper() else 0.0
+        return bool(self.weights[grams].sum() / len(grams) ** 0.5 + self.weights[BUCKETS] > least)
 
     def is_given(self, word: str) -> bool:
         low = word.lower()

@@ -17,7 +17,7 @@ from sievework.llm.names import PARTICLES, WORD, NameModel, train
 from sievework.shared import materialise, table
 
 # Bound of the labelled sample that the name classifier is fitted on, and of the length of a text in it.
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 2_000
 SAMPLE_CHARS = 4_000
 
 _GAP = r"(?:[ \t]+|[ \t]*\r?\n[ \t]*(?:[>*#|\-]+[ \t]*)?)"
