@@ -19,14 +19,14 @@ from sievework.operators.rules import graph as G
 from sievework.operators.rules import lines as L
 from sievework.operators.rules.manifests import bins, manifest_findings
 from sievework.operators.rules.perfile import File, file_findings
-from sievework.shared import materialise
+from sievework.shared import materialise, spread
 
 _BLOCK = "struct<name string, params string, start_line int, line_count int, body string, code_body string, is_public boolean, is_exported boolean, is_test boolean, has_leading_comment boolean, declaration_line int>"
 _FIELDS = f"code string, blocks array<{_BLOCK}>, comments array<struct<kind string, text string, line int, end_line int, start int, end int>>, imports array<struct<specifier string, line int, parents int, type_only boolean>>, bins array<struct<name string, target string, line int>>, found array<struct<rule_id string, line int, message string, symbol string, severity string, metadata_json string>>, diagnostic struct<message string, line int>"
 
 
-def scan_text(text: str | None, path: str, is_script: bool, config: Config) -> dict:
-    """Everything that one file yields by itself."""
+def scan_text(text: str | None, path: str, is_script: bool, config: Config, rules: bool = True) -> dict:
+    """Everything that one file yields by itself; without ``rules`` what its lexer yields, without findings."""
     empty = {"code": None, "blocks": [], "comments": [], "imports": [], "bins": [], "found": [], "diagnostic": None}
     if text is None:
         return empty | {"diagnostic": {"message": "the file cannot be read", "line": None}}
@@ -38,15 +38,15 @@ def scan_text(text: str | None, path: str, is_script: bool, config: Config) -> d
     wrong = lexing.delimiter_error(lexed.masked)
     return {
         "code": lexed.masked, "blocks": [asdict(b) for b in blocks], "comments": [asdict(c) for c in comments], "imports": [asdict(i) for i in lexing.imports(lexed)], "bins": [],
-        "found": file_findings(File(path, text, lexed, blocks, comments, config)), "diagnostic": {"message": f"unmatched {wrong[0]}", "line": wrong[1]} if wrong else None,
+        "found": file_findings(File(path, text, lexed, blocks, comments, config)) if rules else [], "diagnostic": {"message": f"unmatched {wrong[0]}", "line": wrong[1]} if wrong else None,
     }
 
 
-def scanned(files: DataFrame, config: Config = Config()) -> DataFrame:
+def scanned(files: DataFrame, config: Config = Config(), rules: bool = True) -> DataFrame:
     """``files`` (repo, file_path, is_script, text) with masked code, blocks, comments, imports and the findings of rules
-    that need a whole file. One Arrow pass where the files are read; nothing is shuffled."""
+    that need a whole file. One Arrow pass where the files are read; only a table in very few parts is spread first."""
     kept = ["repo", "file_path", "is_script", "text"]
-    slim = files.select(*kept)
+    slim = spread(files.select(*kept), "repo", "file_path")
     fields = _parse_datatype_string(_FIELDS)
     schema = StructType([*slim.schema.fields, *fields.fields])
     arrow = to_arrow_schema(fields)
@@ -54,7 +54,7 @@ def scanned(files: DataFrame, config: Config = Config()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            rows = [scan_text(text, path or "", bool(script), config) for _, path, script, text in zip(*columns)]
+            rows = [scan_text(text, path or "", bool(script), config, rules) for _, path, script, text in zip(*columns)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[f.name] for r in rows], type=f.type) for f in arrow)], names=[*kept, *arrow.names])
 
     return slim.mapInArrow(run, schema)
@@ -106,5 +106,5 @@ def analyse(files: DataFrame, config: Config = Config(), baseline: DataFrame | N
 
 def diagnostics(files: DataFrame, config: Config = Config()) -> DataFrame:
     """Files that cannot be read, and brackets that close what is not open."""
-    rows = scanned(files, config).where(F.col("diagnostic").isNotNull())
+    rows = scanned(files, config, rules=False).where(F.col("diagnostic").isNotNull())
     return rows.select("repo", "file_path", "diagnostic.message", "diagnostic.line")

@@ -9,7 +9,8 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 from sievework.functions.lexing import Block, Comment, Lexed, parameter_names
 from sievework.operators.catalog import RULES, Config
@@ -25,15 +26,12 @@ class File:
     blocks: list[Block]
     comments: list[Comment]
     config: Config
-    _lines: list[str] = field(default_factory=list)
 
-    @property
+    @cached_property
     def lines(self) -> list[str]:
-        if not self._lines:
-            self._lines = re.split(r"\r?\n", self.text)
-        return self._lines
+        return re.split(r"\r?\n", self.text)
 
-    @property
+    @cached_property
     def code_lines(self) -> list[str]:
         return re.split(r"\r?\n", self.lexed.masked)
 
@@ -327,6 +325,10 @@ _SINKS = (
     ("security.unsafe-deserialization", r"\b(?:eval|Function|unserialize|yaml\.load|vm\.run\w*)\s*\("),
     ("security.xxe-candidate", r"\b(?:libxml\w*\.)?parseXml(?:String)?\s*\([^)]*(?:noent|dtdload)|processEntities\s*:\s*true|resolveEntity"),
 )
+_SOURCES = tuple((kind, re.compile(p)) for kind, p in _SOURCES)
+_SINKS = tuple((rule_id, re.compile(p)) for rule_id, p in _SINKS)
+_ANY_SINK = re.compile("|".join(p.pattern for _, p in _SINKS))
+_NAMES = re.compile(_ID)
 _DEEPEST_ALIAS = 2
 
 
@@ -334,6 +336,8 @@ _DEEPEST_ALIAS = 2
 def flows(f: File) -> Iterator[Raw]:
     """Outside data that reaches a sink: in the same statement, or by a variable of the same function, over two names
     at most. A name that is given harmless data is harmless from there on."""
+    if not _ANY_SINK.search(f.lexed.masked):
+        return
     scopes = sorted((b.declaration_line, b.start_line + b.line_count - 1) for b in f.blocks)
     tainted: dict[str, tuple[str, int]] = {}
     scope = None
@@ -343,13 +347,13 @@ def flows(f: File) -> Iterator[Raw]:
             scope, tainted = now, {}
         if not code.strip():
             continue
-        source = next((kind for kind, p in _SOURCES if re.search(p, code)), None)
-        used = next((tainted[v] for v in re.findall(_ID, code) if v in tainted), None)
+        source = next((kind for kind, p in _SOURCES if p.search(code)), None)
+        used = next((tainted[v] for v in _NAMES.findall(code) if v in tainted), None) if tainted else None
         for rule_id, p in _SINKS:
-            for m in re.finditer(p, code):
+            for m in p.finditer(code):
                 segment = code[m.end() : m.end() + 240].split(";")[0] if rule_id != "security.dynamic-regexp" else code[m.end() : m.end() + 240].split(")")[0]
-                kind = next((k for k, s in _SOURCES if re.search(s, segment)), None)
-                alias = next((tainted[v][0] for v in re.findall(_ID, segment) if v in tainted), None)
+                kind = next((k for k, s in _SOURCES if s.search(segment)), None)
+                alias = next((tainted[v][0] for v in _NAMES.findall(segment) if v in tainted), None)
                 if rule_id == "security.unsafe-deserialization" and re.search(r"safe", segment, re.I):
                     continue
                 if rule_id == "security.xxe-candidate" and not (kind or alias):

@@ -14,11 +14,17 @@ from sievework.shared import table
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of the tables, each path once, by its last delivery."""
+    """The files of the tables, each path by its last delivery.
+
+    Only the few deliveries that are not the last are gathered, and left out by an anti join whose small side the
+    planner sends around, so that the texts stay where they are. A delivery that is repeated as it is stays repeated;
+    findings become distinct later.
+    """
     rows = table(spark, folder, "files").select("file_id", "repo", F.col("display_path").alias("file_path"), "is_script", "text", "mode", "ingested_at")
-    last = rows.groupBy("repo", "file_path").agg(F.max_by(F.struct("file_id", "ingested_at"), F.struct("ingested_at", "file_id")).alias("_k"))
-    keys = last.select("repo", "file_path", "_k.file_id", "_k.ingested_at")
-    return rows.join(keys, ["repo", "file_path", "file_id", "ingested_at"], "left_semi").dropDuplicates(["repo", "file_path"])
+    when = F.struct("ingested_at", "file_id")
+    per_path = rows.groupBy("repo", "file_path").agg(F.max(when).alias("_last"), F.collect_set(when).alias("_all")).where(F.size("_all") > 1)
+    stale = per_path.select("repo", "file_path", "_last", F.explode("_all").alias("_k")).where(F.col("_k") != F.col("_last")).select("repo", "file_path", "_k.file_id", "_k.ingested_at")
+    return rows.join(stale, ["repo", "file_path", "file_id", "ingested_at"], "left_anti")
 
 
 def analysis(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +65,7 @@ def block_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
     own = files(spark, folder)
-    imports = A.scanned(own.where("is_script")).select("repo", "file_path", F.inline("imports"))
+    imports = A.scanned(own.where("is_script"), rules=False).select("repo", "file_path", F.inline("imports"))
     return graph.edges(imports, own.select("repo", "file_path"))
 
 
@@ -72,15 +78,15 @@ def import_cycles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def comments(spark: SparkSession, folder: str) -> DataFrame:
-    return A.scanned(files(spark, folder).where("is_script")).select("repo", "file_path", F.inline("comments"))
+    return A.scanned(files(spark, folder).where("is_script"), rules=False).select("repo", "file_path", F.inline("comments"))
 
 
 def extracted_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return A.scanned(files(spark, folder).where("is_script")).select("repo", "file_path", F.inline("blocks"))
+    return A.scanned(files(spark, folder).where("is_script"), rules=False).select("repo", "file_path", F.inline("blocks"))
 
 
 def masked_files(spark: SparkSession, folder: str) -> DataFrame:
-    return A.scanned(files(spark, folder).where("is_script")).select("repo", "file_path", F.sha2("code", 256).alias("code_hash"), F.length("code").alias("n_chars"))
+    return A.scanned(files(spark, folder).where("is_script"), rules=False).select("repo", "file_path", F.sha2("code", 256).alias("code_hash"), F.length("code").alias("n_chars"))
 
 
 def diagnostics(spark: SparkSession, folder: str) -> DataFrame:

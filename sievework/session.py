@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from sievework.shared import ship
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -19,4 +21,6 @@ def session(name: str = "sievework", **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     for key, value in {**DEFAULTS, **settings}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark

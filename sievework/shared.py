@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,38 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     _written.append((spark, path))
     df.write.mode("error").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A table below this size per core may lie in fewer splits than there are cores.
+_SMALL_PER_CORE = 16 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many partitions as there are cores, for work that is heavy per row, if it is small and lies in few
+    files. Large tables stay as they are. The hash of the keys spreads the rows, which a lost task repeats in the same
+    way. Size and files come from the plan's statistics; nothing is run for them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * _SMALL_PER_CORE and len(df.inputFiles()) < cores else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package known to the Python workers, once per application.
+
+    Workers on this machine get its folder on their path; those of a cluster get the package as an archive.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parent.parent
+    if context.master.startswith("local"):
+        known = context.environment.get("PYTHONPATH", "")
+        if str(root) not in known.split(os.pathsep):
+            context.environment["PYTHONPATH"] = os.pathsep.join([str(root), *([known] if known else [])])
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="sievework-"), "sievework"), "zip", root, "sievework")
+    context.addPyFile(archive)
