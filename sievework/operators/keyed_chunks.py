@@ -53,12 +53,16 @@ def numbered_rows(df: DataFrame, keys: list[str], order_by: list[str], chunk_row
 
     Rows that are equal in ``order_by`` come in no particular order among themselves, but each gets its own number; a
     null key is a key of its own. No row is dropped; input without rows gives no rows. The result is a written table in
-    the shared folder, whose partitions are equal-sized whatever the distribution of keys. ``df`` must not have columns
-    of the four names used here.
+    the shared folder, whose partitions are equal-sized whatever the distribution of keys. Columns of ``df`` that are named
+    like the new ones come out with "_in" behind their names.
     """
-    clash = {PART, LOCAL, ROW, CHUNK} & set(df.columns)
-    if clash:
-        raise ValueError(f"rename the columns {sorted(clash)}")
+    for name in (PART, LOCAL, ROW, CHUNK):
+        if name in df.columns:
+            free = f"{name}_in"
+            while free in df.columns:
+                free += "_in"
+            df = df.withColumnRenamed(name, free)
+            keys, order_by = ([free if c == name else c for c in names] for names in (keys, order_by))
     spark = df.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(count, *keys, *order_by).sortWithinPartitions(*keys, *order_by)

@@ -106,8 +106,12 @@ def test_heavy_keys_and_empty_table(spark):
     heavy = chunks.heavy_keys(numbered(spark, rows), ["k"], len(rows), 0.04)
     assert {r["k"] for r in heavy.collect()} == {"hot", "c"} - ({"c"} if 6 < 0.04 * len(rows) else set())
     assert numbered(spark, []).count() == 0
-    with pytest.raises(ValueError):
-        chunks.numbered_rows(spark.createDataFrame([("a", 1)], "k string, key_row int"), ["k"], ["k"], 5)
+
+
+def test_clashing_names_are_kept_beside_the_new_ones(spark):
+    df = spark.createDataFrame([("a", 7, 8, 9), ("a", 6, 8, 9)], "k string, key_row int, key_chunk int, _part int")
+    got = chunks.numbered_rows(df, ["k"], ["key_row"], 1).orderBy("key_row").collect()
+    assert [(r["key_row"], r["key_row_in"], r["key_chunk"], r["key_chunk_in"], r["_part_in"]) for r in got] == [(1, 6, 0, 8, 9), (2, 7, 1, 8, 9)]
 
 
 def test_all_rows_equal(spark):
