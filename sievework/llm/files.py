@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from sievework.shared import spread
+
 
 def last_delivered(rows: DataFrame, key: str = "file_id", when: str = "ingested_at") -> DataFrame:
     """One row per key: the one with the latest ``when``; among equal ones the larger hash of the row holds. Rows
@@ -23,7 +25,7 @@ def per_file(files: DataFrame, work: Callable[[str | None, str | None], dict], f
     """``work(text, display_path)`` of every row of ``files``, where the row is read; its dictionary becomes the columns
     of ``fields``. Returns one row per file_id, that of its last delivery, with the columns of ``keep``."""
     kept = ["file_id", "ingested_at", *keep]
-    slim = files.select(*kept, "display_path", "text")
+    slim = spread(files.select(*kept, "display_path", "text"), "file_id")
     schema = StructType([*[slim.schema[c] for c in kept], *_parse_datatype_string(fields).fields])
     arrow = to_arrow_schema(_parse_datatype_string(fields))
 

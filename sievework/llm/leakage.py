@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.shared import table
+from sievework.shared import spread, table
 
 PASSAGE = 20
 EDIT_SHARE = 8
@@ -192,7 +192,7 @@ def leaked(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             pairs = [(keys[doc], item.item_id) for item in items for doc in sorted(shard.search(item)) if keys[doc] is not None]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], type=pa.int64()), pa.array([p[1] for p in pairs], type=pa.int64())], names=["doc_id", "item_id"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long").distinct()
+    return spread(documents.select(F.col("doc_id").cast("long"), "text"), "doc_id").mapInArrow(run, "doc_id long, item_id long").distinct()
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.files import last_delivered
-from sievework.shared import materialise, table
+from sievework.shared import materialise, spread, table
 
 CAPACITY = 2048
 VOCABULARY = os.environ.get("SIEVEWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -101,7 +101,7 @@ def sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             counts = [count_tokens(text, vocabulary) if text else 0 for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, type=pa.int64())], names=["doc_id", "ingested_at", "n_tokens"])
 
-    slim = documents.select(F.col("doc_id").cast("long"), F.col("ingested_at").cast("timestamp"), "text")
+    slim = spread(documents.select(F.col("doc_id").cast("long"), F.col("ingested_at").cast("timestamp"), "text"), "doc_id")
     return last_delivered(slim.mapInArrow(run, "doc_id long, ingested_at timestamp, n_tokens long"), "doc_id")
 
 

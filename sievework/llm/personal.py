@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.files import last_delivered
 from sievework.llm.names import PARTICLES, WORD, NameModel, train
-from sievework.shared import materialise, table
+from sievework.shared import materialise, spread, table
 
 # Bound of the labelled sample that the name classifier is fitted on, and of the length of a text in it.
 SAMPLE_ROWS = 2_000
@@ -322,7 +322,8 @@ def detected(documents: DataFrame, model: NameModel) -> DataFrame:
                 out.append([{"line_no": text.count("\n", 0, e.start) + 1, "kind": e.kind, "entity": text[e.start : e.end], "start": e.start, "stop": e.end} for e in entities(text, names_model)] if text else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, type=struct)], names=["doc_id", "ingested_at", "found"])
 
-    rows = documents.select("doc_id", F.col("ingested_at").cast("timestamp").alias("ingested_at"), "text").mapInArrow(run, schema)
+    slim = spread(documents.select("doc_id", F.col("ingested_at").cast("timestamp").alias("ingested_at"), "text"), "doc_id")
+    rows = slim.mapInArrow(run, schema)
     return last_delivered(rows, "doc_id").select("doc_id", F.inline("found"))
 
 
