@@ -50,16 +50,18 @@ def _forget() -> None:
             return
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Cuts the lineage: writes ``df`` as a compressed table into the shared folder and reads it back.
 
     Unlike ``checkpoint()`` the copy is columnar and compressed, so that later readers prune columns. A lost executor
-    costs nothing, since the copy does not live on it.
+    costs nothing, since the copy does not live on it. ``by`` names a column of few values that becomes a folder each, so
+    that a filter on it reads the matching files only.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/sievework-{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    df.write.mode("error").option("compression", "zstd").parquet(path)
+    writer = df.write.mode("error").option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
