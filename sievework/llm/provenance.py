@@ -172,14 +172,15 @@ def merkle_nodes(leaves: DataFrame) -> DataFrame:
     """
     mixed = F.xxhash64("hash", F.lit("child"))
     level = leaves.select("repo", "path", F.size(F.split("path", "/")).alias("depth"), "hash", "weight")
-    level = materialise(level, "merkle-leaves")  # every level is written, so that no plan holds those below it
+    # leaves are filed by depth and every level is written, so that a step reads its own level and no plan holds others
+    level = materialise(level, "merkle-leaves", by="depth")
     deepest = level.agg(F.max("depth")).first()[0] or 0
     nodes, pending = level, level.where(F.col("depth") == deepest)
     for depth in range(deepest, 1, -1):
         parents = pending.groupBy("repo", F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("path")).agg(
-            F.xxhash64(F.sum(mixed.bitwiseAND(F.lit((1 << 40) - 1))), F.bit_xor(mixed), F.count(F.lit(1))).alias("hash"), F.sum("weight").alias("weight")
+            F.xxhash64(F.sum(mixed.bitwiseAND(F.lit((1 << 40) - 1))), F.bit_xor(mixed), F.count(F.lit(1))).alias("hash"), F.sum("weight").alias("weight"), (F.max("depth") - 1).alias("depth")
         )
-        parents = materialise(parents.select("repo", "path", F.lit(depth - 1).alias("depth"), "hash", "weight"), "merkle-level")
+        parents = materialise(parents.select("repo", "path", "depth", "hash", "weight"), "merkle-level")
         nodes = nodes.unionByName(parents)
         pending = level.where(F.col("depth") == depth - 1).unionByName(parents)
     return nodes
