@@ -67,7 +67,9 @@ def top_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def complexity_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    clusters = G.complexity_clusters(_findings(spark, folder).withColumn("rule_id", _as_correlated()))
+    """Folders take the part of symbols, since the tables' symbols hardly repeat."""
+    rows = _findings(spark, folder).withColumns({"rule_id": _as_correlated(), "symbol": S.dir_name(F.col("file_path")), "file_path": F.col("repo")})
+    clusters = G.complexity_clusters(rows)
     return clusters.withColumn("rule_ids", F.array_join("rule_ids", ","))
 
 
@@ -160,9 +162,9 @@ def identifier_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def card_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    """Card numbers without separators in texts, by issuer; check digit and prefix decide."""
-    runs = F.explode(F.regexp_extract_all("text", F.lit(r"(?<![0-9])([0-9]{13,19})(?![0-9])"), F.lit(1)))
-    numbers = table(spark, folder, "documents").select(runs.alias("number"))
+    """Card numbers in texts, by issuer; check digit and prefix decide."""
+    runs = F.explode(F.regexp_extract_all("text", F.lit(r"([0-9](?:[ -]?[0-9]){12,18})"), F.lit(1)))
+    numbers = table(spark, folder, "documents").select(runs.alias("raw")).select(F.regexp_replace("raw", "[ -]", "").alias("number"))
     issued = numbers.where(S.luhn(F.col("number"))).withColumn("issuer", S.card_issuer(F.col("number")))
     return issued.where(F.col("issuer").isNotNull()).groupBy("issuer").agg(F.count(F.lit(1)).alias("n"))
 
@@ -173,9 +175,9 @@ def file_lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def casing_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Symbols that occur in several spellings within a file."""
-    rows = _findings(spark, folder).where(F.col("symbol").isNotNull() & F.col("file_path").isNotNull())
-    grouped = rows.groupBy("repo", "file_path", S.normal_identifier(F.col("symbol")).alias("key")).agg(F.count_distinct("symbol").alias("spellings"))
+    """Languages of texts that a source spells in several ways, as the naming rules look at identifiers."""
+    rows = table(spark, folder, "documents").where(F.col("lang").isNotNull() & F.col("source").isNotNull())
+    grouped = rows.groupBy("source", S.normal_identifier(F.col("lang")).alias("key")).agg(F.count_distinct("lang").alias("spellings"))
     return grouped.where("spellings >= 2")
 
 
@@ -223,7 +225,7 @@ SQL = {
     "severity_grades": f"WITH d AS (SELECT * FROM (VALUES ('advisory', 1.5::DOUBLE), ('warning', 4.0::DOUBLE), ('error', 8.0::DOUBLE)) AS v(severity, w)), j AS (SELECT d.severity, count(f.finding_id) AS findings, greatest(0.0, 100 - count(f.finding_id) * any_value(w)) AS score FROM d LEFT JOIN findings f USING (severity) GROUP BY d.severity) SELECT severity, findings, score, {GRADE_SQL} AS grade FROM j",
     "top_offenders": f"WITH {PENALTY_SQL}, s AS (SELECT repo, file_path, greatest(0.0, 100 - sum(penalty)) AS score FROM p GROUP BY repo, file_path) SELECT *, {GRADE_SQL} AS grade FROM s",
     "top_rules": "SELECT rule_id, count(*) AS findings FROM findings GROUP BY rule_id ORDER BY findings DESC, rule_id LIMIT 10",
-    "complexity_clusters": f"""WITH f AS (SELECT file_path, symbol, CASE pillar WHEN 'complexity' THEN '{S.CORRELATED[0]}' WHEN 'size' THEN '{S.CORRELATED[2]}' WHEN 'maintainability' THEN '{S.CORRELATED[1]}' ELSE rule_id END AS rule_id FROM findings WHERE symbol IS NOT NULL)
+    "complexity_clusters": f"""WITH f AS (SELECT repo AS file_path, CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') WHEN file_path IS NOT NULL THEN '.' END AS symbol, CASE pillar WHEN 'complexity' THEN '{S.CORRELATED[0]}' WHEN 'size' THEN '{S.CORRELATED[2]}' WHEN 'maintainability' THEN '{S.CORRELATED[1]}' ELSE rule_id END AS rule_id FROM findings WHERE file_path IS NOT NULL)
         SELECT file_path, symbol, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rule_ids FROM f WHERE rule_id IN ({CORRELATED_SQL}) GROUP BY ALL HAVING count(DISTINCT rule_id) >= 2""",
     "rule_metadata": "SELECT f.rule_id, r.severity AS listed, r.description, count(*) AS n, count_if(f.severity IS DISTINCT FROM r.severity)::BIGINT AS n_differs FROM findings f LEFT JOIN rules r USING (rule_id) GROUP BY ALL",
     "new_since_baseline": """WITH b AS (SELECT s.repo, lower(fingerprint) AS fp, rule_id, file_path FROM finding_snapshots s JOIN (SELECT repo, min(snapshot_no) AS m FROM finding_snapshots GROUP BY repo) x ON s.repo = x.repo AND s.snapshot_no = x.m WHERE fingerprint IS NOT NULL)
@@ -248,13 +250,13 @@ SQL = {
     "secret_previews": """WITH s AS (SELECT DISTINCT symbol FROM findings WHERE symbol IS NOT NULL), c AS (SELECT symbol, unnest(string_split(symbol, '')) AS ch FROM s), k AS (SELECT symbol, ch, count(*) AS n FROM c GROUP BY ALL), e AS (SELECT symbol, round(-sum(n / length(symbol) * log2(n / length(symbol))), 6) AS bits FROM k GROUP BY symbol)
         SELECT symbol, CASE WHEN length(symbol) <= 8 THEN repeat('*', length(symbol)) ELSE left(symbol, 4) || '...' || right(symbol, 4) END || ' (redacted, ' || length(symbol) || ' chars)' AS preview, bits FROM s JOIN e USING (symbol)""",
     "identifier_words": r"SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(regexp_replace(symbol, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+')) AS word FROM findings WHERE symbol IS NOT NULL) WHERE word <> '' GROUP BY word",
-    "card_numbers": """WITH n AS (SELECT unnest(regexp_extract_all(' ' || regexp_replace(text, '[^0-9]', '  ', 'g') || ' ', ' ([0-9]{13,19}) ', 1)) AS d FROM documents),
+    "card_numbers": """WITH n AS (SELECT regexp_replace(unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9]){12,18}')), '[ -]', '', 'g') AS d FROM documents),
         c AS (SELECT d, list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN substr(d, i, 1)::INT ELSE (substr(d, i, 1)::INT * 2) // 10 + (substr(d, i, 1)::INT * 2) % 10 END)) AS total FROM n),
         i AS (SELECT CASE WHEN d LIKE '4%' AND length(d) IN (13, 16, 19) THEN 'visa' WHEN length(d) = 16 AND (left(d, 2)::INT BETWEEN 51 AND 55 OR left(d, 4)::INT BETWEEN 2221 AND 2720) THEN 'mastercard' WHEN length(d) = 15 AND left(d, 2) IN ('34', '37') THEN 'amex'
           WHEN length(d) IN (16, 19) AND (d LIKE '6011%' OR d LIKE '65%' OR left(d, 3)::INT BETWEEN 644 AND 649) THEN 'discover' WHEN length(d) = 14 AND (left(d, 3)::INT BETWEEN 300 AND 305 OR left(d, 2) IN ('36', '38', '39')) THEN 'diners' WHEN length(d) BETWEEN 16 AND 19 AND left(d, 4)::INT BETWEEN 3528 AND 3589 THEN 'jcb' END AS issuer FROM c WHERE total % 10 = 0)
         SELECT issuer, count(*) AS n FROM i WHERE issuer IS NOT NULL GROUP BY issuer""",
     "file_lengths": "SELECT file_id, ingested_at, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM files WHERE text IS NOT NULL",
-    "casing_groups": "SELECT repo, file_path, lower(regexp_replace(symbol, '[^A-Za-z0-9]', '', 'g')) AS key, count(DISTINCT symbol) AS spellings FROM findings WHERE symbol IS NOT NULL AND file_path IS NOT NULL GROUP BY ALL HAVING count(DISTINCT symbol) >= 2",
+    "casing_groups": "SELECT source, lower(regexp_replace(lang, '[^A-Za-z0-9]', '', 'g')) AS key, count(DISTINCT lang) AS spellings FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL HAVING count(DISTINCT lang) >= 2",
     "metadata_fields": "SELECT field, count(*) AS n, sum(json_extract(metadata_json, '$.' || field)::BIGINT)::BIGINT AS total FROM (SELECT metadata_json, unnest(json_keys(metadata_json)) AS field FROM findings WHERE metadata_json IS NOT NULL) GROUP BY field",
     "undocumented_params": "SELECT DISTINCT file_id, name, line, 'missing' AS kind, unnest(list_filter(params, lambda x: NOT list_contains(param_tags, x))) AS param FROM doc_exports UNION SELECT DISTINCT file_id, name, line, 'stale', unnest(list_filter(param_tags, lambda x: NOT list_contains(params, x))) FROM doc_exports",
 }

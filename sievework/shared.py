@@ -50,6 +50,10 @@ def _forget() -> None:
             return
 
 
+def forget_later(spark: SparkSession, path: str) -> None:
+    _written.append((spark, path))
+
+
 def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Cuts the lineage: writes ``df`` as a compressed table into the shared folder and reads it back.
 
@@ -59,7 +63,7 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/sievework-{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    forget_later(spark, path)
     writer = df.write.mode("error").option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

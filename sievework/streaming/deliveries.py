@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.shared import shared_folder
+from sievework.shared import forget_later, shared_folder
 
 
 def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,6 +42,7 @@ def run_to_table(counted: DataFrame, label: str, mode: str = "complete") -> Data
     every batch replaces the table, so that windows which are still open are in it."""
     spark = counted.sparkSession
     base = f"{shared_folder(spark).rstrip('/')}/stream-{label}-{os.urandom(6).hex()}"
+    forget_later(spark, base)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
