@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -88,42 +87,24 @@ def heavy_keys(numbered: DataFrame, keys: list[str], total: int, share: float) -
     return last.where(F.col("n_rows") >= F.lit(share) * F.lit(total))
 
 
-def _state(chunk: pd.DataFrame, keys: list[str], value: str) -> pd.DataFrame:
-    """A chunk's runs of equal values: how long the first, the last and the longest are, and whether it is one run."""
-    chunk = chunk.sort_values(ROW)
-    values = chunk[value].to_numpy(dtype=object)
-    codes = pd.factorize(values, use_na_sentinel=False)[0]
-    edges = np.flatnonzero(np.diff(codes)) + 1
-    bounds = np.concatenate(([0], edges, [len(codes)]))
-    lengths = np.diff(bounds)
-    out = {k: [chunk[k].iloc[0]] for k in keys}
-    out |= {CHUNK: [chunk[CHUNK].iloc[0]], "rows": [len(codes)], "runs": [len(lengths)], "first": [values[0]], "first_len": [lengths[0]], "last": [values[-1]], "last_len": [lengths[-1]], "best": [lengths.max()]}
-    return pd.DataFrame(out)
-
-
-def _merged(states: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Joins the states of a key in the order of its chunks; a run that crosses a border counts once."""
-    states = states.sort_values(CHUNK)
-    rows = runs = best = tail = 0
-    value: object = object()
-    same = lambda a, b: (pd.isna(a) and pd.isna(b)) or a == b
-    for s in states.itertuples(index=False):
-        joins = bool(rows) and same(value, s.first)
-        head = s.first_len + (tail if joins else 0)
-        best = max(best, s.best, head)
-        tail = head if s.runs == 1 else s.last_len
-        runs += s.runs - joins
-        rows += s.rows
-        value = s.last
-    out = {k: [states[k].iloc[0]] for k in keys} | {"n_rows": [rows], "n_chunks": [len(states)], "n_runs": [runs], "longest_run": [best]}
-    return pd.DataFrame(out)
-
-
 def run_profile(numbered: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per key: rows, chunks, runs of equal ``value`` in row order, and the longest run; a null is a value of its own."""
-    types = {f.name: f.dataType.simpleString() for f in numbered.schema.fields}
-    head = ", ".join(f"{k} {types[k]}" for k in keys)
-    states = numbered.groupBy(*keys, CHUNK).applyInPandas(
-        lambda pdf: _state(pdf, keys, value), f"{head}, {CHUNK} long, rows long, runs long, first {types[value]}, first_len long, last {types[value]}, last_len long, best long"
-    )
-    return states.groupBy(*keys).applyInPandas(lambda pdf: _merged(pdf, keys), f"{head}, n_rows long, n_chunks long, n_runs long, longest_run long")
+    """Per key: rows, chunks, runs of equal ``value`` in row order, and the longest run; a null is a value of its own.
+
+    Runs are found within the equal-sized chunks. Those inside a chunk are complete; the first and the last run of a chunk
+    are its boundary states, and only these are walked in the order of the chunks, so that a run that crosses borders
+    counts once. Nothing of a key is gathered in memory.
+    """
+    within = Window.partitionBy(*keys, CHUNK).orderBy(ROW)
+    same = F.lag("_v").over(within).eqNullSafe(F.col("_v")) & (F.row_number().over(within) > 1)
+    marked = numbered.select(*keys, CHUNK, ROW, F.col(value).alias("_v")).withColumn("_new", (~same).cast("long"))
+    marked = marked.withColumn("_run", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.groupBy(*keys, CHUNK, "_run").agg(F.count(F.lit(1)).alias("_len"), F.first("_v").alias("_v"))
+    last = F.max("_run").over(Window.partitionBy(*keys, CHUNK))
+    runs = materialise(runs.withColumn("_border", (F.col("_run") == 1) | (F.col("_run") == last)), "runs")
+
+    walk = Window.partitionBy(*keys).orderBy(CHUNK, "_run")
+    goes_on = (F.col("_run") == 1) & (F.row_number().over(walk) > 1) & F.lag("_v").over(walk).eqNullSafe(F.col("_v"))
+    border = runs.where("_border").withColumn("_new", (~goes_on).cast("long")).withColumn("_island", F.sum("_new").over(walk.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = border.groupBy(*keys, "_island").agg(F.sum("_len").alias("_len"), F.max(CHUNK).alias(CHUNK))
+    whole = joined.drop("_island").unionByName(runs.where("not _border").select(*keys, "_len", CHUNK))
+    return whole.groupBy(*keys).agg(F.sum("_len").alias("n_rows"), (F.max(CHUNK) + 1).alias("n_chunks"), F.count(F.lit(1)).alias("n_runs"), F.max("_len").alias("longest_run"))
