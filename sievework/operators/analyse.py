@@ -78,7 +78,7 @@ def raw_findings(files: DataFrame, config: Config = Config()) -> DataFrame:
     edge = materialise(edge, "edges")
     none = F.lit(None).cast("string")
     own = scan.select("repo", "file_path", F.inline("found")).select("repo", "file_path", "rule_id", "line", "symbol", "message", "severity", "metadata_json")
-    parts = [own, L.line_findings(lines_of(scan, True), config), L.secret_findings(lines_of(scan, False), config), L.length_findings(scan, config), B.block_findings(blocks, config), G.deep_imports(imports, config), G.cycle_findings(edge), G.concentration(files, config), G.missing_tests(files, edge), G.bin_findings(scan.select("repo", "file_path", F.inline("bins")), files)]
+    parts = [own, L.line_findings(lines_of(scan, True), config), L.secret_findings(lines_of(scan, False), config), L.length_findings(scan, config), B.block_findings(blocks, config), G.deep_imports(imports, config), G.cycle_findings(edge), G.concentration(files, config), G.missing_tests(files, edge), G.bin_findings(scan.select("repo", "file_path", F.inline("bins")), files), G.stale_paths(scan.where("is_script").select("repo", "file_path", F.inline("comments")), files)]
     out = None
     for i, part in enumerate(parts):
         part = part.select("repo", "file_path", "rule_id", F.col("line").cast("int").alias("line"), F.coalesce("symbol", none).alias("symbol"), "message", "severity", "metadata_json", F.lit(i).alias("emit_seq"))

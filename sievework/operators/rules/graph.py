@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import scalars as S
@@ -113,7 +113,14 @@ def bin_findings(bins: DataFrame, files: DataFrame) -> DataFrame:
     return _rows(missing, "design.package-bin-missing", "A manifest names a file that does not exist.", F.col("line"), F.col("name")).unionByName(_rows(plain, "design.package-bin-not-executable", "A manifest names a file that cannot be executed.", F.col("line"), F.col("name")))
 
 
-def duplicate_paths(files: DataFrame) -> DataFrame:
-    """The first of files with the same path, as discovery keeps it."""
-    first = F.row_number().over(Window.partitionBy("repo", "file_path").orderBy("file_id"))
-    return files.withColumn("_n", first).where("_n = 1").drop("_n")
+def stale_paths(comments: DataFrame, paths: DataFrame) -> DataFrame:
+    """Comments that quote a path which exists neither below the root nor beside the file: an anti join on the path.
+    Comments that speak of the past are left alone. ``comments``: repo, file_path, text, line."""
+    quoted = F.regexp_extract_all("text", F.lit(r"[`'\"]((?:\.{1,2}/|src/|bin/|scripts/|docs/|fixtures/)[A-Za-z0-9_./-]+\.(?:ts|tsx|js|json|ya?ml|toml|md|sh))[`'\"]"), F.lit(1))
+    told = comments.where(~F.col("text").rlike(r"(?i)\b(?:previously|legacy|compat|migration|ADR)\b")).select("repo", "file_path", "line", F.explode(quoted).alias("quoted"))
+    folder = S.dir_name(F.col("file_path"))
+    beside = F.when(folder == ".", F.col("quoted")).otherwise(F.concat(folder, F.lit("/"), F.col("quoted")))
+    tried = told.select("*", F.explode(F.array_distinct(F.array(S.collapsed(F.col("quoted")), S.collapsed(beside)))).alias("at"))
+    known = paths.select("repo", F.col("file_path").alias("at"), F.lit(True).alias("_there")).distinct()
+    found = tried.join(known, ["repo", "at"], "left").groupBy("repo", "file_path", "line", "quoted").agg(F.max("_there").alias("_there"))
+    return _rows(found.where(F.col("_there").isNull()), "docs.stale-comment", "The comment names a path that does not exist.", F.col("line"), F.col("quoted"))

@@ -87,6 +87,8 @@ def test_graph(spark):
     got = analysed(spark, *files)
     assert [r["symbol"] for (_, rule, _), r in got.items() if rule == "design.circular-import"] == ["a.ts -> b.ts -> d/c.ts"]
     assert not any(rule == "test-quality.missing-nearby-test" and p == "e.ts" for p, rule, _ in got)
+    stale = analysed(spark, ("src/a.ts", "// See `src/gone.ts`, `./b.ts` and 'src/b.ts'.\n// Legacy: `src/old.ts`.\n"), ("src/b.ts", ""))
+    assert [r["symbol"] for (_, rule, _), r in stale.items() if rule == "docs.stale-comment"] == ["src/gone.ts"]
     edge = spark.createDataFrame([("r", str(i), str((i + 1) % 20), "", 1, False) for i in range(20)], "repo string, src string, dst string, specifier string, line int, type_only boolean")
     assert graph.cycles(edge).count() == 0  # longer than a cycle may be
     assert graph.cycles(edge.limit(0)).count() == 0
