@@ -28,6 +28,7 @@ class Entity:
     start: int
     end: int
     kind: str
+    family_first: bool = False  # a name whose last word is the given name, without a comma to tell
 
 
 # ---- mail
@@ -276,7 +277,7 @@ def names(text: str, model: NameModel, covered: list[Entity]) -> Iterator[Entity
         m = _AFTER.match(text, high)
         if m and m.group(1).lower() in model.given and not model.is_family(m.group(1)):
             spans.append((start, m.end(1)))
-            yield Entity(start, m.end(1), "person_name")
+            yield Entity(start, m.end(1), "person_name", family_first=True)
 
 
 def entities(text: str, model: NameModel) -> list[Entity]:
@@ -304,22 +305,22 @@ def fit_names(documents: DataFrame, given_names: DataFrame, sample_rows: int = S
 
 
 def detected(documents: DataFrame, model: NameModel) -> DataFrame:
-    """One row per entity: doc_id, line_no, kind, entity, and place in characters.
+    """One row per entity: doc_id, line_no, kind, entity, place in characters, and whether a name is family-first without comma.
 
     Texts are read whole where they are stored and never shuffled. Of a text delivered again the last delivery holds.
     Null and empty texts give no rows; a null key gives none; extra columns are ignored.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded: a fixed number of weights and the words of a bounded sample
-    schema = "doc_id long, ingested_at timestamp, found array<struct<line_no int, kind string, entity string, start int, stop int>>"
-    struct = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("entity", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
+    schema = "doc_id long, ingested_at timestamp, found array<struct<line_no int, kind string, entity string, start int, stop int, family_first boolean>>"
+    struct = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("entity", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("family_first", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names_model = shared.value
         for batch in batches:
             out = []
             for text in batch.column(2).to_pylist():
-                out.append([{"line_no": text.count("\n", 0, e.start) + 1, "kind": e.kind, "entity": text[e.start : e.end], "start": e.start, "stop": e.end} for e in entities(text, names_model)] if text else [])
+                out.append([{"line_no": text.count("\n", 0, e.start) + 1, "kind": e.kind, "entity": text[e.start : e.end], "start": e.start, "stop": e.end, "family_first": e.family_first} for e in entities(text, names_model)] if text else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, type=struct)], names=["doc_id", "ingested_at", "found"])
 
     slim = spread(documents.select("doc_id", F.col("ingested_at").cast("timestamp").alias("ingested_at"), "text"), "doc_id")
@@ -342,40 +343,78 @@ def _stream(key: str, *parts: str) -> Iterator[int]:
 
 def _word_like(word: str, stream: Iterator[int], feminine: bool | None = None) -> str:
     out = "".join(_SYLLABLES[next(stream) % len(_SYLLABLES)] for _ in range(max(2, min(4, len(word) // 3 + 1))))
-    if feminine is not None:
-        out = out.rstrip("aeiou") + ("a" if feminine else "o")
+    return out if feminine is None else out.rstrip("aeiou") + ("a" if feminine else "o")
+
+
+def _cased(out: str, word: str) -> str:
+    """``out`` in the case of ``word``."""
     return out.upper() if word.isupper() and len(word) > 1 else out.title() if word[:1].isupper() else out
 
 
-def normalised(kind: str, entity: str) -> str:
-    """What two mentions of the same entity share: numbers without separators, names in order and lower case."""
+_NAME_PART = re.compile(r"\w+(?:['’\-]\w+)*")
+_POSSESSIVE = re.compile(r"['’]s(?![\w'’\-])", re.I)
+
+
+def _name_parts(entity: str, family_first: bool = False) -> tuple[list[re.Match], int]:
+    """The words of a name as they are written, without a possessive ending, and how many of them stand in front of the
+    given name."""
+    places = [m for m in _NAME_PART.finditer(_POSSESSIVE.sub("  ", entity))]
+    if "," in entity:
+        return places, sum(m.start() < entity.index(",") for m in places)
+    return places, len(places) - 1 if family_first else 0
+
+
+def normalised(kind: str, entity: str, family_first: bool = False) -> str:
+    """What two mentions of the same entity share: numbers without separators, the words of names in lower case with the
+    given name in front."""
     if kind in ("phone", "id_number"):
         return re.sub(r"[^0-9A-Za-z+]", "", entity).upper()
-    bare = re.sub(r"\s+", " ", entity).strip().lower()
-    if kind == "person_name" and "," in bare:
-        family, _, given = bare.partition(",")
-        bare = f"{given.strip()} {family.strip()}"
+    if kind == "person_name":
+        places, before = _name_parts(entity, family_first)
+        words = [m.group().lower().replace("’", "'") for m in places]
+        return " ".join(words[before:] + words[:before])
+    bare = re.sub(rf"{_GAP}|\s+", " ", entity).strip().lower()
     if kind == "email":
         bare = re.sub(r"\s*[(\[{]\s*(?:at|ät)\s*[)\]}]\s*", "@", bare)
         bare = re.sub(r"\s*[(\[{]\s*(?:dot|punkt|punto|point)\s*[)\]}]\s*", ".", bare)
     return bare
 
 
-def surrogate(kind: str, entity: str, key: str = _KEY, attempt: int = 0) -> str:
+def _name_surrogate(norm: str, stream: Iterator[int]) -> list[str]:
+    """A word in lower case for every word of a normalised name; the given name is the first and keeps its gender's ending."""
+    out: list[str] = []
+    for i, word in enumerate(norm.split(" ")):
+        if word in PARTICLES:
+            out.append(word)
+        elif len(word) == 1:
+            out.append(chr(ord("a") + next(stream) % 26))
+        else:
+            out.append(_word_like(word, stream, word.endswith(("a", "e", "ie", "ine")) if i == 0 else None))
+    return out
+
+
+def surrogate(kind: str, entity: str, key: str = _KEY, attempt: int = 0, family_first: bool = False) -> str:
     """A keyed replacement of the same type and form: digits for digits (with a right check digit for cards), words of
-    the same case and number, a given name with the ending of the same gender, a mail address in a reserved domain."""
-    s = _stream(key, kind, normalised(kind, entity), str(attempt))
+    the same case and number, a given name with the ending of the same gender, a mail address in a reserved domain.
+
+    What is drawn depends on the normalised entity only; a mention adds its order, case and separators."""
+    norm = normalised(kind, entity, family_first)
+    s = _stream(key, kind, norm, str(attempt))
     if kind == "email":
         return "".join(_SYLLABLES[next(s) % len(_SYLLABLES)] for _ in range(5)) + f"{next(s)}@example.net"
     if kind in ("phone", "id_number"):
-        keep = re.match(r"\+\d{1,2}|00\d\d", entity)
-        head = keep.end() if keep and kind == "phone" else 0
+        # the country code stays, of which 1 and 7 have one digit
+        keep = re.match(r"\+(?:[17]|\d{1,2})|00(?:[17]|\d\d)", norm)
+        kept = len(_digits(keep.group())) if keep and kind == "phone" else 0
         out = list(entity)
-        for i in range(head, len(out)):
-            if out[i].isdigit():
+        for i, c in enumerate(out):
+            if c.isdigit() and kept:
+                kept -= 1
+            elif c.isdigit():
                 out[i] = str(next(s) % 10)
-            elif out[i].isalpha() and kind == "id_number":
-                out[i] = chr(ord("A") + next(s) % 26) if out[i].isupper() else out[i]
+            elif c.isascii() and c.isalpha() and kind == "id_number":
+                letter = chr(ord("A") + next(s) % 26)
+                out[i] = letter if c.isupper() else letter.lower()
         digits = [i for i, c in enumerate(out) if c.isdigit()]
         if kind == "id_number" and 13 <= len(digits) <= 19 and luhn(_digits(entity)):
             for last in "0123456789":
@@ -383,39 +422,53 @@ def surrogate(kind: str, entity: str, key: str = _KEY, attempt: int = 0) -> str:
                 if luhn("".join(out[i] for i in digits)):
                     break
         return "".join(out)
-    first = True
+    if kind == "person_name":
+        places, before = _name_parts(entity, family_first)
+        words = _name_surrogate(norm, s)
+        n, at, made = len(places), 0, []
+        for i, m in enumerate(places):
+            new, word = words[(i - before) % n], m.group()
+            made += [entity[at : m.start()], word if word.lower() in PARTICLES else new.upper() if len(word) == 1 else _cased(new, word)]
+            at = m.end()
+        return "".join([*made, entity[at:]])
 
     def change(m: re.Match) -> str:
-        nonlocal first
         word = m.group()
         if word.lower() in PARTICLES or kind == "address" and re.fullmatch(_EN_TYPES + r"|(?i:rue|avenue|bd|place|chemin|calle|avda|plaza|paseo|bis|apt|flat|unit|de|du|la|bajo)", word):
             return word
-        feminine = word.lower().endswith(("a", "e", "ie", "ine")) if kind == "person_name" and first else None
-        first = False
-        return _word_like(word, s, feminine) if len(word) > 1 else chr(ord("A") + next(s) % 26)
+        return _cased(_word_like(word, s), word) if len(word) > 1 else chr(ord("A") + next(s) % 26)
 
     text = re.sub(r"\d", lambda m: str(next(s) % 10), entity) if kind == "address" else entity
     return WORD.sub(change, text)
 
 
+def _with_norm(found: DataFrame) -> DataFrame:
+    """``found`` with the column norm; without a column family_first no name stands family-first without a comma."""
+    if "family_first" not in found.columns:
+        found = found.withColumn("family_first", F.lit(False))
+    return found.withColumn("norm", F.udf(normalised)("kind", "entity", "family_first"))
+
+
 def surrogates(found: DataFrame, key: str = _KEY, attempts: int = 12) -> DataFrame:
     """(kind, norm, attempt) for every entity, such that distinct entities of a kind get distinct surrogates.
 
     Collisions are looked for over all data: of the entities with one surrogate all but the first are tried again.
     """
-    norm = F.udf(normalised)
-    entity = found.select("kind", "entity").distinct().withColumn("norm", norm("kind", "entity"))
-    # one spelling stands for an entity, so that the check does not depend on how it is written
-    entity = materialise(entity.groupBy("kind", "norm").agg(F.min("entity").alias("entity")), "entities")
-    made = F.udf(lambda kind, text, attempt: re.sub(r"\W", "", surrogate(kind, text, key, attempt)).lower())
-    settled = entity.withColumns({"attempt": F.lit(0), "form": made("kind", "entity", F.lit(0))})
+    # the normalised form stands for all mentions, whose surrogates differ from its own in order, case and separators only
+    def form(kind: str, norm: str, attempt: int) -> str:
+        words = re.findall(r"\w+", surrogate(kind, norm, key, attempt).lower())
+        return " ".join(sorted(words)) if kind == "person_name" else "".join(words)
+
+    entity = materialise(_with_norm(found).select("kind", "norm").distinct(), "entities")
+    made = F.udf(form)
+    settled = entity.withColumns({"attempt": F.lit(0), "form": made("kind", "norm", F.lit(0))})
     for attempt in range(1, attempts + 1):
         rank = F.row_number().over(Window.partitionBy("kind", "form").orderBy("attempt", "norm"))
         ranked = materialise(settled.withColumn("_rank", rank), "surrogates")
         if ranked.where("_rank > 1").isEmpty():
             break
         again = F.col("_rank") > 1
-        settled = ranked.withColumns({"attempt": F.when(again, attempt).otherwise(F.col("attempt")), "form": F.when(again, made("kind", "entity", F.lit(attempt))).otherwise(F.col("form"))}).drop("_rank")
+        settled = ranked.withColumns({"attempt": F.when(again, attempt).otherwise(F.col("attempt")), "form": F.when(again, made("kind", "norm", F.lit(attempt))).otherwise(F.col("form"))}).drop("_rank")
     else:
         raise RuntimeError("surrogates still collide; their space is too small for these entities")
     return ranked.select("kind", "norm", "attempt")
@@ -424,10 +477,9 @@ def surrogates(found: DataFrame, key: str = _KEY, attempts: int = 12) -> DataFra
 def replaced(documents: DataFrame, found: DataFrame, key: str = _KEY) -> DataFrame:
     """(doc_id, n_replaced, text): every entity replaced by ``[KIND surrogate]``, the rest of the text unchanged."""
     found = materialise(found, "personal-data")
-    with_norm = found.withColumn("norm", F.udf(normalised)("kind", "entity"))
-    keyed = with_norm.join(surrogates(found, key), ["kind", "norm"])
+    keyed = _with_norm(found).join(surrogates(found, key), ["kind", "norm"])
     # the spans of one text only; their number is bounded by its length
-    spans = keyed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "entity", "attempt"))).alias("spans"))
+    spans = keyed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "entity", "attempt", "family_first"))).alias("spans"))
     latest = last_delivered(documents.select("doc_id", "ingested_at", "text"), "doc_id")
 
     @F.udf("struct<n_replaced int, text string>")
@@ -438,7 +490,7 @@ def replaced(documents: DataFrame, found: DataFrame, key: str = _KEY) -> DataFra
         n = 0
         for s in spans:
             if s["start"] >= at:
-                out += [text[at : s["start"]], f"[{s['kind'].upper()} {surrogate(s['kind'], s['entity'], key, s['attempt'])}]"]
+                out += [text[at : s["start"]], f"[{s['kind'].upper()} {surrogate(s['kind'], s['entity'], key, s['attempt'], s['family_first'])}]"]
                 at = s["stop"]
                 n += 1
         return (n, "".join([*out, text[at:]]))

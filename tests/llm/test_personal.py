@@ -64,6 +64,45 @@ def test_surrogates_keep_form_and_tell_entities_apart(spark):
     assert len({P.surrogate(k, n, attempt=a) for k, n, a in settled}) == 30 and any(a for _, _, a in settled)
 
 
+def shown(text, model):
+    return [P.surrogate(e.kind, text[e.start : e.end], family_first=e.family_first) for e in P.entities(text, model)]
+
+
+def test_a_person_has_one_surrogate_in_any_order(model):
+    text = "Clara Kestvane, then Kestvane, Clara; CLARA KESTVANE; clara\n> kestvane; of Kestvane Clara; now Clara Kestvane's."
+    got = shown(text, model)
+    assert len(got) == 6, got
+    given, family = got[0].split()
+    assert given.endswith("a") and given != family
+    assert got[1:4] == [f"{family}, {given}", f"{given} {family}".upper(), f"{given}\n> {family}".lower()]
+    assert got[4] == f"{family} {given}" and got[5] in (f"{given} {family}", f"{given} {family}'s")
+    particle = shown("Yann von Zellmann or von Zellmann, Yann or W. Sarrlund or Sarrlund, W. here", model)
+    assert sorted(particle[0].split()) == sorted(particle[1].replace(",", "").split()) and particle[0].split()[1] == "von"
+    assert particle[2].split()[::-1] == particle[3].replace(",", "").split()
+    assert particle[2].startswith(particle[3][-2:])
+
+
+def test_family_first_mentions_share_entity_and_collision_check(spark, model):
+    at = dt.datetime(2025, 1, 1)
+    docs = spark.createDataFrame([(1, "by Clara Kestvane today", at), (2, "KESTVANE, CLARA left", at), (3, "for kestvane clara now", at)], "doc_id long, text string, ingested_at timestamp")
+    found = P.detected(docs, model)
+    assert P.surrogates(found).count() == 1
+    out = [r["text"] for r in P.replaced(docs, found).orderBy("doc_id").collect()]
+    words = [w[1:] for w in ([t[t.index("[") :].split("]")[0].replace("PERSON_NAME ", "").replace(",", "").lower() for t in out])]
+    given, family = words[0].split()
+    assert words[1:] == [f"{family} {given}"] * 2
+    # settled on the form that every order shares: whatever the order, two persons never have the same words
+    rows = [(i, 1, "person_name", f"{a}{b} {c}", 0, 3) for i, (a, b, c) in enumerate((a, b, c) for a in "abcdef" for b in "xyz" for c in ("Kim", "Lee"))]
+    many = spark.createDataFrame(rows, "doc_id long, line_no int, kind string, entity string, start int, stop int")
+    settled = [P.surrogate(r["kind"], r["norm"], attempt=r["attempt"]) for r in P.surrogates(many).collect()]
+    assert len({tuple(sorted(s.split())) for s in settled}) == 36
+
+
+@pytest.mark.parametrize("kind,a,b", [("phone", "+1-344-555-0105", "+13445550105"), ("id_number", "RTG5MXC9Z", "rtg5mxc9z"), ("address", "7 Zebo Road,\n> Town", "7 Zebo Road, Town")])
+def test_other_kinds_do_not_depend_on_the_spelling(kind, a, b):
+    assert P.normalised(kind, P.surrogate(kind, a)) == P.normalised(kind, P.surrogate(kind, b))
+
+
 def test_replacement_leaves_the_rest(spark, model):
     at = dt.datetime(2025, 1, 1)
     text = "Ask Clara Kestvane (clara@x.example) or call +1-344-555-0105.\r\nKestvane, Clara left. ü😀"
