@@ -97,7 +97,13 @@ class Parser:
         self.s = pos
         self.nl = True
         self.last = pos
-        self.next()
+        try:
+            self.next()
+        except ParseError as x:
+            self.note(x)
+            self.v = ""
+            if not self.recover():
+                self.t = EOF
 
     # ---- tokens
 
@@ -1757,8 +1763,4 @@ def script_errors(text: str, extension: str, path: str = "", most_errors: int =
         dialect = Dialect(typed=True, goal="module", ambient=True)
     if sys.getrecursionlimit() < _DEPTH:
         sys.setrecursionlimit(_DEPTH)
-    try:
-        parser = Parser(text, dialect, most_errors)
-    except ParseError as x:
-        return [(x.at, x.message)]
-    return parser.parse()
+    return Parser(text, dialect, most_errors).parse()

@@ -35,21 +35,25 @@ def language(path: str = "display_path"):
 
 def _parsed(text: str | None, path: str | None) -> dict:
     if text is None or path is None:
-        return {"n_errors": None, "first_line": None, "first_cause": None}
-    errors = errors_of(text, path)
-    first = errors[0] if errors else None
-    return {"n_errors": len(errors), "first_line": text.count("\n", 0, first[0]) + 1 if first else None, "first_cause": first[1] if first else None}
+        return {"n_errors": None, "first_line": None, "first_cause": None, "errors": None}
+    errors, line, last = [], 1, 0
+    for at, cause in errors_of(text, path):
+        line += text.count("\n", last, at) if at >= last else -text.count("\n", at, last)
+        last = at
+        errors.append({"line": line, "cause": cause})
+    first = errors[0] if errors else {"line": None, "cause": None}
+    return {"n_errors": len(errors), "first_line": first["line"], "first_cause": first["cause"], "errors": errors}
 
 
 def parsed_files(files: DataFrame) -> DataFrame:
-    """Per file with a language and a text: how many errors it has, and line and cause of the first.
+    """Per file with a language and a text: how many errors it has, line and cause of the first, and of all in the order found.
 
     Files are parsed where they are read, one batch at a time; only the small outcome is shuffled, to let the last of
     repeated deliveries hold. Each file is parsed whole. A file whose last delivery has no text, and one without path or
     language, gives no row; an empty file is valid (but no valid JSON). Extra columns are ignored.
     """
     typed = files.withColumn("language", language()).where(F.col("language").isin(LANGUAGES))
-    rows = per_file(typed, _parsed, "n_errors int, first_line int, first_cause string", keep=["repo", "language"])
+    rows = per_file(typed, _parsed, "n_errors int, first_line int, first_cause string, errors array<struct<line: int, cause: string>>", keep=["repo", "language"])
     return rows.where(F.col("n_errors").isNotNull())
 
 
@@ -58,7 +62,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Per file: number of errors, line and cause of the first."""
+    """Per file: number of errors, line and cause of the first, and ``errors`` with line and cause of each."""
     return parsed_files(table(spark, folder, "files"))
 
 

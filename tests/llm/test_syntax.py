@@ -68,6 +68,44 @@ def test_yaml_refuses(text):
     assert yaml_errors(text)
 
 
+def lines(text, errors):
+    return [text.count("\n", 0, at) + 1 for at, _ in errors]
+
+
+@pytest.mark.parametrize("text,want", [
+    ('{\n  "a": 1,\n<<<<<<< HEAD\n  "b": 2,\n=======\n  "b": 3,\n>>>>>>> x\n  "c": [1, 2]\n}\n', [3, 5, 7]),
+    ("{\n  a: 1,\n  'b': 'c d',\n  \"e\": 2\n}", [2, 3, 3]),
+    ('[1, NaN,\n undefined,\n {"a" 1},\n {"b": 2 "c": 3},\n "x\\q",\n 4,\n]', [1, 2, 3, 4, 5, 6]),
+    ('{\n "a": "open,\n "b": 1,\n "c": ,\n "d": [1, 2}\n', [2, 4, 5]),
+    ('{"a": 1}}\n{"b": x}', [1, 2]), ("[" * 5000 + "x", [1, 1]),
+])
+def test_json_recovers(text, want):
+    assert lines(text, json_errors(text)) == want
+
+
+@pytest.mark.parametrize("text,want", [
+    ("a: b: c\nok: 1\nd: @x\ne:\n  f: 'g' h\n  i: 2\nj: ]\n", [1, 3, 5, 7]),
+    ("a: 1\n<<<<<<< HEAD\nb: 2\n=======\nb: 3\n>>>>>>> x\nc: 4\n", [2, 4, 6]),
+    ("- a: b: c\n- x\n- - 1\n  - y: @z\n- [1, @, 2, `, 3]\n- {a: @x,\n   b: %y}\n", [1, 4, 5, 5, 6, 7]),
+    ("a:\n\tb: 1\n\tc: 2\nd: 'x' y\n---\ne: @\n", [2, 4, 6]),
+    ("a: [1, 2]\nb: [1\nc: d: e\n", [3]),
+])
+def test_yaml_recovers(text, want):
+    assert lines(text, yaml_errors(text)) == want
+
+
+def test_scripts_recover_from_a_wrong_first_token():
+    text = "'x;\nlet ok = 1;\nlet b = = 2;\n"
+    assert lines(text, script_errors(text, "ts")) == [1, 3]
+
+
+def test_errors_are_returned_per_file(spark):
+    rows = [(1, "r", "a.yml", "a: b: c\nd: @x\n", 0), (2, "r", "b.json", '{\na: 1,\n"b": x}', 0), (3, "r", "c.ts", "let x = ;\nlet y = 1;\nlet z = = 2;", 0), (4, "r", "d.json", "{}", 0)]
+    got = {r["file_id"]: r for r in syntax.parsed_files(files(spark, rows)).collect()}
+    assert {k: [e["line"] for e in r["errors"]] for k, r in got.items()} == {1: [1, 2], 2: [2, 3], 3: [1, 3], 4: []}
+    assert all(r["n_errors"] == len(r["errors"]) and (not r["errors"] or (r["first_line"], r["first_cause"]) == tuple(r["errors"][0])) for r in got.values())
+
+
 def files(spark, rows):
     at = dt.datetime(2025, 1, 1)
     return spark.createDataFrame([(i, r, p, t, at + dt.timedelta(days=d), "clash", 1) for i, r, p, t, d in rows], "file_id long, repo string, display_path string, text string, ingested_at timestamp, language string, n_errors int")
