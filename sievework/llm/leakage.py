@@ -23,6 +23,9 @@ from sievework.shared import spread, table
 
 PASSAGE = 20
 EDIT_SHARE = 8
+# Lengths of windows that suffice, with one edit in eight each. A passage of 8e words or more with e edits has a part of 8e
+# words with no more; from e = 5 on it splits in two parts of at least 20 words, of which one is within its own share.
+WINDOWS = (PASSAGE, 24, 32)
 # The items are broadcast; more words than this are refused instead of swamping the executors.
 MOST_ITEM_WORDS = 20_000_000
 
@@ -134,10 +137,16 @@ class Shard:
     def search(self, item: Item) -> set[int]:
         """Places (of documents in the batch) that hold a passage of the item."""
         n = len(item.words)
-        length = min(n, PASSAGE)
+        found: set[int] = set()
+        for length in [w for w in WINDOWS if w <= n] or [n]:
+            self.search_windows(item, length, found)
+        return found
+
+    def search_windows(self, item: Item, length: int, found: set[int]) -> None:
+        """Adds the places that hold a window of ``length`` words of the item to ``found``."""
+        n = len(item.words)
         most = length // EDIT_SHARE
         own = np.array(item.words, dtype=np.int32)
-        found: set[int] = set()
         for p in self.anchors(item.words, length, most):
             places = self.list_of(item.words[p])
             if not len(places):
@@ -158,7 +167,6 @@ class Shard:
                 starts = (np.flatnonzero(inside[k]) + low).tolist()
                 if self.verify(item.words, starts, length, most, place - p):
                     found.add(doc)
-        return found
 
     def verify(self, item: tuple[int, ...], starts: list[int], length: int, most: int, diagonal: int) -> bool:
         """Whether one of the item's windows occurs near the diagonal within the allowed edits."""

@@ -59,3 +59,27 @@ def test_markup_prefixes_and_case_do_not_matter(spark):
     items = [(1, "Read this first. " + text), (2, "Read this first. Nothing of it."), (3, "Read this first.")]
     docs = spark.createDataFrame([(1, shown), (2, "Read this first. " * 3), (3, "x" * 200_000 + " " + text)], "doc_id long, text string")
     assert {tuple(x) for x in L.leaked(docs, spark.createDataFrame(items, "item_id long, text string")).collect()} == {(1, 1), (3, 1)}
+
+
+def test_longer_passages_with_close_edits(spark):
+    items = [(i, " ".join(sentence(n))) for i, n in enumerate([24, 28, 32, 39, 45, 70, 90])]
+    docs = []
+    for item_id, text in items:
+        source = text.split()
+        for d, (length, places) in enumerate([(24, (10, 11, 12)), (24, (5, 12, 18)), (32, (13, 14, 16, 18)), (32, (12, 13, 17, 19)), (32, (12, 13, 14, 15, 16)), (24, (9, 10, 11, 12)), (40, (15, 18, 20, 21, 24)), (48, (18, 19, 20, 27, 28, 29))]):
+            low = r.randrange(max(1, len(source) - length + 1))
+            passage = source[low : low + length]
+            for p in places:
+                if p < len(passage):
+                    passage[p] = "changed"
+            docs.append((item_id * 10 + d, " ".join([*sentence(7), *passage, *sentence(9)])))
+    shape = "doc_id long, text string"
+    got = {tuple(x) for x in L.leaked(spark.createDataFrame(docs, shape), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    prepared, vocabulary = L.prepared(items)
+
+    def any_length(item, doc):
+        return any(L.edits_within(item[i : i + n], doc, n // L.EDIT_SHARE) for n in range(L.PASSAGE, len(item) + 1) for i in range(len(item) - n + 1))
+
+    ids = {d: [vocabulary.get(w, -1) for w in L.words(t)] for d, t in docs}
+    assert got == {(d, i.item_id) for d in ids for i in prepared if any_length(i.words, ids[d])}
+    assert any(not brute(i.words, ids[d]) for d, k in got for i in prepared if i.item_id == k)
