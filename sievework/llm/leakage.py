@@ -1,10 +1,11 @@
 """Problem 8: evaluation texts that leak into training text, by a positional inverted index that is sharded by document.
 
 Every batch of documents builds its own shard: token postings sorted by term, with positions that run through the
-documents of the shard. The test items (a fixed table) go to all shards. An item is cut into blocks; of each block the
-terms that are rarest in the shard are looked up, their lists are shifted by the terms' offsets, and where two of them
-meet on nearly the same diagonal the passage is verified word by word. So postings are neither shuffled nor collected, and
-work per shard grows with its documents only.
+documents of the shard. The test items (a fixed table) go to all shards. Of every window of an item the terms
+that are rarest in the shard are anchors, one more than edits can hit. Around each posting of an anchor the shard's own
+words are compared with the window's at their offsets; no two posting lists are intersected. Where enough words agree the
+passage is verified by edit distance. So postings are neither shuffled nor collected, and work per shard grows with its
+documents only.
 """
 
 from __future__ import annotations
