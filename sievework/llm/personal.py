@@ -33,10 +33,11 @@ class Entity:
 
 # ---- mail
 
-_MAIL = re.compile(
-    r"(?<![\w.+\-/@:%])(?:mailto:)?([\w][\w.%+\-]*)[ \t]?(?:@|[(\[{<][ \t]?(?:at|@|ät)[ \t]?[)\]}>]|(?<= )at(?= ))[ \t]?((?:[\w\-]+(?:\.|[ \t]?[(\[{<][ \t]?(?:dot|punkt|punto|point)[ \t]?[)\]}>][ \t]?| dot ))+[A-Za-z]{2,})(?![\w@])",
-    re.I,
-)
+_AT = r"(?:@|[(\[{<][ \t]?(?:at|@|ät)[ \t]?[)\]}>]|(?<= )at(?= ))[ \t]?"
+_LABEL = r"[\w\-]+(?:\.|[ \t]?[(\[{<][ \t]?(?:dot|punkt|punto|point)[ \t]?[)\]}>][ \t]?| dot )"
+_MAIL = re.compile(rf"(?<![\w.+\-/@:%])(?:mailto:)?([\w][\w.%+\-]*)[ \t]?{_AT}((?:{_LABEL})+[A-Za-z]{{2,}})(?![\w@])", re.I)
+# The part that every match has; it is looked for first, since that is cheap.
+_MAIL_SIGN = re.compile(_AT + _LABEL, re.I)
 # Words that name a role or a machine, in four languages. Fixed values.
 _ROLES = frozenset(
     "abuse accounts admin administrator alert alerts api backup billing bot bounce bounces build builds buzon careers ci compliance contact contacto contributors cron daemon deploy dependabot dev devnull developers donotreply ebay events facturacion feedback finance git github gitlab hello help helpdesk hg hilfe hostmaster hr info inbox invoice invoices it jenkins jobs kontakt legal list lists mail mailer mailer-daemon maintainers marketing media monitor monitoring news newsletter no-reply noc noreply notification notifications office ops orders payments postfach postmaster press privacy renovate reply robot root runner sales security server service service-account services shop ssh staff status subscribe support svc svn sysadmin system team test tickets unsubscribe user users webmaster www".split()
@@ -44,7 +45,7 @@ _ROLES = frozenset(
 
 
 def mails(text: str) -> Iterator[Entity]:
-    if not ("@" in text or "at)" in text or "at]" in text or "AT)" in text or "AT]" in text or " dot " in text or "at}" in text):
+    if not _MAIL_SIGN.search(text):
         return
     for m in _MAIL.finditer(text):
         local = m.group(1).lower()
@@ -85,12 +86,14 @@ _NOT_PERSONAL = re.compile(r"(?i)(?:\b(?:order|orders|build|ticket|tickets|run|j
 _RUN = re.compile(r"[+(]?\d(?:[\d ().\-/+AB]|\r?\n(?:> ?)?){5,30}[\dA-Z]")
 _DATE = re.compile(r"(?:\d{4}-\d\d-\d\d(?![\d\-])|\d{1,3}\.\d{1,3}\.\d{1,3}(?:\.\d+)? ?-)")
 _KEYWORDS = ("medical rec", "health rec", "social sec", "tax id", "tax no", "tax number", "steuer", "idnr", "id-nr", "insee", "fiscal", "sozialvers", "svnr", "national ins", "ausweis", "cédula", "cedula", "identit", "passport", "reisepass", "pasaporte", "passeport", "patient")
-_SHORT_KEYWORDS = tuple(w for k in "mrn ssn tin itin ein nif nie dni nir nino".split() for w in (f"{k.upper()} ", f"{k.upper()}:", f" {k}:", f" {k}=", f"{k.title()}:"))
+# The short ones are words or parts of words too, so a digit has to stand near; a value of any kind begins with one or with
+# up to nine letters.
+_SHORT_KEYWORD = re.compile(r"(?i)(?<!\w)(?:mrn|ssn|i?tin|ein|nif|nie|dni|nir|nino|id-?nr)(?:[ \-]?(?:no\.?|nr\.?|number|nummer|num\.?|n[º°o]\.?|#))?\.?[ \t]*[:=#]?\s{0,2}[A-Z0-9 .\-/]{0,12}\d")
 
 
 def _has_keyword(text: str) -> bool:
     low = text.lower()
-    return any(k in low for k in _KEYWORDS) or any(k in text for k in _SHORT_KEYWORDS)
+    return any(k in low for k in _KEYWORDS) or bool(_SHORT_KEYWORD.search(text))
 
 
 def luhn(digits: str) -> bool:
@@ -216,9 +219,9 @@ _ADDRESS = re.compile(
     rf"|{_CAP}(?:(?i:straße|strasse|str\.|weg|platz|gasse|allee|ring|ufer|damm|steig|stieg|pfad|chaussee|hof|berg|markt|graben)|{_GAP}(?i:straße|strasse|str\.|weg|platz|gasse|allee|ring|ufer|damm)){_GAP}\d{{1,4}}[ ]?[a-z]?(?:[ ]?-[ ]?\d+[a-z]?)?,{_GAP}\d{{5}}{_GAP}{_CAP}"
     rf")"
 )
-_ZIP = re.compile(r"\d{5}\s+[A-ZÀ-ÖØ-Þ]")
-# A house number in front of a capitalised name, as all addresses without a postcode of five digits begin.
-_HOUSE = re.compile(r"\d[a-zA-Z]?\s+(?:[>*#|\-]+ )?(?:[NSEW]{1,2}\.?\s+)?[A-ZÀ-ÖØ-Þ][\w'’\-]+\s+(?:[>*#|\-]+ )?[A-ZÀ-ÖØ-Þ]")
+# What every match has: a postcode of five digits with a town, or house number, street and type.
+_ZIP = re.compile(rf"\d{{5}}{_GAP}{_CAP}")
+_HOUSE = re.compile(rf"\d[a-zA-Z]?{_GAP}(?:[NSEW]{{1,2}}\.?{_GAP})?{_CAP}(?:{_GAP}{_CAP}){{0,2}}?{_GAP}{_EN_TYPES}(?:\.|\b)")
 
 
 def addresses(text: str) -> Iterator[Entity]:

@@ -46,6 +46,15 @@ def test_not_found(text, model):
     assert kinds(text, model) == []
 
 
+@pytest.mark.parametrize("text,kind,value", [
+    ("x ada[ at ]mail.example now", "email", "ada[ at ]mail.example"), ("x ada <at> mail.example now", "email", "ada <at> mail.example"), ("x ada(ät)mail.example", "email", "ada(ät)mail.example"), ("x ada (At) mail.example", "email", "ada (At) mail.example"), ("x ada at mail (dot) example", "email", "ada at mail (dot) example"),
+    ("ssn=735341114", "id_number", "735341114"), ("ssn: 735341114", "id_number", "735341114"), ("mrn 8178675", "id_number", "8178675"), ("SSN#735341114", "id_number", "735341114"), ("SSN735341114", "id_number", "735341114"),
+    ("to 12 Baker street, London now", "address", "12 Baker street, London"), ("an Venotonstraße 147a, 17648\n> Losahausen.", "address", "Venotonstraße 147a, 17648\n> Losahausen"),
+])
+def test_gates_let_all_forms_pass(text, kind, value, model):
+    assert (kind, value) in kinds(text, model)
+
+
 def test_names_inside_mail_addresses_do_not_count(model):
     assert [k for k, _ in kinds("<clara.kestvane@example.org>", model)] == ["email"]
 
