@@ -31,7 +31,7 @@ _BANNER = re.compile(
 _BANG = re.compile(r"^/\*!\s*[\w.\-@/]+ v?\d+\.\d+")
 _DEPENDENCIES = re.compile(r"(?:^|/)(?:vendor|third[_\-]?party|thirdparty|external|externals|deps|node_modules|bower_components|jspm_packages|Pods)/")
 _LOCK_NAME = re.compile(r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|composer\.lock|[\w.]+[\-.]lock\.(?:ya?ml|json)|bun\.lockb?|deno\.lock)$", re.I)
-_LOCK_TEXT = re.compile(r"^\s*[\"']?lockfile(?:Version|Format)[\"']?\s*:", re.M)
+_LOCK_TEXT = re.compile(r"^[^\S\n]*[\"']?lockfile(?:Version|Format)[\"']?\s*:", re.M)
 _PACKED = re.compile(r"__webpack_require__|/\*{6}/|\bparcelRequire\b|System\.register\(\[|^//# sourceMappingURL=", re.M)
 _STRING_OR_COMMENT = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`)|/\*[\s\S]*?\*/|//[^\n]*")
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|\b0[xX][0-9a-fA-F]+|-?\b\d[\d.eE_]*")
@@ -51,7 +51,7 @@ def head_lines(text: str) -> list[str]:
     out = []
     at = 1 if text.startswith("﻿") else 0
     skip = re.compile(r"\s*(?:#![^\n]*\n|//[^\n]*|/\*[\s\S]*?\*/|#[^\n]*|[\"']use strict[\"'];?)")
-    while len(out) < 60:
+    while True:
         m = skip.match(text, at)
         if not m:
             return out
@@ -127,7 +127,7 @@ def own_marks(text: str, path: str) -> str | None:
     """Why a file is told by itself to be no hand-written source; null if nothing tells it."""
     extension = path.rsplit(".", 1)[-1].lower()
     script = extension in DIALECTS
-    if _LOCK_NAME.search(path) or not script and len(text) > 200 and _LOCK_TEXT.search(text[:2000]):
+    if _LOCK_NAME.search(path) or not script and len(text) > 200 and _LOCK_TEXT.search(text):
         return "lock"
     head = head_lines(text)
     if any(_GENERATED.match(line) for line in head):
@@ -136,7 +136,7 @@ def own_marks(text: str, path: str) -> str | None:
         return None
     if is_minified(text):
         return "minified"
-    if _BANG.match(text.lstrip("﻿ \r\n")) or any(_BANNER.match(line) for line in head[:12]):
+    if _BANG.match(text.lstrip("﻿ \r\n")) or any(_BANNER.match(line) for line in head):
         return "vendored"
     if _DEPENDENCIES.search(path) or _EXTERNAL_SCRIPTS.search(path) or _PUBLISHED.match(uncommented(text).lstrip("﻿")):
         return "vendored"

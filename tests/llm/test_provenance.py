@@ -37,3 +37,13 @@ def test_copies_in_unrelated_repositories(spark):
     got = {r["file_id"] for r in P.not_handwritten(frame(spark, rows)).collect()}
     assert got == {1, 2, 5, 300, 301, 302, 303}
     assert P.not_handwritten(frame(spark, [])).count() == 0
+
+
+def test_marks_that_stand_late():
+    from sievework.llm.provenance import own_marks
+
+    code = "export function keep(a) {\n  return a + 1;\n}\n"
+    for before in (14, 80):
+        assert own_marks("/*\n" + " * words of the purpose\n" * before + " * Copyright 2019 The Upstream Authors\n */\n" + code, "src/a.js") == "vendored"
+        assert own_marks("/*\n" + " * words of the purpose\n" * before + " */\n" + code, "src/a.js") is None
+    assert own_marks("packages:\n" + "  - name: x\n" * 400 + "lockfileVersion: 6\n", "deps/state.yaml") == "lock"
