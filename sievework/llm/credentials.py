@@ -315,8 +315,11 @@ class _Strings:
         return self.text[token.start + 1 : token.end - 1]
 
     def plain(self, i: int) -> bool:
-        """A string, or a template without holes."""
-        return self.kind(i) == STRING or self.kind(i) == TEMPLATE and self.text[self.t[i].end - 1] == "`" and self.text[self.t[i].start] == "`"
+        """A string, or a template without holes that is closed."""
+        if self.kind(i) != TEMPLATE:
+            return self.kind(i) == STRING
+        token = self.t[i]
+        return token.end - token.start >= 2 and self.text[token.start] == "`" == self.text[token.end - 1]
 
     def runs(self) -> Iterator[tuple[int, int]]:
         """First and last token of each string or chain of strings joined by plus (or by a list's join)."""
@@ -505,7 +508,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
-    """Each file with its credentials replaced."""
+    """Each file with its credentials replaced; one that cannot be searched has no text, but an error."""
     return per_file(table(spark, folder, "files"), _spliced, "n_redacted int, text string", keep=["repo", "display_path"])
 
 

@@ -23,17 +23,28 @@ def last_delivered(rows: DataFrame, key: str = "file_id", when: str = "ingested_
 
 def per_file(files: DataFrame, work: Callable[[str | None, str | None], dict], fields: str, keep: list[str] = ()) -> DataFrame:
     """``work(text, display_path)`` of every row of ``files``, where the row is read; its dictionary becomes the columns
-    of ``fields``. Returns one row per file_id, that of its last delivery, with the columns of ``keep``."""
+    of ``fields``. Returns one row per file_id, that of its last delivery, with the columns of ``keep`` and ``error``.
+
+    A file on which ``work`` fails does not end the job: its columns are null and ``error`` names what failed. Queries that
+    give one row per file show it.
+    """
     kept = ["file_id", "ingested_at", *keep]
     slim = spread(files.select(*kept, "display_path", "text"), "file_id")
-    schema = StructType([*[slim.schema[c] for c in kept], *_parse_datatype_string(fields).fields])
-    arrow = to_arrow_schema(_parse_datatype_string(fields))
+    made = _parse_datatype_string(f"{fields}, error string")
+    schema = StructType([*[slim.schema[c] for c in kept], *made.fields])
+    arrow = to_arrow_schema(made)
+
+    def guarded(text: str | None, path: str | None) -> dict:
+        try:
+            return work(text, path)
+        except Exception as x:
+            return {"error": f"{type(x).__name__}: {x}"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, paths = batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept)).to_pylist()
-            rows = [work(text, path) for text, path in zip(texts, paths)]
-            columns = [pa.array([r[f.name] for r in rows], type=f.type) for f in arrow]
+            rows = [guarded(text, path) for text, path in zip(texts, paths)]
+            columns = [pa.array([r.get(f.name) for r in rows], type=f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *columns], names=[*kept, *arrow.names])
 
     return last_delivered(slim.mapInArrow(run, schema))
@@ -42,6 +53,3 @@ def per_file(files: DataFrame, work: Callable[[str | None, str | None], dict], f
 def line_of(text: str, at: int) -> int:
     """Lines start at 1 and end at a line feed."""
     return text.count("\n", 0, at) + 1
-
-
-

@@ -54,7 +54,7 @@ def parsed_files(files: DataFrame) -> DataFrame:
     """
     typed = files.withColumn("language", language()).where(F.col("language").isin(LANGUAGES))
     rows = per_file(typed, _parsed, "n_errors int, first_line int, first_cause string, errors array<struct<line: int, cause: string>>", keep=["repo", "language"])
-    return rows.where(F.col("n_errors").isNotNull())
+    return rows.where(F.col("n_errors").isNotNull() | F.col("error").isNotNull())
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
