@@ -1,7 +1,7 @@
 """Problem 5: credentials embedded in source code and configuration.
 
-Configuration is parsed into key paths with offsets (JSON, YAML, INI and environment formats), scripts into string
-literals with the names that govern them. A value counts if its own shape proves it, or if its key is sensitive and its
+Configuration is parsed into key paths with offsets (JSON, YAML, TOML, XML, INI and environment formats), scripts into
+string literals with the names that govern them. A value counts if its own shape proves it, or if its key is sensitive and its
 shape fits. Redactions are spliced into the original bytes, everything else stays as it is.
 """
 
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.llm.config_paths import pairs_of
 from sievework.llm.files import per_file
 from sievework.llm.functions import NAME, PUNCT, STRING, TEMPLATE, Scanner
 from sievework.llm.script_parser import DIALECTS
@@ -36,7 +37,7 @@ class Credential:
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zß-ÿ]+|\d+")
 # Words that make a key sensitive, in four languages.
 _SENSITIVE = frozenset(
-    "password passwd passwort passphrase pass pwd pw psw secret secrets token tokens apikey auth authtoken authorization authorisation credential credentials cred creds bearer jwt hmac "
+    "password passwords passwd passwort passphrase passphrases pass pwd pw psw secret secrets token tokens apikey auth authtoken authorization authorisation credential credentials cred creds bearer jwt hmac "
     "kennwort geheimnis geheim zugangsschluessel zugangsschlüssel zugangsdaten contrasena contraseña clave secreto credencial motdepasse mdp jeton secrete cookie".split()
 )
 # A key of one of these kinds is sensitive: the word before "key" (or its translations) says so.
@@ -177,96 +178,6 @@ def strong(text: str, low: int = 0, high: int | None = None) -> Iterator[Credent
 
 # ---- configuration: key paths with offsets
 
-_JSON_TOKEN = re.compile(r'"((?:[^"\\\n]|\\.)*)"|([{}\[\],:])|//[^\n]*|/\*[\s\S]*?\*/|[^\s{}\[\],:"]+')
-
-
-def json_pairs(text: str) -> Iterator[tuple[list[str], int, int]]:
-    """Key path and offsets of each string value; broken files are read as far as brackets go."""
-    path: list[str] = []
-    stack: list[str] = []
-    key, wants_value = "", False
-    for m in _JSON_TOKEN.finditer(text):
-        mark = m.group(2)
-        if mark in ("{", "["):
-            path.append(key)
-            stack.append(mark)
-            key, wants_value = (key if mark == "[" else ""), mark == "["
-        elif mark in ("}", "]"):
-            if stack:
-                stack.pop()
-                key = path.pop()
-            wants_value = False
-        elif mark == ":":
-            wants_value = True
-        elif mark == ",":
-            wants_value = bool(stack) and stack[-1] == "["
-        elif m.group(1) is not None:
-            if wants_value:
-                yield [*path, key], m.start(1), m.end(1)
-            else:
-                key = m.group(1)
-
-
-_YAML_LINE = re.compile(r"^( *)((?:- +)*)(?:\"((?:[^\"\\]|\\.)*)\"|'([^']*)'|([^\s#'\"\-][^#:\n]*?|-[^\s:][^:\n]*?)) *:(?=\s|$)[ \t]*(?:[&!]\S+[ \t]+)*(.*)$")
-
-
-def yaml_pairs(text: str) -> Iterator[tuple[list[str], int, int]]:
-    stack: list[tuple[int, str]] = []
-    at = 0
-    lines = text.split("\n")
-    block = -1
-    for line in lines:
-        start, at = at, at + len(line) + 1
-        bare = line.rstrip("\r")
-        indent = len(bare) - len(bare.lstrip(" "))
-        if block >= 0:
-            if not bare.strip() or indent > block:
-                continue
-            block = -1
-        m = _YAML_LINE.match(bare)
-        if not m:
-            continue
-        depth = len(m.group(1)) + len(m.group(2))
-        key = next(g for g in (m.group(3), m.group(4), m.group(5)) if g is not None)
-        while stack and stack[-1][0] >= depth:
-            stack.pop()
-        stack.append((depth, key))
-        value, low = m.group(6), start + m.start(6)
-        if re.match(r"[|>][+\-\d]*\s*(?:#.*)?$", value):
-            block = depth
-            continue
-        q = re.match(r"\"((?:[^\"\\]|\\.)*)\"|'((?:[^']|'')*)'", value)
-        if q:
-            g = 1 if q.group(1) is not None else 2
-            yield [k for _, k in stack], low + q.start(g), low + q.end(g)
-        else:
-            value = re.split(r"\s+#", value)[0].rstrip()
-            if value:
-                yield [k for _, k in stack], low, low + len(value)
-
-
-_INI_LINE = re.compile(r"^[ \t]*(?:[#;][ \t]*)?(?:export[ \t]+|set[ \t]+)?([^\s=#;\[][^=\n]*?)[ \t]*=[ \t]*(.*?)[ \t\r]*$", re.M)
-_INI_COLON = re.compile(r"^[ \t]*([\w.\-]+)[ \t]*:[ \t]+(.*?)[ \t\r]*$", re.M)
-
-
-def ini_pairs(text: str) -> Iterator[tuple[list[str], int, int]]:
-    """INI, environment and registry files: one pair per line, under the last section. A commented-out pair counts."""
-    sections = [(m.start(), m.group(1)) for m in re.finditer(r"^\s*\[([^\]\n]+)\]", text, re.M)]
-    for pattern in (_INI_LINE, _INI_COLON):
-        for m in pattern.finditer(text):
-            if pattern is _INI_COLON and "=" in m.group():
-                continue
-            section = [name for at, name in sections if at < m.start()][-1:]
-            value, low = m.group(2), m.start(2)
-            q = re.match(r"\"((?:[^\"\\]|\\.)*)\"|'([^']*)'", value)
-            if q:
-                g = 1 if q.group(1) is not None else 2
-                low, value = low + q.start(g), q.group(g)
-            else:
-                value = re.split(r"\s+[#;]", value)[0].rstrip()
-            key = re.split(r"[/:]", m.group(1))[-1] or m.group(1)
-            yield [*section, key], low, low + len(value)
-
 
 def path_sensitivity(path: list[str]) -> int:
     own = sensitivity(path[-1]) if path else 0
@@ -342,9 +253,8 @@ class _Strings:
     def names(self, i: int) -> list[str]:
         """Names that govern the string at i, the nearest first."""
         out: list[str] = []
-        j, steps = i - 1, 0
-        while j >= 0 and steps < 24:
-            steps += 1
+        j = i - 1
+        while j >= 0:
             v = self.value(j)
             if v in ("||", "??", "?", "|", "(", "["):
                 if v == "(" and self.kind(j - 1) == NAME and self.value(j - 1) not in ("if", "while", "switch", "return"):
@@ -417,15 +327,8 @@ def script_credentials(text: str) -> list[Credential]:
 
 
 def config_credentials(text: str, path: str) -> list[Credential]:
-    name = path.rsplit("/", 1)[-1].lower()
-    if name.endswith(".json"):
-        pairs = json_pairs(text)
-    elif name.endswith((".yml", ".yaml")):
-        pairs = yaml_pairs(text)
-    else:
-        pairs = ini_pairs(text)
     found = list(strong(text))
-    for keys, low, high in pairs:
+    for keys, low, high in pairs_of(text, path):
         if high - low < 6 or any(c.start < high and low < c.end for c in found):
             continue
         level = path_sensitivity(keys)
@@ -433,15 +336,12 @@ def config_credentials(text: str, path: str) -> list[Credential]:
         if level == 2 and looks_secret(value) or level == 1 and looks_secret(value, strict=True):
             found.append(Credential(low, high, kind_of(keys[-1])))
     comments = re.compile(r"(?m)^[ \t]*[#;][^\n]*$|[ \t]#[^\n]*$")
-    if not name.endswith(".json"):
+    if not path.lower().endswith(".json"):
         for m in comments.finditer(text):
             found += _comment(text, m.start(), m.end())
     return found
 
 
-_LOCK = re.compile(r"(?:^|/)(?:[\w.\-]*lock[\w.\-]*\.(?:json|ya?ml)|npm-shrinkwrap\.json)$", re.I)
-
-
 def credentials(text: str, path: str) -> list[Credential]:
     """Credentials of a file in order of position, none within another."""
     extension = path.rsplit(".", 1)[-1].lower()

@@ -46,6 +46,28 @@ def test_random_secrets_in_long_texts_with_wide_letters():
         assert len(found) == 1 and secret not in redacted(text, found)
 
 
+S = "Zx81#kklPq9"
+CONFIGURATION = [
+    ("a.yml", f"db:\n  password: |\n    {S}\nnext: 1\n"), ("a.yml", f"db: {{user: a, password: {S}}}\n"), ("a.yml", f'db: {{user: a,\n  password: "{S}"}}\nx: 1\n'), ("a.yml", f"labels: [a, b\nnext: 1\npassword: {S}\n"), ("a.yml", f"passwords:\n  - {S}\n  - other words\n"), ("a.yml", f"passwords:\n- {S}\n"), ("a.yml", f"data:\n  env: |\n    A=1\n    DB_PASSWORD={S}\n"),
+    ("a.toml", f'[db]\npassword = """\n{S}"""\n'), ("a.toml", f"db = {{ user = 'x', password = '{S}' }}\n"), ("a.toml", f"[a.b]\n'api'.password = '{S}'\n"), ("a.toml", f"ports = [ 1, 2 ]\npasswords = [\n  '{S}',\n]\n"),
+    ("a.xml", f"<db><password>{S}</password></db>"), ("a.xml", f'<add key="dbPassword" value="{S}"/>'), ("a.xml", f"<db password='{S}'/>"), ("a.xml", f"<password><![CDATA[{S}]]></password>"), ("a.plist", f"<dict><key>apiPassword</key><string>{S}</string></dict>"), ("a.conf", f"password: {S}\n"), ("a.properties", f"db.password={S}\n"), ("a.json", f'{{"a": [{{"password": "{S}"}}]}}'),
+]
+
+
+@pytest.mark.parametrize("path,text", CONFIGURATION)
+def test_configuration_goes_by_key_paths(path, text):
+    found = credentials(text, path)
+    assert [text[c.start : c.end] for c in found] == [S]
+    assert redacted(text, found) == text.replace(S, "REDACTED_PASSWORD")
+    for end in range(len(text)):  # cut off anywhere, a file is read as far as it goes
+        credentials(text[:end], path)
+
+
+@pytest.mark.parametrize("path,text", [("a.yml", "titles:\n  password: Choose a password\n  hint: {token: Token name}\n"), ("a.toml", "[password]\nleast = 12\n"), ("a.xml", "<form><password label='Your password'>Type it here</password></form>")])
+def test_texts_of_configuration_are_none(path, text):
+    assert credentials(text, path) == []
+
+
 @pytest.mark.parametrize("text", ["const a = `abc", "const x = `", "const a = `a${b", "const a = `x${`", "x = `\\", "}`", "const a = \"abc", "const a = 'abc", "/* abc", "const r = /ab[", "const k = ['a1', `b2`, \"c3"])
 def test_texts_may_end_anywhere(text):
     for end in range(len(text) + 1):
