@@ -9,6 +9,8 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass
 
+from sievework.functions.patterns import python
+
 _STEP = re.compile(
     r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))"
     r"|(?P<string>\"(?:[^\"\\\n]|\\[\s\S])*(?:\"|(?=\n)|\Z)|'(?:[^'\\\n]|\\[\s\S])*(?:'|(?=\n)|\Z))"
@@ -104,8 +106,8 @@ class Lexed:
                 kind, body = "line", raw[2:]
             else:
                 kind, body = "block", re.sub(r"\*/\Z", "", raw[2:])
-            lines = [re.sub(r"^\s*\*+ ?", "", x).strip() for x in body.split("\n")]
-            found.append(Comment(kind, "\n".join(lines).strip(), self.line(low), self.line(max(low, high - 1)), low, high))
+            lines = [re.sub(r"^[ \t]*\*[ \t]?", "", x).strip() for x in body.split("\n")]
+            found.append(Comment(kind, " ".join(x for x in lines if x).strip(), self.line(low), self.line(max(low, high - 1)), low, high))
         return found
 
 
@@ -113,14 +115,14 @@ def mask_code(text: str) -> str:
     return Lexed(text).masked
 
 
-def mask_templates(text: str) -> str:
-    """Blanks only the bodies of templates."""
-    lexed, out, last = Lexed(text), [], 0
-    for m in re.finditer(r"`(?:[^`\\]|\\[\s\S])*`", text):
+def mask_templates(lexed: Lexed) -> str:
+    """The text with only the bodies of its templates blank, so that quoted text of code stays readable."""
+    out, last = [], 0
+    for m in re.finditer(r"`(?:[^`\\]|\\[\s\S])*`", lexed.text):
         if lexed.masked[m.start()] == "`":
-            out += [text[last : m.start() + 1], _blank(m.group()[1:-1])]
+            out += [lexed.text[last : m.start() + 1], _blank(m.group()[1:-1])]
             last = m.end() - 1
-    return "".join([*out, text[last:]])
+    return "".join([*out, lexed.text[last:]])
 
 
 @dataclass(frozen=True)
@@ -138,65 +140,115 @@ class Block:
     declaration_line: int
 
 
-_NAME = r"[A-Za-z_$][\w$]*"
-_FUNCTION = re.compile(rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_NAME})\s*(?:<[^>]*>)?\(([^)]*)\)")
-_METHOD = re.compile(rf"^\s*(?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*\*?({_NAME})\s*(?:<[^>]*>)?\(([^)]*)\)\s*(?::[^{{;]+)?\{{")
-_ARROW = re.compile(rf"^\s*(?:export\s+)?const\s+({_NAME})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:<[^>]*>)?\(([^)]*)\)\s*(?::[^=]+)?=>")
-_TEST = re.compile(r"^\s*(?:test|it)\s*\(")
-_TEST_NAME = re.compile(r"^\s*(?:test|it)\s*\(\s*([\"'`])(.*?)\1")
-_NOT_METHODS = frozenset("if for while switch catch return function super constructor else do try with".split()) - {"constructor"}
+_NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
+# What begins a callable, in the order in which it is tried. Fixed values.
+_TEST = python(r"^\s*(?:test|it)\s*\(")
+_TEST_CALL = python(r"^\s*(?:test|it)\s*\(\s*[\"'`]([^\"'`]+)[\"'`]\s*,\s*(?:async\s*)?\(([^)]*)\)\s*=>")
+_CALLABLES = (
+    python(rf"^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s+({_NAME})\s*\(([^)]*)\)"),
+    python(rf"^\s*(?:public|private|protected)?\s*(?:async\s+)?({_NAME})\s*\(([^)]*)\)\s*[:{{]"),
+    python(rf"^\s*(?:export\s+)?(?:const|let)\s+({_NAME})\s*=\s*(?:async\s*)?\(([^)]*)\)\s*=>"),
+)
+_CONTROL = frozenset("if for while switch catch".split())
+_CLASS_LIKE = python(rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface)\s+({_NAME})\b")
 
 
-def _end(lines: list[str], first: int) -> int:
-    """The last line of the block that is declared on ``first``: where its braces close, or an expression ends."""
+def _closed(lines: list[str], first: int) -> int | None:
+    """The line on which the braces that open from ``first`` on are closed again."""
     depth, opened = 0, False
     for i in range(first, len(lines)):
-        for c in lines[i]:
-            if c == "{":
-                depth += 1
-                opened = True
-            elif c == "}":
-                depth -= 1
+        opened = opened or "{" in lines[i]
+        depth += lines[i].count("{") - lines[i].count("}")
         if opened and depth <= 0:
             return i
-        if not opened and i > first and (not lines[i].strip() or lines[i].rstrip().endswith(";")):
-            return i
-        if not opened and lines[i].rstrip().endswith(";"):
-            return i
-    return len(lines) - 1
+    return None
+
+
+def _end(lines: list[str], first: int) -> int:
+    """The last line of the block declared on ``first``. An arrow without a brace behind it ends with its statement."""
+    head, arrow, tail = lines[first].partition("=>")
+    if arrow and "{" not in tail:
+        if tail.strip().endswith(";"):
+            return first
+        for i in range(first + 1, len(lines)):
+            if not lines[i].strip():
+                return i - 1
+            if lines[i].strip().endswith(";"):
+                return i
+        return first
+    end = _closed(lines, first)
+    return len(lines) - 1 if end is None else end
+
+
+def _head(line: str, raw: str) -> re.Match | None:
+    tests = [_TEST_CALL.match(raw)] if _TEST.match(line) else []
+    return next((m for m in (*tests, *(p.match(line) for p in _CALLABLES)) if m and m.group(1) not in _CONTROL), None)
+
+
+def is_commented(raw: list[str], first: int) -> bool:
+    """Whether the next line above ``first`` that is not blank belongs to a comment that says something."""
+    i = first - 1
+    while i >= 0 and not raw[i].strip():
+        i -= 1
+    text = raw[i].strip() if i >= 0 else ""
+    if text.startswith("//"):
+        return text[2:].strip() != ""
+    if not text.startswith("/*") and not text.endswith("*/"):
+        return False
+    low = i
+    while low > 0 and not raw[low].strip().startswith("/*"):
+        low -= 1
+    high = i
+    while high < len(raw) - 1 and "*/" not in raw[high]:
+        high += 1
+    if not raw[low].strip().startswith("/*") or "*/" not in raw[high]:
+        return False
+    said = (re.sub(r"^\s*\*\s?", "", re.sub(r"\*/\s*$", "", re.sub(r"^\s*/\*\*?", "", x))).strip() for x in raw[low : high + 1])
+    return any(x and not x.startswith("@") for x in said)
 
 
 def blocks(lexed: Lexed) -> list[Block]:
-    """Functions, methods, arrow functions and test callbacks, told line by line."""
+    """Functions, methods, arrow functions and test callbacks, told line by line. A block begins with the decorators, the
+    documentation block and the blank lines right above its declaration."""
     raw = re.split(r"\r?\n", lexed.text)
     code = re.split(r"\r?\n", lexed.masked)
-    exported = set()
-    for m in re.finditer(r"export\s*\{([^}]+)\}(?!\s*from\b)|export\s+default\s+([A-Za-z_$][\w$]*)\s*;", lexed.masked):
-        exported |= {p.split(" as ")[0].strip() for p in (m.group(1) or m.group(2)).split(",")}
+    exported = {m.group(1) for m in python(rf"^\s*export\s+default\s+({_NAME})\s*;?\s*$", re.M).finditer(lexed.masked)}
+    for m in python(r"export\s*\{([^}]+)\}(?!\s*from\b)").finditer(lexed.masked):
+        exported |= {re.split(r"\s+as\s+", part.strip())[0] for part in m.group(1).split(",")}
     found = []
     for i, line in enumerate(code):
-        is_test = bool(_TEST.match(line))
-        if is_test:
-            named = _TEST_NAME.match(raw[i])
-            name, params = (named.group(2) if named else "test"), ""
-        else:
-            m = _FUNCTION.match(line) or _ARROW.match(line) or _METHOD.match(line)
-            if not m or m.group(1) in _NOT_METHODS:
-                continue
-            name, params = m.group(1), m.group(2)
-        end = _end(code, i)
-        start, commented = i, False
-        while start and (not code[start - 1].strip() or code[start - 1].strip().startswith("@")):
-            above = raw[start - 1].strip()
-            if above and not above.startswith("@"):
-                commented = True
+        m = _head(line, raw[i])
+        if not m:
+            continue
+        end, start = _end(code, i), i
+        while start and ((above := raw[start - 1].strip()) == "" or above.startswith(("@", "/**", "*"))):
             start -= 1
-        body, code_body = "\n".join(raw[start : end + 1]), "\n".join(code[start : end + 1])
         head = "\n".join(code[start : i + 1])
-        found.append(Block(name, params, start + 1, end - start + 1, body, code_body, bool(re.search(r"\b(?:export|public)\b", head)), line.lstrip().startswith("export") or name in exported, is_test, commented, i + 1))
+        found.append(Block(m.group(1), m.group(2) or "", start + 1, end - start + 1, "\n".join(raw[start : end + 1]), "\n".join(code[start : end + 1]), bool(python(r"\b(?:export|public)\b").search(head)), bool(python(r"^\s*export\b").match(line)) or m.group(1) in exported, bool(_TEST.match(line)), is_commented(raw, i), i + 1))
     return found
 
 
+@dataclass(frozen=True)
+class Region:
+    """Lines of a declaration, by its name."""
+
+    name: str
+    start: int
+    end: int
+
+
+def regions(lexed: Lexed, found: list[Block]) -> list[Region]:
+    """Where changes are looked for around a finding: callables, classes and interfaces."""
+    code = re.split(r"\r?\n", lexed.masked)
+    out = [Region(b.name, b.start_line, b.start_line + b.line_count - 1) for b in found]
+    for i, line in enumerate(code):
+        m = _CLASS_LIKE.match(line)
+        if m:
+            end = _closed(code, i)
+            out.append(Region(m.group(1), i + 1, i + 1 if end is None else end + 1))
+    return out
+
+
 @dataclass(frozen=True)
 class Import:
     specifier: str
@@ -206,16 +258,17 @@ class Import:
 
 
 def imports(lexed: Lexed) -> list[Import]:
-    """Relative imports and re-exports, also over several lines."""
+    """Relative imports and re-exports, also over several lines. Templates hold none."""
     found = []
-    for m in re.finditer(r"\b(?:import|export)\b[^;\"'`]*?[\"']", lexed.masked):
-        line_start = lexed.text.rfind("\n", 0, m.start()) + 1
+    readable = mask_templates(lexed)
+    for m in python(r"\b(?:import|export)\b[^;\"'`]*?[\"']").finditer(lexed.masked):
+        line_start = readable.rfind("\n", 0, m.start()) + 1
         if lexed.masked[line_start : m.start()].strip():
             continue
-        close = lexed.text.find(lexed.text[m.end() - 1], m.end())
-        specifier = lexed.text[m.end() : close]
+        close = readable.find(readable[m.end() - 1], m.end())
+        specifier = readable[m.end() : close]
         if specifier.startswith("."):
-            found.append(Import(specifier, lexed.line(m.start()), specifier.split("/").count(".."), bool(re.match(r"(?:import|export)\s+type\b", m.group()))))
+            found.append(Import(specifier, lexed.line(m.start()), specifier.split("/").count(".."), bool(python(r"(?:import|export)\s+type\b").match(m.group()))))
     return found
 
 
@@ -234,12 +287,16 @@ def delimiter_error(masked: str) -> tuple[str, int] | None:
     return None
 
 
-def parameter_names(params: str) -> list[str]:
-    """Plain parameter names; destructured ones are left out."""
-    names = []
+def parameters(params: str) -> list[tuple[str, str]]:
+    """(name, what the parameter is written as without modifier and dots); destructured ones are left out."""
+    out = []
     for part in params.split(","):
-        bare = re.sub(r"^\s*(?:(?:public|private|protected|readonly|override)\s+)*(?:\.\.\.)?", "", part)
-        bare = re.split(r"[=:?]", bare)[0].strip()
-        if re.fullmatch(_NAME, bare):
-            names.append(bare)
-    return names
+        bare = re.sub(r"^\.\.\.", "", python(r"^(?:public|private|protected|readonly)\s+").sub("", part.strip()))
+        name = re.split(r"[?:=]", bare)[0].strip()
+        if re.fullmatch(_NAME, name):
+            out.append((name, bare))
+    return out
+
+
+def parameter_names(params: str) -> list[str]:
+    return [name for name, _ in parameters(params)]

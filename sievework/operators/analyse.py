@@ -38,7 +38,7 @@ def scan_text(text: str | None, path: str, is_script: bool, config: Config, rule
     wrong = lexing.delimiter_error(lexed.masked)
     return {
         "code": lexed.masked, "blocks": [asdict(b) for b in blocks], "comments": [asdict(c) for c in comments], "imports": [asdict(i) for i in lexing.imports(lexed)], "bins": [],
-        "found": file_findings(File(path, text, lexed, blocks, comments, config)) if rules else [], "diagnostic": {"message": f"unmatched {wrong[0]}", "line": wrong[1]} if wrong else None,
+        "found": [*manifest_findings(path, text, config), *file_findings(File(path, text, lexed, blocks, comments, config))] if rules else [], "diagnostic": {"message": f"unmatched {wrong[0]}", "line": wrong[1]} if wrong else None,
     }
 
 

@@ -146,11 +146,19 @@ for _line in _TABLE.split("\n"):
         RULES[_id] = Rule(_id, _pillar, _severity, _confidence, float(_threshold[0]) if _threshold else None)
 
 
+# Options of rules besides their threshold, with their defaults. Fixed values.
+OPTIONS: dict[str, dict[str, float]] = {
+    "design.large-module-concentration": {"minFiles": 4, "minLines": 80},
+    "naming.generic-parameter": {"minParameters": 3, "minLineCount": 30, "minCyclomatic": 8},
+}
+
+
 @dataclass(frozen=True)
 class Config:
     """What a run may change: thresholds, disabled rules, name lists, ignored paths. The lists are fixed values."""
 
     thresholds: dict[str, float] = field(default_factory=dict)
+    options: dict[str, dict[str, float]] = field(default_factory=dict)
     severities: dict[str, str] = field(default_factory=dict)
     disabled: frozenset[str] = frozenset()
     ignored_paths: tuple[str, ...] = ()
@@ -170,6 +178,9 @@ class Config:
             raise KeyError(f"{rule_id} has no threshold")
         return value
 
+    def option(self, rule_id: str, name: str) -> float:
+        return self.options.get(rule_id, {}).get(name, OPTIONS[rule_id][name])
+
     def enabled(self, rule_id: str) -> bool:
         return rule_id not in self.disabled
 
@@ -214,9 +225,10 @@ def config_of(profile: str = "recommended", overrides: dict | None = None, custo
     disabled = set(found.get("disabled", ())) | set(overrides.get("disabled", ()))
     if only := found.get("only_pillars"):
         disabled |= {r.rule_id for r in RULES.values() if r.pillar not in only}
-    lists = {k: frozenset(v) for k, v in overrides.items() if k in Config.__dataclass_fields__ and k not in ("thresholds", "severities", "disabled", "ignored_paths")}
+    lists = {k: frozenset(v) for k, v in overrides.items() if k in Config.__dataclass_fields__ and k not in ("thresholds", "options", "severities", "disabled", "ignored_paths")}
     return Config(
         thresholds=found.get("thresholds", {}) | overrides.get("thresholds", {}),
+        options={r: found.get("options", {}).get(r, {}) | overrides.get("options", {}).get(r, {}) for r in {*found.get("options", {}), *overrides.get("options", {})}},
         severities=found.get("severities", {}) | overrides.get("severities", {}),
         disabled=frozenset(disabled),
         ignored_paths=tuple(dict.fromkeys([*found.get("ignored_paths", ()), *overrides.get("ignored_paths", ())])),

@@ -23,14 +23,17 @@ def canonical_order(collated: bool = True) -> list[Column]:
 
 
 def distinct_findings(findings: DataFrame, scope: list[str] = (), collated: bool = True) -> DataFrame:
-    """The first finding of each fingerprint in canonical order; within ``scope`` columns if there are any.
+    """The first finding of each fingerprint in canonical order; within ``scope`` columns if there are any. Nulls come first.
 
-    Findings with one fingerprint are repeats of one place, so that no window is large; a file or rule that holds a
-    third of all rows is spread by the fingerprint.
+    An aggregate that combines before the shuffle, so that repeats are neither sorted nor moved; a file or rule that holds
+    a third of all rows is spread by the fingerprint.
     """
     key = F.when(F.col("rule_id") == BY_SYMBOL, F.concat_ws("\0", "rule_id", "file_path", F.coalesce("symbol", F.lit("")))).otherwise(F.col("fingerprint"))
-    first = F.row_number().over(Window.partitionBy(*scope, key).orderBy(*canonical_order(collated)))
-    return findings.withColumn("_first", first).where("_first = 1").drop("_first")
+    names = findings.columns
+    order = F.struct(*[F.struct(c.isNotNull(), c) for c in canonical_order(collated)])
+    keyed = findings.select(*[F.col(c).alias(f"_scope{i}") for i, c in enumerate(scope)], key.alias("_key"), F.struct(*names).alias("_row"), order.alias("_order"))
+    first = keyed.groupBy(*[f"_scope{i}" for i in range(len(scope))], "_key").agg(F.min_by("_row", "_order").alias("_row"))
+    return first.select(*[F.col(f"_row.{c}").alias(c) for c in names])
 
 
 def not_in_baseline(findings: DataFrame, baseline: DataFrame, keys: tuple[str, ...] = ("fingerprint", "rule_id", "file_path")) -> DataFrame:

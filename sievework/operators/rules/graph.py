@@ -6,29 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import scalars as S
+from sievework.functions.patterns import java
 from sievework.operators.catalog import Config
 from sievework.shared import materialise
 
+# The extensions an import may leave out, in their order, and the paths of tests, declarations and fixtures.
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
 TEST = r"(?:^|/)(?:__tests__|tests?|spec)/|\.(?:test|spec)\.[cm]?[tj]sx?$"
+NO_PRODUCTION = r"\.d\.[cm]?ts$|(?:^|/)(?:__fixtures__|fixtures?|testdata|generated)/"
+EXPORTED = r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function|class|interface|type|enum|const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+QUOTED_PATH = r"[`'\"]((?:\.{1,2}/|src/|bin/|scripts/|docs/|fixtures/)[A-Za-z0-9_./-]+\.(?:ts|tsx|js|json|ya?ml|toml|md|sh))[`'\"]"
+HISTORY = r"(?i)\b(?:previously|legacy|compat|migration|ADR)\b"
 LONGEST_CYCLE = 12
 
 
+def production(path: Column) -> Column:
+    """Whether a path is that of code that is neither test, declaration, fixture nor generated."""
+    return ~path.rlike(TEST) & ~path.rlike(NO_PRODUCTION)
+
+
 def _rows(df: DataFrame, rule_id: str, message: str, line: Column, symbol: Column, metadata: Column | None = None) -> DataFrame:
     none = F.lit(None).cast("string")
     return df.select("repo", F.col("file_path"), F.lit(rule_id).alias("rule_id"), line.cast("int").alias("line"), symbol.cast("string").alias("symbol"), F.lit(message).alias("message"), none.alias("severity"), (none if metadata is None else metadata).alias("metadata_json"))
 
 
 def edges(imports: DataFrame, paths: DataFrame) -> DataFrame:
-    """Relative imports resolved to files: the path as it stands, with an extension, or as an index file; the first that
-    exists counts. ``imports``: repo, file_path, specifier, line, parents, type_only; ``paths``: repo, file_path.
+    """Relative imports resolved to files: one with an extension as it stands or with another extension, one without with
+    an extension or as a folder's index file; the first that exists counts. ``imports``: repo, file_path, specifier, line, parents, type_only; ``paths``: repo, file_path.
 
     An equi join on the path, so it is spread by the many paths of a repository and not by its name.
     """
     raw = F.when(F.col("file_path").contains("/"), F.concat(S.dir_name(F.col("file_path")), F.lit("/"), F.col("specifier"))).otherwise(F.col("specifier"))
     base = imports.withColumn("base", S.collapsed(raw))
-    bare = F.regexp_replace("base", r"\.(?:js|mjs|cjs|jsx)$", "")
-    options = F.array(F.col("base"), *[F.concat(bare, F.lit(f".{e}")) for e in EXTENSIONS], *[F.concat(F.col("base"), F.lit(f"/index.{e}")) for e in EXTENSIONS])
+    stem = F.regexp_replace("base", r"\.[^./]+$", "")
+    plain = stem == F.col("base")
+    with_extension = [F.concat(stem, F.lit(f".{e}")) for e in EXTENSIONS]
+    as_folder = [x for e in EXTENSIONS for x in (F.concat(F.col("base"), F.lit(f".{e}")), F.concat(F.col("base"), F.lit(f"/index.{e}")))]
+    options = F.when(plain, F.array(*as_folder)).otherwise(F.array(F.col("base"), *with_extension))
     tried = base.select("repo", F.col("file_path").alias("src"), "specifier", "line", "type_only", F.posexplode(options).alias("rank", "file_path"))
     hit = tried.join(paths.select("repo", "file_path"), ["repo", "file_path"])
     best = hit.groupBy("repo", "src", "specifier", "line", "type_only").agg(F.min_by("file_path", "rank").alias("dst"))
@@ -74,31 +88,43 @@ def cycles(edge: DataFrame, longest: int = LONGEST_CYCLE) -> DataFrame:
 
 
 def cycle_findings(edge: DataFrame) -> DataFrame:
-    rows = cycles(edge).withColumn("file_path", F.element_at("files", 1))
-    return _rows(rows, "design.circular-import", "Files import each other in a circle.", F.lit(1), F.array_join("files", " -> "))
+    """A finding per cycle, at the first import by which its first file joins it."""
+    found = cycles(edge).withColumn("file_path", F.element_at("files", 1))
+    inside = edge.where(~F.col("type_only")).select("repo", F.col("src").alias("file_path"), "dst", F.col("line").alias("_line"))
+    placed = found.join(inside, ["repo", "file_path"]).where(F.array_contains("files", F.col("dst")))
+    rows = placed.groupBy("repo", "file_path", "files").agg(F.min("_line").alias("_line"))
+    return _rows(rows, "design.circular-import", "Files import each other in a circle.", F.col("_line"), F.array_join("files", " -> "))
 
 
-def concentration(files: DataFrame, config: Config, least_files: int = 4, least_lines: int = 80) -> DataFrame:
+def concentration(files: DataFrame, config: Config) -> DataFrame:
     """The largest script of each repository if it holds more than the threshold of its lines, in per cent."""
-    scripts = files.where(F.col("is_script") & F.col("text").isNotNull() & ~F.col("file_path").rlike(TEST) & ~F.col("file_path").rlike(r"\.d\.[cm]?ts$"))
+    scripts = files.where(F.col("is_script") & F.col("text").isNotNull() & production(F.col("file_path")))
     lines = scripts.select("repo", "file_path", (F.regexp_count("text", F.lit("\n")) + 1).alias("n"))
-    total = lines.groupBy("repo").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("files"), F.max_by("file_path", F.struct("n", F.lit(0))).alias("file_path"), F.max("n").alias("n"))
+    # of equally large files the one with the first path holds
+    largest = F.min(F.struct((-F.col("n")).alias("_n"), "file_path"))
+    total = lines.groupBy("repo").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("files"), F.max("n").alias("n"), largest.alias("_largest"))
     share = F.floor(F.col("n") * 1000 / F.col("total") + 0.5) / 10
-    rows = total.where((F.col("files") >= least_files) & (F.col("n") >= least_lines) & (share > config.threshold("design.large-module-concentration")))
-    return _rows(rows, "design.large-module-concentration", "One file holds most of the code.", F.lit(1), S.base_name(F.col("file_path")), F.to_json(F.struct(share.alias("share"))))
+    least = {k: config.option("design.large-module-concentration", k) for k in ("minFiles", "minLines")}
+    rows = total.withColumn("file_path", F.col("_largest.file_path")).where((F.col("files") >= least["minFiles"]) & (F.col("n") >= least["minLines"]) & (share > config.threshold("design.large-module-concentration")))
+    return _rows(rows, "design.large-module-concentration", "One file holds most of the code.", F.lit(1), S.file_stem(F.col("file_path")), F.to_json(F.struct(share.alias("share"))))
 
 
 def missing_tests(files: DataFrame, edge: DataFrame) -> DataFrame:
-    """Scripts with an export that no test of the same name and no import from a test covers: two anti joins."""
+    """Scripts with an export that no test beside them and no import from a test covers: two anti joins."""
     paths = files.where(F.col("is_script")).select("repo", "file_path", "text")
-    test = F.col("file_path").rlike(TEST)
-    name = F.lower(F.regexp_replace(F.regexp_replace(S.base_name(F.col("file_path")), r"\.[^.]+$", ""), r"\.(?:test|spec)$", ""))
-    tests = paths.where(test).select("repo", name.alias("name")).distinct()
-    exported = F.regexp_extract("text", r"(?m)\bexport\s+(?:default\s+)?(?:async\s+)?(?:function|class|interface|type|enum|const|let|var)\s+([A-Za-z_$][\w$]*)", 1)
-    open_files = paths.where(~test & ~F.col("file_path").rlike(r"\.d\.[cm]?ts$|(?:^|/)(?:__fixtures__|fixtures?|testdata)/")).select("repo", "file_path", name.alias("name"), exported.alias("symbol")).where(F.col("symbol") != "")
+    base = F.regexp_replace("file_path", r"\.[cm]?[tj]sx?$", "")
+    folder = F.when(S.dir_name(F.col("file_path")) == ".", F.lit("")).otherwise(S.dir_name(F.col("file_path")))
+    below = lambda name: F.when(folder == "", F.lit(name)).otherwise(F.concat(folder, F.lit(f"/{name}")))
+    # a test covers files of its name in its folder and above it; one in a top folder covers files everywhere
+    tests = paths.where(F.col("file_path").rlike(TEST)).select("repo", S.base_name(F.regexp_replace(base, r"\.(?:test|spec)$", "")).alias("name"), F.when(F.col("file_path").rlike("^tests?/"), F.lit("*")).otherwise(folder).alias("at")).distinct()
+    text = F.col("text")
+    before = F.regexp_extract(text, java(rf"([\s\S]*?){EXPORTED}"), 1)
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    open_files = paths.where(production(F.col("file_path")) & text.rlike(java(EXPORTED))).select("repo", "file_path", S.base_name(base).alias("name"), F.regexp_extract(text, java(EXPORTED), 1).alias("symbol"), line.alias("_line"), F.explode(F.array(folder, below("__tests__"), below("tests"), F.lit("*"))).alias("at"))
+    covered = open_files.join(tests, ["repo", "name", "at"], "left_semi").select("repo", "file_path").distinct()
     imported = edge.where(F.col("src").rlike(TEST)).select("repo", F.col("dst").alias("file_path")).distinct()
-    rows = open_files.join(tests, ["repo", "name"], "left_anti").join(imported, ["repo", "file_path"], "left_anti")
-    return _rows(rows, "test-quality.missing-nearby-test", "No test covers the file.", F.lit(1), F.col("symbol"))
+    rows = open_files.where("at = '*'").join(covered.unionByName(imported), ["repo", "file_path"], "left_anti")
+    return _rows(rows, "test-quality.missing-nearby-test", "No test covers the file.", F.col("_line"), F.col("symbol"))
 
 
 def bin_findings(bins: DataFrame, files: DataFrame) -> DataFrame:
@@ -116,11 +142,11 @@ def bin_findings(bins: DataFrame, files: DataFrame) -> DataFrame:
 def stale_paths(comments: DataFrame, paths: DataFrame) -> DataFrame:
     """Comments that quote a path which exists neither below the root nor beside the file: an anti join on the path.
     Comments that speak of the past are left alone. ``comments``: repo, file_path, text, line."""
-    quoted = F.regexp_extract_all("text", F.lit(r"[`'\"]((?:\.{1,2}/|src/|bin/|scripts/|docs/|fixtures/)[A-Za-z0-9_./-]+\.(?:ts|tsx|js|json|ya?ml|toml|md|sh))[`'\"]"), F.lit(1))
-    told = comments.where(~F.col("text").rlike(r"(?i)\b(?:previously|legacy|compat|migration|ADR)\b")).select("repo", "file_path", "line", F.explode(quoted).alias("quoted"))
+    quoted = F.regexp_extract_all("text", F.lit(QUOTED_PATH), F.lit(1))
+    told = comments.where(~F.col("text").rlike(java(HISTORY))).select("repo", "file_path", "line", F.explode(quoted).alias("quoted"))
     folder = S.dir_name(F.col("file_path"))
     beside = F.when(folder == ".", F.col("quoted")).otherwise(F.concat(folder, F.lit("/"), F.col("quoted")))
     tried = told.select("*", F.explode(F.array_distinct(F.array(S.collapsed(F.col("quoted")), S.collapsed(beside)))).alias("at"))
     known = paths.select("repo", F.col("file_path").alias("at"), F.lit(True).alias("_there")).distinct()
     found = tried.join(known, ["repo", "at"], "left").groupBy("repo", "file_path", "line", "quoted").agg(F.max("_there").alias("_there"))
-    return _rows(found.where(F.col("_there").isNull()), "docs.stale-comment", "The comment names a path that does not exist.", F.col("line"), F.col("quoted"))
+    return _rows(found.where(F.col("_there").isNull()), "docs.stale-comment", "The comment names a path that does not exist.", F.col("line"), F.lit(None), F.to_json(F.struct(F.col("quoted").alias("reference"))))

@@ -1,7 +1,6 @@
 """Rules on single lines: one scan of the lines tests all patterns at once, as built-in column expressions.
 
-Patterns are fixed values. ``\\b`` would see letters beyond ASCII as part of a word here, so ASCII look-arounds stand for
-it, and white space includes the no-break space.
+Patterns are fixed values. They are written as usual and translated by ``java``, see there.
 """
 
 from __future__ import annotations
@@ -12,15 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import scalars as S
+from sievework.functions.patterns import java
 from sievework.operators.catalog import Config
 
-_B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-
-
-def _java(pattern: str) -> str:
-    """``<`` and ``>`` between tildes mark the start and the end of a word."""
-    return pattern.replace("~<", _B).replace("~>", _E)
-
 
 @dataclass(frozen=True)
 class LineRule:
@@ -29,103 +22,141 @@ class LineRule:
     message: str
     #: "masked": the masked line; "code": the raw line, where a match has to begin in code.
     on: str = "masked"
+    #: The group that is the finding's symbol, of each match; without one a line gives one finding.
     symbol: int | None = None
 
 
+_NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
 LINE_RULES = [
-    LineRule("security.eval-call", r"~<eval\s*\(", "Code is built at run time by eval()."),
-    LineRule("security.new-function", r"~<new\s+Function\s*\(|(?:^|[=(:,])\s*Function\s*\(", "Code is built at run time by the Function constructor."),
-    LineRule("security.insecure-random", r"~<Math\.random\s*\(", "Math.random() is no source for secrets."),
-    LineRule("security.inner-html", r"\.innerHTML\s*=(?!=)(?!\s*(?:\"\"|''))|~<dangerouslySetInnerHTML~>", "Markup is set from code."),
-    LineRule("security.proto-access", r"\.__proto__~>", "The prototype is reached directly."),
-    LineRule("security.document-write", r"~<document\.write\s*\(", "The document is written to directly."),
-    LineRule("waste.redundant-boolean-cast", r"~<(?:if|while)\s*\(\s*(?:!!\s*[A-Za-z_$][A-Za-z0-9_$.]*|Boolean\s*\()", "A condition is cast to a boolean anyway."),
-    LineRule("security.weak-crypto", r"~<(?:createHash|createHmac)\s*\(\s*[\"'](?:md5|sha1)[\"']|~<createCipher\s*\(|~<(?:secureProtocol|minVersion|maxVersion)\s*:\s*[\"'](?:SSLv2_method|SSLv3_method|TLSv1(?:_method)?|TLSv1\.1|TLSv1_1_method)[\"']", "A broken algorithm or protocol is asked for.", "code"),
-    LineRule("security.disabled-tls-verification", r"(?i)~<(?:process\.env\.)?NODE_TLS_REJECT_UNAUTHORIZED~>\s*=\s*[\"']0[\"']|~<rejectUnauthorized\s*:\s*false~>", "Certificates are not checked.", "code"),
-    LineRule("security.javascript-url", r"(?i)[\"'`]\s*javascript\s*:(?!\s+URL~>)", "A URL holds script.", "code"),
+    LineRule("security.eval-call", r"\beval\s*\(", "Code is built at run time by eval()."),
+    LineRule("security.new-function", r"\bnew\s+Function\s*\(|(?:^|[=(:,])\s*Function\s*\(", "Code is built at run time by the Function constructor."),
+    LineRule("security.insecure-random", r"\bMath\.random\s*\(", "Math.random() is no source for secrets."),
+    LineRule("security.inner-html", r"\.innerHTML\s*=(?!\s*(?:\"\"|''))|\bdangerouslySetInnerHTML\b", "Markup is set from code."),
+    LineRule("security.proto-access", r"\.__proto__\b", "The prototype is reached directly."),
+    LineRule("security.document-write", r"\bdocument\.write\s*\(", "The document is written to directly."),
+    LineRule("waste.redundant-boolean-cast", r"\b(?:if|while)\s*\(\s*(?:!!\s*[A-Za-z_$][A-Za-z0-9_$.]*|Boolean\s*\()", "A condition is cast to a boolean anyway."),
+    LineRule("security.weak-crypto", r"(?i)\b(?:createHash|createHmac)\s*\(\s*[\"'](?:md5|sha1)[\"']|\bcreateCipher\s*\(|\b(?:secureProtocol|minVersion|maxVersion)\s*:\s*[\"'](?:SSLv2_method|SSLv3_method|TLSv1(?:_method)?|TLSv1\.1)[\"']", "A broken algorithm or protocol is asked for.", "code"),
+    LineRule("security.disabled-tls-verification", r"(?i)\b(?:process\.env\.)?NODE_TLS_REJECT_UNAUTHORIZED\b\s*=\s*[\"']0[\"']|\brejectUnauthorized\s*:\s*false\b", "Certificates are not checked.", "code"),
+    LineRule("security.javascript-url", r"(?i)[\"'`]\s*javascript\s*:(?!\s+URL\b)", "A URL holds script.", "code"),
     LineRule("security.proto-access", r"\[\s*[\"']__proto__[\"']\s*\]", "The prototype is reached by its name.", "code"),
-    LineRule("security.sql-concatenation", r"(?i)~<(?:query|execute|raw)\s*\(\s*(?:`[^`]*(?:SELECT|INSERT|UPDATE|DELETE)[^`]*\$\{|[\"'][^\"']*(?:SELECT|INSERT|UPDATE|DELETE)[^\"']*[\"']\s*\+)", "A statement is put together from text.", "code"),
-    LineRule("modernisation.date-now-candidate", r"~<new\s+Date\s*\(\s*\)\s*\.getTime\s*\(\s*\)|~<Number\s*\(\s*new\s+Date\s*\(\s*\)\s*\)", "Date.now() says the same.", "code"),
-    LineRule("modernisation.object-spread-candidate", r"~<Object\.assign\s*\(\s*\{\s*\}\s*,", "A spread says the same.", "code"),
-    LineRule("waste.console-log", r"~<console\.(?:log|debug)\s*\(", "A line writes to the console.", "code"),
-    LineRule("waste.any-type", r":\s*any~>|as\s+any~>", "The type any switches checks off.", "code"),
-    LineRule("modernisation.var-declaration", r"~<var\s+[A-Za-z_$]", "A var could be let or const.", "code"),
-    LineRule("security.async-foreach", r"\.forEach\s*\(\s*async~>", "forEach does not wait for its callback."),
-    LineRule("security.string-timer", r"(?:^|[^.\w$])(?:setTimeout|setInterval|execScript)\s*\(\s*[\"'`]|~<(?:window|self|globalThis)\.(?:setTimeout|setInterval|execScript)\s*\(\s*[\"'`]", "A timer is given text."),
-    LineRule("modernisation.optional-chaining-candidate", r"~<([A-Za-z_$][A-Za-z0-9_$]*)\s*&&\s*\1\.[A-Za-z_$]", "Optional chaining says the same.", symbol=1),
+    LineRule("security.sql-concatenation", r"(?i)\b(?:query|execute|raw)\s*\(\s*(?:`[^`]*(?:SELECT|INSERT|UPDATE|DELETE)[^`]*\$\{|[\"'][^\"']*(?:SELECT|INSERT|UPDATE|DELETE)[^\"']*[\"']\s*\+)", "A statement is put together from text.", "code"),
+    LineRule("modernisation.date-now-candidate", r"\bnew\s+Date\s*\(\s*\)\s*\.getTime\s*\(\s*\)|\bNumber\s*\(\s*new\s+Date\s*\(\s*\)\s*\)", "Date.now() says the same.", "code"),
+    LineRule("modernisation.object-spread-candidate", r"\bObject\.assign\s*\(\s*\{\s*\}\s*,", "A spread says the same.", "code"),
+    LineRule("waste.console-log", r"\bconsole\.(?:log|debug)\s*\(", "A line writes to the console.", "code"),
+    LineRule("waste.any-type", r":\s*any\b|as\s+any\b", "The type any switches checks off.", "code"),
+    LineRule("modernisation.var-declaration", r"\bvar\s+[A-Za-z_$]", "A var could be let or const.", "code"),
+    LineRule("security.async-foreach", r"\.forEach\s*\(\s*async\b", "forEach does not wait for its callback."),
+    LineRule("security.string-timer", r"(?:^|[^.A-Za-z0-9_$])(?:setTimeout|setInterval|execScript)\s*\(\s*[\"'`]|\b(?:window|self|globalThis)\.(?:setTimeout|setInterval|execScript)\s*\(\s*[\"'`]", "A timer is given text."),
+    LineRule("modernisation.optional-chaining-candidate", rf"\b({_NAME})\s*&&\s*\1\.{_NAME}", "Optional chaining says the same.", symbol=1),
     LineRule("modernisation.nullish-coalescing-candidate", r"=\s*([A-Za-z_$][A-Za-z0-9_$.]*)\s*\|\|\s*(?:[\"'`]\s*[\"'`]|\d+|true|false)", "?? may be meant.", symbol=1),
-    LineRule("modernisation.loose-equality", r"(?<![=!<>])(?:==|!=)(?!=)", "A comparison converts types."),
-    LineRule("modernisation.non-null-assertion", r"[\w$\])]!(?=\s*(?:[.\[),;]|as~>|in~>|instanceof~>|$))(?!=)", "A null check is waived."),
-    LineRule("modernisation.double-cast", r"~<as\s+(?:unknown|any)\s+as\s+[A-Za-z_$]", "A cast goes by way of another type."),
-    LineRule("security.throw-non-error", r"~<throw\s+(?:[\"'`]|\d|\{|\[)", "What is thrown is no error."),
-    LineRule("security.floating-promise", r"^\s*(?!(?:await|return|void|throw|yield|const|let|var)~>)(?:[A-Za-z_$][\w$]*\.)*(?:fetch|[A-Za-z_$][\w$]*(?:Async|Promise))\s*\(", "Nobody waits for a promise."),
-    LineRule("waste.exported-any", r"~<export~>.*~<(?:function|const|let|var|class|interface|type)\s+[A-Za-z_$].*~<any~>", "An exported declaration uses any."),
+    LineRule("modernisation.loose-equality", r"(?<![=!])(?<!\bnull\s{0,20})[=!]=(?!=)(?!\s*null\b)", "A comparison converts types."),
+    LineRule("modernisation.non-null-assertion", rf"\b({_NAME}(?:\.{_NAME})*)!(?=\.|\[|\)|,|;|\s+(?:as|in|instanceof)\b|\s*$)", "A null check is waived.", symbol=1),
+    LineRule("modernisation.double-cast", r"\bas\s+(?:unknown|any)\s+as\s+[^;,\n]+", "A cast goes by way of another type."),
+    LineRule("security.throw-non-error", r"^(?:(?!\bthrow\s).)*\bthrow\s+(?:[\"'`]|\d|\{|\[)", "What is thrown is no error."),
+    LineRule("security.floating-promise", rf"^\s*(?!(?:await|return|void|throw|yield)\b)(?!(?:const|let|var)\s)(fetch|(?:{_NAME}\.)*[A-Za-z0-9_$]*(?:Async|Promise))\s*\(", "Nobody waits for a promise.", symbol=1),
+    LineRule("waste.exported-any", rf"^(?=.*\bany\b).*?\bexport\s+(?:async\s+)?(?:function|const|let|var|class|interface|type)\s+({_NAME})", "An exported declaration uses any.", symbol=1),
 ]
 _CONSOLE_FREE = r"(?:^|/)(?:scripts|bin)/|(?i:(?:^|/)(?:cli|server)[/.])"
-_LITERAL_COMMENTED = r"^\s*//\s*(?:(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*=|(?:async\s+)?function\s+[A-Za-z_$][\w$]*\s*\(|class\s+[A-Za-z_$][\w$]*(?:\s+extends\s+[A-Za-z_$][\w$]*)?\s*\{|interface\s+[A-Za-z_$][\w$]*\s*\{|type\s+[A-Za-z_$][\w$]*\s*=|enum\s+[A-Za-z_$][\w$]*\s*\{|import\s+(?:[\"'][^\"']+[\"']|.+\s+from\s+[\"'])|export\s+(?:\{|\*|(?:default\s+)?(?:const|let|var|function|class|interface|type|enum)~>)|(?:if|for|while|switch)\s*\(|(?:return|throw|await)\s+\S+.*;\s*$|[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)?\s*\([^)]*\);?\s*$)"
-_PROSE = r"^\s*//\s*(?:[-=*_#]{3,}|[A-Za-z_$][\w$]*\s*:\s*['\"`\[{]|.*~<(?:search|grep|anchor|example|e\.g\.)\s*:|(?!(?:if|for|while|switch)~>)[A-Za-z_$][\w$]*\s+\([^;{}]*[A-Za-z][^;{}]*\)$|[A-Z][\w$]*(?:\s|\s*\([^)]*\)$))"
-
-
-def _hit(rule: LineRule) -> Column:
-    pattern = _java(rule.pattern)
-    if rule.on == "masked":
-        return F.col("code").rlike(pattern)
-    # the raw line matches, and what the match begins with is not blank in the masked line
-    at = F.regexp_instr("line", F.lit(pattern))
-    return (at > 0) & (F.trim(F.substring(F.col("code"), at, F.lit(1))) != "")
+_TRUST = r"(?i)\b(?:trust boundary|external input|wire format|parser boundary|TS2352|unknown hop|validated|narrowed|type guard|schema)\b"
+_RATIONALE = r"(?i)\b(?:because|intentional|false positive|tracked in|M\d{1,3}|ADR-\d{3}|GH-\d+)\b|\breason\s*:|(?:^|\s)#\d+\b|https?://"
+_DIRECTIVE = r"@ts-(?:ignore|expect-error)\b(.*)$"
+# A line comment, and what it must and must not say to be code that is switched off.
+_COMMENTED = r"^\s*//+\s?"
+_STATEMENT = (
+    r"(?:(?:const|let|var)\s+[A-Za-z_$][A-Za-z0-9_$]*\s*=|(?:async\s+)?function\s+[A-Za-z_$][A-Za-z0-9_$]*\s*\(|class\s+[A-Za-z_$][A-Za-z0-9_$]*|interface\s+[A-Za-z_$][A-Za-z0-9_$]*|type\s+[A-Za-z_$][A-Za-z0-9_$]*\s*=|enum\s+[A-Za-z_$][A-Za-z0-9_$]*"
+    r"|import\s+(?:[\"'][^\"']+[\"']|.+\s+from\s+[\"'][^\"']+[\"'])|export\s+(?:\{|\*|(?:default\s+)?(?:const|let|var|function|class|interface|type|enum)\b)|(?:if|for|while|switch)\s*\(|(?:return|throw|await)\s+\S|[A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)?\s*\([^)]*\);?\s*$)"
+)
+_PROSE = r"\s*$|[-=*_#]{3,}\s*$|\s*[A-Za-z_$][A-Za-z0-9_$]*\s*:\s*['\"`\[{]|.*\b(?:search|grep|anchor|example|for example|e\.g\.)\s*:|\s*(?!(?:if|for|while|switch)\b)[A-Za-z_$][A-Za-z0-9_$]*\s+\([^;{}]*[A-Za-z][^;{}]*\)\s*$|\s*[A-Z][A-Za-z0-9_$]*(?:\s+\S|\s*\([^)]*\)\s*$)"
+_LITERALS = r"\"(?:[^\"\\]|\\.)*(?:\"|$)|'(?:[^'\\]|\\.)*(?:'|$)|`(?:[^`\\]|\\.)*(?:`|$)|//.*|[^\"'`/]+|/"
+
+
+def code_line(line: Column) -> Column:
+    """A line by itself as code: the bodies of its literals blank, and cut off at a line comment."""
+    token = F.regexp_extract_all(line, F.lit(f"(?:{_LITERALS})"), F.lit(0))
+    quoted = lambda t: F.left(t, F.lit(1)).isin('"', "'", "`")
+    closed = lambda t: (F.length(t) > 1) & (F.right(t, F.lit(1)) == F.left(t, F.lit(1)))
+    blank = lambda t: F.concat(F.left(t, F.lit(1)), F.repeat(F.lit(" "), F.length(t) - F.when(closed(t), 2).otherwise(1)), F.when(closed(t), F.left(t, F.lit(1))).otherwise(""))
+    return F.array_join(F.transform(token, lambda t: F.when(t.startswith("//"), "").when(quoted(t), blank(t)).otherwise(t)), "")
+
+
+def _starts_in_code(pattern: str) -> Column:
+    """Whether one of the matches in the raw line begins with what is not blank in the masked line.
+
+    Matches and what stands in front of each are taken in turn, so that one in a comment or a text hides no later one.
+    """
+    flags = pattern[:4] if pattern.startswith("(?i)") else ""
+    bare = pattern[len(flags) :]
+    part = lambda i: F.regexp_extract_all("line", F.lit(f"{flags}([\\s\\S]*?)(?:{bare})"), F.lit(i))
+    matches = F.arrays_zip(part(0).alias("all"), part(1).alias("front"))
+    at_code = lambda at: F.trim(F.substring(F.col("code"), at, F.lit(1))) != ""
+    walked = F.aggregate(matches, F.struct(F.lit(1).alias("at"), F.lit(False).alias("hit")), lambda s, m: F.struct((s["at"] + F.length(m["all"])).alias("at"), (s["hit"] | at_code(s["at"] + F.length(m["front"]))).alias("hit")), lambda s: s["hit"])
+    return F.when(F.col("line").rlike(pattern), walked).otherwise(False)
 
 
 def line_findings(lines: DataFrame, config: Config = Config()) -> DataFrame:
-    """Findings of all line rules in one pass. ``lines``: repo, file_path, n, line, code (masked, null: the raw line).
+    """Findings of all line rules in one pass. ``lines``: repo, file_path, n, line, code (masked; null: see
+    :func:`code_line`).
 
     Lines are only filtered and projected, so nothing is shuffled; null lines give nothing.
     """
-    source = lines.where(F.col("line").isNotNull()).withColumn("code", F.coalesce("code", "line"))
-    console_free = F.col("file_path").rlike(_CONSOLE_FREE)
+    source = lines.where(F.col("line").isNotNull()).withColumn("code", F.coalesce("code", code_line(F.col("line"))))
+    none = F.lit(None).cast("string")
+    row = lambda rule, symbol, severity=none: F.struct(F.lit(rule.rule_id).alias("rule_id"), symbol.alias("symbol"), F.lit(rule.message).alias("message"), severity.alias("severity"))
+    once = lambda hit, *args: F.when(F.coalesce(hit, F.lit(False)), F.array(row(*args))).otherwise(F.array().cast("array<struct<rule_id:string,symbol:string,message:string,severity:string>>"))
+    each = lambda pattern, group, rule: F.transform(F.regexp_extract_all("code", F.lit(pattern), F.lit(group)), lambda s: row(rule, s))
     found = []
     for rule in LINE_RULES:
         if not config.enabled(rule.rule_id):
             continue
-        hit = _hit(rule)
+        pattern = java(rule.pattern)
+        if rule.symbol:
+            found.append(each(pattern, rule.symbol, rule))
+            continue
+        hit, severity = (F.col("code").rlike(pattern) if rule.on == "masked" else _starts_in_code(pattern)), none
         if rule.rule_id == "waste.console-log":
-            hit = hit & ~F.coalesce(console_free, F.lit(False))
-        if rule.rule_id == "modernisation.loose-equality":
-            hit = hit & ~F.col("code").rlike(r"(?:==|!=)\s*null\b|\bnull\s*(?:==|!=)")
-        severity = F.lit(None).cast("string")
+            hit = hit & ~F.coalesce(F.col("file_path").rlike(_CONSOLE_FREE), F.lit(False))
         if rule.rule_id == "modernisation.double-cast":
-            severity = F.when(F.col("line").rlike(r"(?i)(?://|/\*).*\b(?:trust boundary|external input|wire format|parser boundary|validated|narrowed|type guard|schema)\b"), "advisory")
-        symbol = F.regexp_extract("code", _java(rule.pattern), rule.symbol) if rule.symbol else F.lit(None).cast("string")
-        found.append(F.when(hit, F.struct(F.lit(rule.rule_id).alias("rule_id"), symbol.alias("symbol"), F.lit(rule.message).alias("message"), severity.alias("severity"))))
-    plain = lambda rule_id, hit, message, symbol=None: F.when(hit, F.struct(F.lit(rule_id).alias("rule_id"), (F.lit(None).cast("string") if symbol is None else symbol).alias("symbol"), F.lit(message).alias("message"), F.lit(None).cast("string").alias("severity")))
+            severity = F.when(F.col("line").rlike(r"//|/\*") & F.col("line").rlike(java(_TRUST)), "advisory")
+        found.append(once(hit, rule, none, severity))
     if config.enabled("waste.commented-out-code"):
-        found.append(plain("waste.commented-out-code", F.col("line").rlike(_java(_LITERAL_COMMENTED)) & ~F.col("line").rlike(_java(_PROSE)), "A comment holds code."))
+        rule = LineRule("waste.commented-out-code", "", "A comment holds code.")
+        found.append(once(F.col("line").rlike(java(_COMMENTED + _STATEMENT)) & ~F.col("line").rlike(java(f"{_COMMENTED}(?:{_PROSE})")), rule, none))
     if config.enabled("modernisation.ts-comment-without-rationale"):
-        told = F.regexp_extract("line", r"@ts-(?:ignore|expect-error)\b(.*)$", 1)
-        words = F.size(F.regexp_extract_all(told, F.lit(r"([A-Za-z]{3,})"), F.lit(1)))
-        found.append(plain("modernisation.ts-comment-without-rationale", F.col("line").rlike(r"@ts-(?:ignore|expect-error)\b") & (words < 3) & ~told.rlike(r"(?i)\b(?:because|reason|todo|see|ADR-\d+|GH-\d+)\b|#\d+|https?://"), "A check is switched off without a reason."))
+        rule = LineRule("modernisation.ts-comment-without-rationale", "", "A check is switched off without a reason.")
+        told = F.regexp_replace(F.regexp_extract("line", java(_DIRECTIVE), 1), java(r"^[-:\s]+"), "")
+        words = F.regexp_count(told, F.lit("[A-Za-z]{3,}"))
+        found.append(once(F.col("line").rlike(java(_DIRECTIVE)) & (words < 3) & ~told.rlike(java(_RATIONALE)), rule, none))
     if config.enabled("naming.hungarian-notation") and config.hungarian_prefixes:
-        pattern = _B + r"(?:const|let|var|public|private|protected)\s+((?:" + "|".join(sorted(config.hungarian_prefixes)) + r")[A-Z][A-Za-z0-9_$]*)"
-        found.append(plain("naming.hungarian-notation", F.col("code").rlike(pattern), "A name begins with its type.", F.regexp_extract("code", pattern, 1)))
-    rows = source.select("repo", "file_path", F.col("n").alias("found_line"), F.inline(F.array_compact(F.array(*found))))
-    return rows.select("repo", "file_path", "rule_id", F.col("found_line").alias("line"), "symbol", "message", "severity", F.lit(None).cast("string").alias("metadata_json"))
+        pattern = r"\b(?:const|let|var|public|private|protected)\s+((?:" + "|".join(sorted(config.hungarian_prefixes)) + r")[A-Z][A-Za-z0-9_$]*)"
+        found.append(each(java(pattern), 1, LineRule("naming.hungarian-notation", "", "A name begins with its type.")))
+    rows = source.select("repo", "file_path", F.col("n").alias("found_line"), F.inline(F.concat(*found)))
+    return rows.select("repo", "file_path", "rule_id", F.col("found_line").alias("line"), "symbol", "message", "severity", none.alias("metadata_json"))
 
 
 # ---- secrets: on the raw text of every file
 
+_MBI = "ACDEFGHJKMNPQRTUVWXY"
 SECRETS = [
     ("sensitive-data.aws-access-key", r"AKIA[0-9A-Z]{16}"),
     ("sensitive-data.private-key", r"BEGIN (?:RSA |OPENSSH |EC |DSA )?PRIVATE KEY"),
     ("sensitive-data.jwt-token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    ("sensitive-data.database-url-password", r"~<(?:https?|postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|redis|amqps?|mssql)://[^/\s:@]+:[^/\s@]+@"),
-    ("sensitive-data.api-key-pattern", r"~<(?:sk_live_[A-Za-z0-9_-]{12,}|sk_test_[A-Za-z0-9_-]{12,}|sk-proj-[A-Za-z0-9_-]{16,}|sk-ant-[A-Za-z0-9_-]{16,}|ghp_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|gh[ousr]_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{20,}|xox[baprs]-[A-Za-z0-9-]{10,}|https://hooks\.slack\.com/services/[A-Za-z0-9_-]+/[A-Za-z0-9_-]+/[A-Za-z0-9_-]+|https://discord(?:app)?\.com/api/webhooks/\d+/[A-Za-z0-9_-]+)"),
-    ("sensitive-data.api-key-pattern", r"(?<=_authToken=)[^\s$]{8,}"),
-    ("sensitive-data.pii-pattern", r"~<\d{3}-\d{2}-\d{4}~>"),
-    ("sensitive-data.phi-pattern", r"~<[1-9][ACDEFGHJKMNPQRTUVWXY][ACDEFGHJKMNPQRTUVWXY0-9]\d[ACDEFGHJKMNPQRTUVWXY][ACDEFGHJKMNPQRTUVWXY0-9]\d[ACDEFGHJKMNPQRTUVWXY]{2}\d\d~>"),
-    ("sensitive-data.phi-pattern", r"(?<=MRN[:# ]{1,2})\d{6,12}~>"),
+    ("sensitive-data.database-url-password", r"\b(?:https?|postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|redis|amqp|amqps|mssql)://[^/\s:@]+:[^/\s@]+@"),
+    ("sensitive-data.api-key-pattern", r"\b(?:sk_live_[A-Za-z0-9_-]{12,}|sk_test_[A-Za-z0-9_-]{12,}|sk-proj-[A-Za-z0-9_-]{16,}|sk-ant-[A-Za-z0-9_-]{16,}|ghp_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|gh[ousr]_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}|npm_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{20,}|xox[baprs]-[A-Za-z0-9-]{10,}|https://hooks\.slack\.com/services/[A-Za-z0-9_-]+/[A-Za-z0-9_-]+/[A-Za-z0-9_-]+|https://discord(?:app)?\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]+)\b"),
+    ("sensitive-data.pii-pattern", r"\b\d{3}-\d{2}-\d{4}\b"),
+    ("sensitive-data.phi-pattern", rf"\b[1-9][{_MBI}][{_MBI}0-9]\d[{_MBI}][{_MBI}0-9]\d[{_MBI}][{_MBI}]\d\d\b"),
+]
+# Of these only the first match of a line counts, and its group is the value.
+LABELLED = [
+    ("sensitive-data.api-key-pattern", r"(?:^|:)_authToken\s*=\s*([A-Za-z0-9_-]{20,})\b"),
+    ("sensitive-data.phi-pattern", r"(?i)\b(?:MRN|medical[\s_-]?record(?:[\s_-]?number)?)\b\s*[:=#]?\s*([0-9]{6,12})\b"),
 ]
+_CARD = r"\b(?:\d[ -]?){12,18}\d\b"
 _ENV = r"(?i)^\s*((?:API[_-]?KEY|TOKEN|SECRET|PASSWORD|CREDENTIAL|DATABASE_URL|DSN)|[A-Z][A-Z0-9_-]*(?:API[_-]?KEY|TOKEN|SECRET|PASSWORD|CREDENTIAL|DATABASE_URL|DSN)[A-Z0-9_-]*)\s*[:=]\s*[\"']?([^\"'\s#]+)[\"']?"
-_QUOTED = r"[\"'`]([A-Za-z0-9_+=./-]{24,})[\"'`]"
-_REPO_PATH = r"\.(?:md|mdx|ts|tsx|js|jsx|mjs|cjs|json|yaml|yml|toml|html|css|svg|sh)$|(?:^|/)(?:src|test|tests|fixtures?|docs|scripts|bin|workflow|package(?:-lock)?\.json)(?:/|$)"
+_NO_SECRET = r"(?i)^(?:x-api-key|token|secret|password|example|sample|placeholder)$"
+_QUOTED = r"([\"'`])([A-Za-z0-9_+=./-]{24,})\1"
+_FILE_NAME = r"\.(?:md|mdx|ts|tsx|js|jsx|mjs|cjs|json|yaml|yml|toml|html|css|svg|sh)$"
+_FOLDER = r"(?:^|/)(?:src|test|tests|fixtures?|docs|scripts|bin|workflow|package(?:-lock)?\.json)(?:/|$)"
+_NOTE_NAME = r"(?i)^(?:ADR-\d{3}|M\d{2,3})-[A-Za-z0-9_.-]+\.(?:md|mdx)$"
 
 
 def secret_findings(lines: DataFrame, config: Config = Config()) -> DataFrame:
@@ -135,30 +166,34 @@ def secret_findings(lines: DataFrame, config: Config = Config()) -> DataFrame:
     """
     line = F.col("line")
     found = lambda rule_id, values: F.transform(values, lambda v: F.struct(F.lit(rule_id).alias("rule_id"), v.alias("value")))
-    parts = [found(rule_id, F.regexp_extract_all(line, F.lit(f"({_java(p)})"), F.lit(1))) for rule_id, p in SECRETS if config.enabled(rule_id)]
-    cards = F.filter(F.regexp_extract_all(line, F.lit(r"(?<![0-9A-Za-z])(\d(?:[ -]?\d){12,18})(?![0-9A-Za-z])"), F.lit(1)), lambda v: F.coalesce(S.luhn(F.regexp_replace(v, "[ -]", "")) & S.card_issuer(F.regexp_replace(v, "[ -]", "")).isNotNull(), F.lit(False)))
-    parts.append(found("sensitive-data.pii-pattern", cards))
-    env = F.regexp_extract(line, _ENV, 2)
+    nothing = F.array().cast("array<string>")
+    if_any = lambda value: F.when(value != "", F.array(value)).otherwise(nothing)
+    parts = [found(rule_id, F.regexp_extract_all(line, F.lit(java(p)), F.lit(0))) for rule_id, p in SECRETS]
+    parts += [found(rule_id, if_any(F.regexp_extract(line, java(p), 1))) for rule_id, p in LABELLED]
+    digits = lambda v: F.regexp_replace(v, "[ -]", "")
+    parts.append(found("sensitive-data.pii-pattern", F.filter(F.regexp_extract_all(line, F.lit(java(_CARD)), F.lit(0)), lambda v: F.coalesce(S.luhn(digits(v)) & S.card_issuer(digits(v)).isNotNull(), F.lit(False)))))
+    value = F.regexp_extract(line, java(_ENV), 2)
     least = int(config.threshold("sensitive-data.hardcoded-env-value"))
-    env_ok = line.rlike(_ENV) & (F.length(env) >= least) & ~env.rlike(r"(?i)^(?:x-api-key|token|secret|password|example|sample|placeholder)$") & env.rlike("[A-Za-z]") & env.rlike("[0-9]")
-    parts.append(found("sensitive-data.hardcoded-env-value", F.when(env_ok, F.array(env)).otherwise(F.array().cast("array<string>"))))
+    given = (F.length(value) >= least) & ~value.rlike(_NO_SECRET) & value.rlike("[A-Za-z]") & value.rlike("[0-9]")
+    parts.append(found("sensitive-data.hardcoded-env-value", F.when(given, F.array(value)).otherwise(nothing)))
     longest = int(config.threshold("sensitive-data.high-entropy-string"))
 
     def dense(v: Column) -> Column:
         distinct = F.size(F.array_distinct(F.split(v, "")))
-        shaped = (F.length(v) >= longest) & ~v.rlike("(?i)^[0-9a-f]+$") & ~v.rlike("^sha(?:256|384|512)-") & ~v.rlike(_REPO_PATH)
+        path = v.rlike(_FILE_NAME) & F.when(v.contains("/"), v.rlike(_FOLDER)).otherwise(v.rlike(_NOTE_NAME))
+        shaped = (F.length(v) >= longest) & ~v.rlike("(?i)^[0-9a-f]+$") & ~v.rlike("^sha(?:256|384|512)-[A-Za-z0-9+/=]+$") & ~path
         return shaped & v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]") & (distinct >= F.least(F.lit(12), F.ceil(F.length(v) / 3))) & (S.entropy(v) >= 4.0)
 
-    parts.append(found("sensitive-data.high-entropy-string", F.filter(F.regexp_extract_all(line, F.lit(_QUOTED), F.lit(1)), dense)))
+    parts.append(found("sensitive-data.high-entropy-string", F.filter(F.regexp_extract_all(line, F.lit(_QUOTED), F.lit(2)), dense)))
     rows = lines.where(line.isNotNull()).select("repo", "file_path", F.col("n").alias("line"), F.inline(F.concat(*parts)))
-    preview = S.redacted(F.col("value"))
-    rows = rows.withColumn("preview", preview)
+    rows = rows.withColumn("preview", S.redacted(F.col("value")))
     if config.secret_previews:
         rows = rows.where(~F.col("preview").isin(sorted(config.secret_previews)))
-    disabled = sorted(config.disabled)
-    rows = rows.where(~F.col("rule_id").isin(disabled)) if disabled else rows
+    if config.disabled:
+        rows = rows.where(~F.col("rule_id").isin(sorted(config.disabled)))
     none = F.lit(None).cast("string")
-    return rows.select("repo", "file_path", "rule_id", "line", none.alias("symbol"), F.lit("A value looks like a secret or a person's data.").alias("message"), none.alias("severity"), F.to_json(F.struct("preview")).alias("metadata_json"))
+    message = F.concat(F.lit("A value looks like a secret or a person's data: "), F.col("preview"))
+    return rows.select("repo", "file_path", "rule_id", "line", none.alias("symbol"), message.alias("message"), none.alias("severity"), F.to_json(F.struct("preview")).alias("metadata_json"))
 
 
 def length_findings(files: DataFrame, config: Config = Config()) -> DataFrame:

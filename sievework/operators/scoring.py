@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import scalars as S
@@ -14,18 +14,24 @@ def severity_counts(findings: DataFrame, *keys: str) -> DataFrame:
     return counted
 
 
-def penalties(findings: DataFrame) -> DataFrame:
-    """Adds ``penalty``: the weight of the severity; correlated findings on one symbol and line share the largest.
+def penalties(findings: DataFrame, correlated: tuple[str, ...] | Column = S.CORRELATED) -> DataFrame:
+    """Adds ``penalty``: the weight of the severity; correlated findings on one symbol and line of a file share the largest.
 
-    The shares come from an aggregate over (file, symbol, line) of the correlated rules only, joined back, so that other
-    findings are neither sorted nor moved for it.
+    ``correlated`` names the rules that correlate, or is a condition. Files of different repositories are different files:
+    where there is a column ``repo``, it belongs to the place, and a finding whose repository, file, symbol or line is null
+    or empty shares with none. The shares come from an aggregate over the places of correlated findings, which alone are
+    joined with it; all others pass by, neither sorted nor moved.
     """
     own = S.weight(F.col("severity"))
-    key = ["file_path", "symbol", "line"]
-    eligible = F.col("rule_id").isin(*S.CORRELATED) & F.col("symbol").isNotNull() & (F.col("symbol") != "") & F.col("line").isNotNull() & (F.col("line") != 0)
-    shared = findings.where(eligible).groupBy(*key).agg((F.max(own) / F.count(F.lit(1))).alias("_shared"), F.count(F.lit(1)).alias("_n")).where("_n >= 2").drop("_n")
-    joined = findings.withColumn("_eligible", eligible).join(shared, key, "left")
-    return joined.withColumn("penalty", F.when(F.col("_eligible") & F.col("_shared").isNotNull(), F.col("_shared")).otherwise(own)).drop("_eligible", "_shared")
+    place = [c for c in ("repo", "file_path", "symbol", "line") if c in findings.columns]
+    known = F.col("line").isNotNull() & (F.col("line") != 0) & (F.col("symbol") != "")
+    for c in place:
+        known = known & F.col(c).isNotNull()
+    rule = correlated if isinstance(correlated, Column) else F.col("rule_id").isin(*correlated)
+    shares = F.coalesce(rule & known, F.lit(False))
+    shared = findings.where(shares).groupBy(*place).agg((F.max(own) / F.count(F.lit(1))).alias("_shared"), F.count(F.lit(1)).alias("_n")).where("_n >= 2").drop("_n")
+    joined = findings.where(shares).join(shared, place, "left").withColumn("penalty", F.coalesce("_shared", own)).drop("_shared")
+    return findings.where(~shares).withColumn("penalty", own).unionByName(joined.select(*findings.columns, "penalty"))
 
 
 def scores(penalised: DataFrame, *keys: str) -> DataFrame:
@@ -68,10 +74,12 @@ def top_rules(findings: DataFrame, n: int = 10) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("findings")).orderBy(F.desc("findings"), "rule_id").limit(n)
 
 
-def complexity_clusters(findings: DataFrame) -> DataFrame:
-    """Symbols on which at least two of the correlated rules meet, whatever the line."""
-    some = findings.where(F.col("rule_id").isin(*S.CORRELATED) & F.col("symbol").isNotNull())
-    return some.groupBy("file_path", "symbol").agg(F.array_sort(F.collect_set("rule_id")).alias("rule_ids")).where(F.size("rule_ids") >= 2)
+def complexity_clusters(findings: DataFrame, correlated: tuple[str, ...] | Column = S.CORRELATED) -> DataFrame:
+    """Symbols of a file on which at least two of the correlated rules meet, whatever the line."""
+    rule = correlated if isinstance(correlated, Column) else F.col("rule_id").isin(*correlated)
+    some = findings.where(rule & F.col("symbol").isNotNull())
+    place = [c for c in ("repo", "file_path", "symbol") if c in findings.columns]
+    return some.groupBy(*place).agg(F.array_sort(F.collect_set("rule_id")).alias("rule_ids")).where(F.size("rule_ids") >= 2)
 
 
 def exit_code(findings: DataFrame, diagnostics: DataFrame, threshold: str) -> DataFrame:

@@ -10,19 +10,26 @@ from sievework.operators import findings as R
 from sievework.operators import scoring as G
 from sievework.shared import table
 
-CORRELATED_SQL = ", ".join(f"'{r}'" for r in S.CORRELATED)
 WEIGHT_SQL = "CASE severity WHEN 'advisory' THEN 1.5::DOUBLE WHEN 'warning' THEN 4.0::DOUBLE WHEN 'error' THEN 8.0::DOUBLE ELSE 0.0::DOUBLE END"
 GRADE_SQL = "CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END"
-PENALTY_SQL = f"""p AS (
-  SELECT *, CASE WHEN eligible AND count(*) OVER w >= 2 THEN max(own) OVER w / count(*) OVER w ELSE own END AS penalty
-  FROM (SELECT *, {WEIGHT_SQL} AS own, coalesce(rule_id IN ({CORRELATED_SQL}) AND symbol <> '' AND line <> 0, false) AS eligible FROM findings)
-  WINDOW w AS (PARTITION BY eligible, file_path, symbol, line))"""
+# The tables' rules are invented, so the pillars of the correlated rules stand in for these: places where they meet exist.
+CORRELATED_PILLARS = ("complexity", "size", "maintainability", "test-quality", "security")
+PILLARS_SQL = ", ".join(f"'{p}'" for p in CORRELATED_PILLARS)
+PENALTY_SQL = f"""w AS (SELECT row_number() OVER () AS i, {WEIGHT_SQL} AS own, * FROM findings),
+  g AS (SELECT repo, file_path, symbol, line, count(*) AS n, max(own) AS most FROM w
+        WHERE pillar IN ({PILLARS_SQL}) AND repo IS NOT NULL AND file_path IS NOT NULL AND symbol <> '' AND line <> 0 GROUP BY ALL HAVING count(*) > 1),
+  p AS (SELECT w.*, CASE WHEN g.n IS NULL THEN own ELSE most / n END AS penalty FROM w LEFT JOIN g
+        ON w.pillar IN ({PILLARS_SQL}) AND g.repo = w.repo AND g.file_path = w.file_path AND g.symbol = w.symbol AND g.line = w.line)"""
 
 
 def _findings(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "findings")
 
 
+def _penalised(spark: SparkSession, folder: str) -> DataFrame:
+    return G.penalties(_findings(spark, folder), F.col("pillar").isin(*CORRELATED_PILLARS))
+
+
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     own = S.fingerprint(F.col("rule_id"), F.col("file_path"), F.col("line"), F.col("symbol"))
     return _findings(spark, folder).groupBy(own.alias("place")).agg(F.count(F.lit(1)).alias("n"))
@@ -42,7 +49,7 @@ def rule_severities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pillar_table(spark: SparkSession, folder: str) -> DataFrame:
-    rows = G.pillar_rows(G.penalties(_findings(spark, folder)))
+    rows = G.pillar_rows(_penalised(spark, folder))
     return rows.select("pillar", "grade", "score", "penalty", "is_applicable", "findings", "advisory", "warning", "error")
 
 
@@ -51,7 +58,7 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def composite_score(spark: SparkSession, folder: str) -> DataFrame:
-    return G.composite(G.scores(G.penalties(_findings(spark, folder)), "pillar"))
+    return G.composite(G.scores(_penalised(spark, folder), "pillar"))
 
 
 def severity_grades(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +66,7 @@ def severity_grades(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def top_offenders(spark: SparkSession, folder: str) -> DataFrame:
-    return G.scores(G.penalties(_findings(spark, folder)), "repo", "file_path").withColumn("grade", S.grade(F.col("score")))
+    return G.scores(_penalised(spark, folder), "repo", "file_path").withColumn("grade", S.grade(F.col("score")))
 
 
 def top_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,16 +74,8 @@ def top_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def complexity_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Folders take the part of symbols, since the tables' symbols hardly repeat."""
-    rows = _findings(spark, folder).withColumns({"rule_id": _as_correlated(), "symbol": S.dir_name(F.col("file_path")), "file_path": F.col("repo")})
-    clusters = G.complexity_clusters(rows)
-    return clusters.withColumn("rule_ids", F.array_join("rule_ids", ","))
-
-
-def _as_correlated():
-    """The tables' rules are invented; their pillars stand in for the rules that correlate."""
-    rule = F.when(F.col("pillar") == "complexity", S.CORRELATED[0]).when(F.col("pillar") == "size", S.CORRELATED[2])
-    return rule.when(F.col("pillar") == "maintainability", S.CORRELATED[1]).otherwise(F.col("rule_id"))
+    """Symbols of a file on which several rules meet. All of the tables' invented rules take part: symbols hardly repeat."""
+    return G.complexity_clusters(_findings(spark, folder), F.col("rule_id").isNotNull()).withColumn("rule_ids", F.array_join("rule_ids", ","))
 
 
 def rule_metadata(spark: SparkSession, folder: str) -> DataFrame:
@@ -225,8 +224,7 @@ SQL = {
     "severity_grades": f"WITH d AS (SELECT * FROM (VALUES ('advisory', 1.5::DOUBLE), ('warning', 4.0::DOUBLE), ('error', 8.0::DOUBLE)) AS v(severity, w)), j AS (SELECT d.severity, count(f.finding_id) AS findings, greatest(0.0, 100 - count(f.finding_id) * any_value(w)) AS score FROM d LEFT JOIN findings f USING (severity) GROUP BY d.severity) SELECT severity, findings, score, {GRADE_SQL} AS grade FROM j",
     "top_offenders": f"WITH {PENALTY_SQL}, s AS (SELECT repo, file_path, greatest(0.0, 100 - sum(penalty)) AS score FROM p GROUP BY repo, file_path) SELECT *, {GRADE_SQL} AS grade FROM s",
     "top_rules": "SELECT rule_id, count(*) AS findings FROM findings GROUP BY rule_id ORDER BY findings DESC, rule_id LIMIT 10",
-    "complexity_clusters": f"""WITH f AS (SELECT repo AS file_path, CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') WHEN file_path IS NOT NULL THEN '.' END AS symbol, CASE pillar WHEN 'complexity' THEN '{S.CORRELATED[0]}' WHEN 'size' THEN '{S.CORRELATED[2]}' WHEN 'maintainability' THEN '{S.CORRELATED[1]}' ELSE rule_id END AS rule_id FROM findings WHERE file_path IS NOT NULL)
-        SELECT file_path, symbol, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rule_ids FROM f WHERE rule_id IN ({CORRELATED_SQL}) GROUP BY ALL HAVING count(DISTINCT rule_id) >= 2""",
+    "complexity_clusters": "SELECT repo, file_path, symbol, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rule_ids FROM findings WHERE symbol IS NOT NULL AND rule_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT rule_id) >= 2",
     "rule_metadata": "SELECT f.rule_id, r.severity AS listed, r.description, count(*) AS n, count_if(f.severity IS DISTINCT FROM r.severity)::BIGINT AS n_differs FROM findings f LEFT JOIN rules r USING (rule_id) GROUP BY ALL",
     "new_since_baseline": """WITH b AS (SELECT s.repo, lower(fingerprint) AS fp, rule_id, file_path FROM finding_snapshots s JOIN (SELECT repo, min(snapshot_no) AS m FROM finding_snapshots GROUP BY repo) x ON s.repo = x.repo AND s.snapshot_no = x.m WHERE fingerprint IS NOT NULL)
         SELECT f.repo, count(*) AS n_new FROM findings f WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.repo = f.repo AND b.fp = f.fingerprint AND b.rule_id = f.rule_id AND b.file_path = f.file_path) GROUP BY f.repo""",

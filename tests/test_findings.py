@@ -39,6 +39,15 @@ def test_correlated_findings_share_one_penalty(spark):
     assert G.scores(penalised.where("symbol is not null"), "pillar").first()["score"] == 96.0
 
 
+def test_findings_of_different_repositories_share_nothing(spark):
+    one = make(spark, row(rule=S.CORRELATED[0], severity="warning", symbol="f", pillar="complexity"))
+    both = one.withColumn("repo", F.lit("a")).unionByName(one.withColumn("repo", F.lit("b")))
+    assert [r["penalty"] for r in G.penalties(both).collect()] == [4.0, 4.0]
+    assert sorted(r["penalty"] for r in G.penalties(both.unionByName(both).withColumn("repo", F.when(F.col("repo") == "a", "a"))).collect()) == [2.0, 2.0, 4.0, 4.0]
+    two = both.withColumn("rule_id", F.when(F.col("repo") == "a", S.CORRELATED[0]).otherwise(S.CORRELATED[1]))
+    assert G.complexity_clusters(two).count() == 0 and G.complexity_clusters(two.drop("repo")).count() == 1
+
+
 def test_empty_findings_score_full_marks(spark):
     none = make(spark)
     assert G.composite(G.scores(G.penalties(none), "pillar")).first().asDict() == {"score": 100.0, "grade": "A"}
