@@ -36,7 +36,9 @@ EXPECT_NUMBER = r"\bexpect\s*\(\s*([^)]+?)\s*\)\s*\.\s*to(?:Be|Equal)\s*\(\s*(-?
 ASSERT_NUMBER = r"\bassert\.(?:equal|strictEqual|deepEqual)\s*\(\s*([^,\n]+?)\s*,\s*(-?\d+(?:\.\d+)?)(?:\s*,|\s*\))"
 CONTRACT_TEST = r"(?i)\b(?:constant|threshold|limit|budget|default|contract)\b"
 STUB_REASON = r"(?i)\b(?:intentional no-op|test double|stub|fake|interface contract)\b"
-RETURNED = rf"([\s\S]*?)\b(?:const|let)\s+({NAME})\s*=\s*[^;]+;\s*return\s+\2\s*;"
+RETURNED = rf"\b(?:const|let)\s+({NAME})\s*=\s*[^;]+;\s*return\s+\1\s*;"
+# The same with what stands in front of it, from the end of the last match on.
+FRONT_AND_RETURNED = rf"\G([\s\S]*?)\b(?:const|let)\s+({NAME})\s*=\s*[^;]+;\s*return\s+\2\s*;"
 
 
 def cyclomatic(code: Column) -> Column:
@@ -170,10 +172,11 @@ def block_findings(blocks: DataFrame, config: Config = Config()) -> DataFrame:
         generic = F.filter(parameter_names(F.col("par")), lambda n: F.lower(n).isin(sorted(config.placeholder_names)))
         parts.append(F.transform(F.when(large, generic).otherwise(nothing), lambda n: row("naming.generic-parameter", F.col("declaration_line"), n, F.lit("A parameter's name says nothing."), none)))
     if config.enabled("waste.redundant-variable"):
-        parts.append(F.transform(_offsets(code, RETURNED), lambda m: row("waste.redundant-variable", start + m["line"], m["name"], F.lit("A variable is only returned."), none)))
+        places = F.when(has(RETURNED), _offsets(code, FRONT_AND_RETURNED)).otherwise(F.array().cast("array<struct<line:int,name:string>>"))
+        parts.append(F.transform(places, lambda m: row("waste.redundant-variable", start + m["line"], m["name"], F.lit("A variable is only returned."), none)))
     if config.enabled("waste.useless-return"):
         lines = F.split(code, "\n")
-        last = F.aggregate(F.sequence(F.lit(0), F.size(lines) - 1), F.lit(-1), lambda a, i: F.when(_bare(F.get(lines, i)).isin("", "}"), a).otherwise(i))
+        last = F.coalesce(F.array_max(F.transform(lines, lambda x, i: F.when(~_bare(x).isin("", "}"), i))), F.lit(-1))
         bare_return = F.coalesce(F.regexp_like(_bare(F.get(lines, last)), F.lit(java(r"^return\s*;?$"))), false)
         parts.append(F.when(bare_return, F.array(row("waste.useless-return", start + last, name, F.lit("The last line returns nothing."), none))).otherwise(F.array().cast("array<struct<rule_id:string,line:int,symbol:string,message:string,metadata_json:string>>")))
     found = b.select("repo", "file_path", F.inline(F.concat(*parts)))

@@ -86,7 +86,7 @@ def _starts_in_code(pattern: str) -> Column:
     """
     flags = pattern[:4] if pattern.startswith("(?i)") else ""
     bare = pattern[len(flags) :]
-    part = lambda i: F.regexp_extract_all("line", F.lit(f"{flags}([\\s\\S]*?)(?:{bare})"), F.lit(i))
+    part = lambda i: F.regexp_extract_all("line", F.lit(f"{flags}\\G([\\s\\S]*?)(?:{bare})"), F.lit(i))
     matches = F.arrays_zip(part(0).alias("all"), part(1).alias("front"))
     at_code = lambda at: F.trim(F.substring(F.col("code"), at, F.lit(1))) != ""
     walked = F.aggregate(matches, F.struct(F.lit(1).alias("at"), F.lit(False).alias("hit")), lambda s, m: F.struct((s["at"] + F.length(m["all"])).alias("at"), (s["hit"] | at_code(s["at"] + F.length(m["front"]))).alias("hit")), lambda s: s["hit"])

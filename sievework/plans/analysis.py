@@ -10,6 +10,7 @@ from sievework.operators import scoring as G
 from sievework.operators.rules import blocks as B
 from sievework.operators.rules import graph
 from sievework.operators.rules import lines as L
+from sievework.plans import rule_sql
 from sievework.shared import table
 
 
@@ -98,6 +99,7 @@ QUERIES = {
     "import_edges": import_edges, "import_cycles": import_cycles, "comments": comments, "extracted_blocks": extracted_blocks, "masked_files": masked_files, "diagnostics": diagnostics,
 }
 SQL = {
+    "line_rules": rule_sql.LINE_RULES_SQL, "secret_rules": rule_sql.SECRET_RULES_SQL, "block_rules": rule_sql.BLOCK_RULES_SQL,
     "block_metrics": r"""SELECT block_id, start_line, 1 + len(regexp_extract_all(regexp_replace(coalesce(code_body, body), '[^A-Za-z0-9_?&|]', '  ', 'g'), '(?:(?:^| )(?:if|switch|case|for|while|catch)(?: |$))')) + length(coalesce(code_body, body)) - length(replace(coalesce(code_body, body), '?', ''))
         + len(regexp_extract_all(coalesce(code_body, body), '&&')) + len(regexp_extract_all(coalesce(code_body, body), '\|\|')) AS cyclomatic,
         len(list_filter(string_split(coalesce(params, ''), ','), lambda p: trim(p) <> '')) AS n_params FROM blocks WHERE body IS NOT NULL""",
