@@ -17,14 +17,14 @@ _WRITE_SCOPES = frozenset("actions checks contents deployments issues packages p
 _JSONC = re.compile(r'"(?:[^"\\\n]|\\.)*"|//[^\n]*|/\*[\s\S]*?\*/|,(?=(?:\s|//[^\n]*|/\*[\s\S]*?\*/)*[}\]])')
 
 
-def parse_json(text: str) -> dict:
-    """An object of JSON text, also with comments and trailing commas; anything else is an empty object."""
+def parse_json(text: str) -> dict | None:
+    """An object of JSON text, also with comments and trailing commas; None for anything else."""
     text = _JSONC.sub(lambda m: m.group() if m.group()[0] == '"' else " ", text.lstrip("﻿"))
     try:
         value = json.loads(text)
     except (ValueError, RecursionError):
-        return {}
-    return value if isinstance(value, dict) else {}
+        return None
+    return value if isinstance(value, dict) else None
 
 
 def key_line(text: str, key: str) -> int:
@@ -38,14 +38,14 @@ def _entries(value: object) -> list[tuple[str, str]]:
 
 def bins(text: str) -> list[tuple[str, str, int]]:
     """(name, target, line) of a manifest's executables."""
-    data = parse_json(text)
+    data = parse_json(text) or {}
     found = data.get("bin")
     pairs = [(str(data.get("name", "bin")), found)] if isinstance(found, str) else _entries(found)
     return [(k, v, key_line(text, k)) for k, v in pairs]
 
 
 def package_findings(text: str) -> Iterator[Raw]:
-    data = parse_json(text)
+    data = parse_json(text) or {}
     for name, command in _entries(data.get("scripts")):
         if _SHELL.search(command):
             yield Raw("security.remote-install-script", key_line(text, name), "A script runs what it downloads.", name)
@@ -62,7 +62,7 @@ def package_findings(text: str) -> Iterator[Raw]:
 
 def tsconfig_findings(text: str) -> Iterator[Raw]:
     data = parse_json(text)
-    if not data:
+    if data is None:
         return
     options = data.get("compilerOptions")
     options = options if isinstance(options, dict) else {}

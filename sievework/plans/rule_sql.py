@@ -38,9 +38,9 @@ LINES = f"l AS (SELECT repo, display_path AS file_path, n, line, coalesce(code_l
 
 def _in_code(pattern: str, options: str = "c", unless: str = "") -> str:
     """Whether a match in the line begins where the code is not blank; ``unless`` follows a match that does not count."""
-    front, all_, tail = (parts("line", rf"([\s\S]*?)(?:{pattern})({unless})" + ("?" if unless else ""), g, options) for g in (1, 0, 2))
+    front, all_, tail = (parts("line", rf"([\s\S]*?)(?:{pattern})({unless}" + (")?" if unless else ")"), g, options) for g in (1, 0, 2))
     begins = f"list_sum(list_transform({all_}[1:i], lambda t: length(t))) - length({all_}[i]) + length({front}[i]) + 1"
-    return f"len(list_filter(range(1, len({all_}) + 1), lambda i: trim(substr(code, ({begins})::BIGINT, 1)) <> '' AND {tail}[i] = '')) > 0"
+    return f"len(list_filter(range(1, len({all_}) + 1), lambda i: trim(substr(code, ({begins})::BIGINT, 1)) <> '' AND coalesce({tail}[i], '') = '')) > 0"
 
 
 def _rows(rule_id: str, condition: str) -> str:
@@ -163,7 +163,6 @@ _SETUP_LINES = f"list_filter(list_transform(string_split(body_code, chr(10)), la
 _SETUP = f"(SELECT CASE WHEN p > 0 THEN p - 1 ELSE k END FROM (SELECT coalesce(list_position(list_transform(u, lambda x: {has('x', _ASSERTION)}), true), 0) AS p, len(u) AS k FROM (SELECT {_SETUP_LINES} AS u)))"
 _MOCKS = parts("code", rf"\bconst\s+({NAME})\s*=\s*(?:(?:vi|jest)\.fn|sinon\.stub|createMock|mock)\s*\(", 1)
 _EXPECTED = parts("code", rf"\bexpect\s*\(\s*({NAME})\s*\)", 1)
-_RETURNED = rf"\b(?:const|let)\s+({NAME})\s*=\s*[^;]+;\s*return\s+({NAME})\s*;"
 _IN_TESTS = f"coalesce({has('file_path', r'(?:^|/)(?:__tests__|tests?|spec|__fixtures__|fixtures?|testdata)/|\.(?:test|spec)\.[cm]?[tj]sx?$')}, false)"
 
 BLOCK_RULES_SQL = f"""WITH r AS (SELECT DISTINCT file_id, repo FROM files), q AS (SELECT DISTINCT * FROM blocks),
@@ -190,6 +189,9 @@ f(repo, file_path, line, rule_id, symbol) AS (""" + " UNION ALL ".join([
     f"SELECT repo, file_path, start_line, 'waste.unused-parameter', name FROM (SELECT *, unnest(names) AS p FROM b WHERE NOT coalesce(file_path LIKE '%.d.ts', false) AND NOT {_BODILESS}) WHERE p NOT LIKE '\\_%' ESCAPE '\\' AND NOT regexp_matches(body_code, '(?:^|[^A-Za-z0-9_])' || replace(p, '$', '\\$') || '(?:[^A-Za-z0-9_]|$)') AND NOT regexp_matches(body, '\\$\\{{[^}}]*\\b' || replace(p, '$', '\\$') || '\\b[^}}]*\\}}')",
     f"SELECT repo, file_path, start_line, 'test-quality.unused-mock', name FROM (SELECT *, unnest({_MOCKS}) AS p FROM b WHERE test) WHERE len(regexp_extract_all(code, '\\b' || replace(p, '$', '\\$') || '\\b')) <= 1",
     "SELECT repo, file_path, declaration_line, 'naming.generic-parameter', p FROM (SELECT *, unnest(names) AS p FROM b WHERE len(names) >= 3 OR line_count >= 30 OR cyclo >= 8) WHERE lower(p) IN ('foo', 'bar', 'baz', 'tmp', 'temp', 'thing', 'stuff', 'data', 'value', 'item')",
-    f"SELECT repo, file_path, start_line + length(front) - length(replace(front, chr(10), '')), 'waste.redundant-variable', x FROM (SELECT *, substr(code, 1, position(whole IN code) - 1) AS front FROM (SELECT *, unnest({parts('code', _RETURNED, 0)}) AS whole, unnest({parts('code', _RETURNED, 1)}) AS x, unnest({parts('code', _RETURNED, 2)}) AS y FROM b)) WHERE x = y",
+    f"""SELECT repo, file_path, start_line + length(front) - length(replace(front, chr(10), '')), 'waste.redundant-variable', x FROM
+        (SELECT *, array_to_string(t[1:k - 1], ';') || CASE WHEN k > 1 THEN ';' ELSE '' END || regexp_extract(t[k], '([\\s\\S]*?)\\b(?:const|let)\\s+' || replace(x, '$', '\\$') || '\\s*=', 1) AS front FROM
+        (SELECT *, {part('t[k + 1]', rf'^[\s]*return\s+({NAME})\s*$', 1)} AS x FROM (SELECT *, unnest(range(1, len(t))) AS k FROM (SELECT *, string_split(code, ';') AS t FROM b)))
+        WHERE x <> '' AND k + 1 < len(t) AND regexp_matches(t[k], '\\b(?:const|let)\\s+' || replace(x, '$', '\\$') || '\\s*=[\\s\\S]'))""",
     f"SELECT repo, file_path, start_line + z.i, 'waste.useless-return', name FROM (SELECT *, {_LAST} AS z FROM b) WHERE {has('z.t', r'^return\s*;?$')}",
 ]) + ") SELECT * FROM f"
