@@ -1,42 +1,41 @@
 """What changed between full snapshots, by subtracting invertible Bloom lookup tables.
 
-Every delivery of a source is a set of elements (key hash, content digest). The elements of one delivery are thrown into
-the cells of a table per (source, hash bucket); a cell holds a signed count and the XOR of all keys, digests and
-check sums thrown into it. Subtracting the tables of two consecutive deliveries cancels all equal elements, so what is
-left is as large as the difference and not as large as the snapshot. Peeling the cells that hold one element yields
-the differing elements; a bucket that cannot be peeled is built again with more cells.
-
-The tables are built by ordinary partial aggregation (map-side combined), hot sources are spread over hash buckets, and
-only one bucket's bounded number of cells ever meets in one Python call.
+The records of a source are split into hash buckets, the same for all of its deliveries, and buckets of small sources share
+a bin, so that a bin has about as many records as any other, whatever the source. One shuffle brings the records of a bin
+together. There every delivery of a source becomes a table of cells; a cell holds the count and the XOR of all keys, digests
+and marks thrown into it. Subtracting the tables of two consecutive deliveries cancels all equal records, so that what is
+left is as large as the difference and not as large as the snapshot. Peeling cells that hold one record yields the differing
+ones; a table that cannot be peeled is built again with more cells, and what is peeled is verified against stored records.
 """
 
 from __future__ import annotations
 
-import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from sievework.shared import materialise
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 HASHES = 3
 
 
 @dataclass(frozen=True)
 class DiffSettings:
-    """``rows_per_bucket``: records of one delivery that share a table. ``cells``: cells of a table in the first
-    attempt, a multiple of three. ``growth``: by how much a failed bucket grows per attempt. A bucket can be retried
-    until its cells outnumber its elements, at which point peeling succeeds with all but vanishing probability;
-    ``attempts`` is only a guard against endless loops, and running out of it raises."""
-
-    rows_per_bucket: int = 2048
-    cells: int = 384
+    """``rows_per_bin``: records of all deliveries that meet in one call. ``share``: cells of a table in the first attempt, as
+    a share of the records of its largest delivery. ``growth``: by how much a failed table grows per attempt, until its cells
+    outnumber its records, at which point peeling succeeds with all but vanishing probability; ``attempts`` only guards
+    against endless loops, and running out of it raises. ``salts``: into how many parts the deliveries of a source are split
+    where its records look up their neighbours, in case that takes a shuffle."""
+
+    rows_per_bin: int = 32_768
+    share: float = 0.375
     growth: int = 4
-    attempts: int = 8
+    attempts: int = 12
+    salts: int = 16
 
 
 def canonical_json(text: Column) -> Column:
@@ -49,151 +48,220 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def latest_records(df: DataFrame, keys: list[str], loaded: str, content: dict[str, Column]) -> DataFrame:
-    """One row per key: the content of the row with the latest ``loaded``; among equal ones the larger content holds,
-    so that the choice does not depend on the order of rows. A null ``loaded`` counts as earliest."""
-    picked = F.max(F.struct(F.col(loaded), *[c.alias(n) for n, c in content.items()])).alias("_latest")
-    return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_latest.{n}").alias(n) for n in content])
-
-
-def _peel(cells: pd.DataFrame) -> list[tuple[int, int, int, int]] | None:
-    """Elements (key_hi, key_lo, digest, sign) of a subtracted table; None if it cannot be emptied."""
-    at = {int(c): [int(n), int(a), int(b), int(d), int(s)] for c, n, a, b, d, s in zip(*(cells[k] for k in ("cell", "n", "hi", "lo", "digest", "mark")))}
-    size = int(cells["cells"].iloc[0])
-    found: list[tuple[int, int, int, int]] = []
-    queue = list(at)
-    while queue:
-        cell = at.get(queue.pop())
-        if cell is None or abs(cell[0]) != 1 or _mark(cell[1], cell[2], cell[3]) != cell[4]:
-            continue
-        sign, hi, lo, digest, mark = cell
-        found.append((hi, lo, digest, sign))
-        for place in _places(mark, size):
-            other = at.setdefault(place, [0, 0, 0, 0, 0])
-            other[0] -= sign
-            other[1] ^= hi
-            other[2] ^= lo
-            other[3] ^= digest
-            other[4] ^= mark
-            if any(other):
-                queue.append(place)
-            else:
-                del at[place]
-    return None if at else found
-
-
-_SPARK_SEED = 42
-
-
-def _mark(hi: int, lo: int, digest: int) -> int:
-    """The same as ``xxhash64(hi, lo, digest)`` of three 64-bit columns, where each hash seeds the next."""
-    seed = _SPARK_SEED
-    for part in (hi, lo, digest):
-        seed = xxhash.xxh64_intdigest(struct.pack("<q", part), seed)
-    return seed - (1 << 64) if seed >> 63 else seed
-
-
-def _places(mark: int, size: int) -> list[int]:
-    """One cell in each third of the table, so that an element never meets itself."""
-    third = size // HASHES
-    return [i * third + (mark >> (21 * i) & 0x1FFFFF) % third for i in range(HASHES)]
-
-
-def _subtracted(elements: DataFrame, source: list[str], cells: int) -> DataFrame:
-    """Cells of the differences; each element enters as an addition to its own delivery and as a removal for the next."""
-    third = cells // HASHES
-    place = lambda i: F.lit(i * third) + F.pmod(F.shiftrightunsigned("mark", 21 * i).bitwiseAND(F.lit(0x1FFFFF)), F.lit(third))
-    sides = F.filter(
-        F.array(
-            F.when(F.col("previous").isNotNull(), F.struct(F.col("snapshot").alias("pair"), F.lit(1).alias("sign"))),
-            F.when(F.col("following").isNotNull(), F.struct(F.col("following").alias("pair"), F.lit(-1).alias("sign"))),
-        ),
-        lambda s: s.isNotNull(),
-    )
-    thrown = elements.select(*source, "bucket", "hi", "lo", "digest", "mark", F.explode(sides).alias("_side"), F.array(*[place(i) for i in range(HASHES)]).alias("_at"))
-    thrown = thrown.select(*source, "bucket", F.col("_side.pair").alias("pair"), F.col("_side.sign").alias("sign"), "hi", "lo", "digest", "mark", F.explode("_at").alias("cell"))
-    packed = thrown.groupBy(*source, "pair", "bucket", "cell").agg(
-        F.sum("sign").alias("n"), *[F.bit_xor(c).alias(c) for c in ("hi", "lo", "digest", "mark")]
-    )
-    empty = (F.col("n") == 0) & (F.col("hi") == 0) & (F.col("lo") == 0) & (F.col("digest") == 0) & (F.col("mark") == 0)
-    return packed.where(~empty).withColumn("cells", F.lit(cells))
-
-
-def snapshot_changes(records: DataFrame, source: list[str], snapshot: str, key: list[str], content: list[str], settings: DiffSettings = DiffSettings()) -> DataFrame:
+# ---- tables of cells, as arrays
+
+
+def _mixed(*parts: np.ndarray | int) -> np.ndarray:
+    """A 64-bit hash of integers, element by element."""
+    h = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for part in parts:
+            h = (h ^ (part.view(np.uint64) if isinstance(part, np.ndarray) else np.uint64(part))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(32))
+    return h
+
+
+def _xored(cells: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """XOR of the values of each cell; ``cells`` are sorted."""
+    out = np.zeros(size, np.uint64)
+    if len(cells):
+        starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        out[cells[starts]] = np.bitwise_xor.reduceat(values, starts)
+    return out
+
+
+@dataclass
+class _Records:
+    """Records of a bin, one per delivery and key: number of the source, place of the delivery, key and digest."""
+
+    source: np.ndarray
+    place: np.ndarray
+    hi: np.ndarray
+    lo: np.ndarray
+    digest: np.ndarray
+    row: np.ndarray
+
+    def where(self, keep: np.ndarray) -> "_Records":
+        return _Records(*(getattr(self, f)[keep] for f in ("source", "place", "hi", "lo", "digest", "row")))
+
+
+def _places(mark: np.ndarray, start: np.ndarray, third: np.ndarray, seed: int) -> np.ndarray:
+    """One cell in each third of a table, so that a record never meets itself: an array of three rows."""
+    return np.stack([start + i * third + (_mixed(mark, seed * HASHES + i) % third.astype(np.uint64)).astype(np.int64) for i in range(HASHES)])
+
+
+def _peeled(records: _Records, pairs: np.ndarray, share: float, seed: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Differing records of pairs of deliveries, as arrays (pair, hi, lo, digest, sign), and which pairs failed.
+
+    ``pairs`` has rows (source, place of the earlier delivery); the later one has the next place.
+    """
+    keys, delivery, rows = np.unique(np.stack([records.source, records.place], axis=1), axis=0, return_inverse=True, return_counts=True)
+    delivery = delivery.reshape(-1)
+    n_sources = int(records.source.max()) + 1
+    largest = np.zeros(n_sources, np.int64)
+    np.maximum.at(largest, keys[:, 0], rows)
+    third = np.ceil(largest * share / HASHES).astype(np.int64) + 4
+    # tables of deliveries, one behind the other, and behind them an empty one for deliveries without records in this bin
+    sizes = HASHES * third[keys[:, 0]]
+    start = np.cumsum(sizes) - sizes
+    total, empty = int(sizes.sum()), int(HASHES * third.max())
+    mark = _mixed(records.hi, records.lo, records.digest)
+    cells = _places(mark, start[delivery], third[records.source], seed).reshape(-1)
+    order = np.argsort(cells, kind="stable")
+    tables = {"n": np.bincount(cells, minlength=total + empty).astype(np.int64)}
+    for name, values in (("hi", records.hi), ("lo", records.lo), ("digest", records.digest), ("mark", mark)):
+        tables[name] = _xored(cells[order], np.tile(values.view(np.uint64), HASHES)[order], total + empty)
+    # subtraction of neighbours
+    at = {(int(s), int(p)): int(b) for (s, p), b in zip(keys, start)}
+    size = HASHES * third[pairs[:, 0]]
+    begin = np.cumsum(size) - size
+    within = np.arange(int(size.sum())) - np.repeat(begin, size)
+    later = np.repeat([at.get((int(s), int(p) + 1), total) for s, p in pairs], size) + within
+    earlier = np.repeat([at.get((int(s), int(p)), total) for s, p in pairs], size) + within
+    left = {"n": tables["n"][later] - tables["n"][earlier], **{k: tables[k][later] ^ tables[k][earlier] for k in ("hi", "lo", "digest", "mark")}}
+    pair_of = np.repeat(np.arange(len(pairs)), size)
+    found: list[np.ndarray] = []
+    look = np.arange(len(pair_of))
+    while len(look):
+        one = look[np.abs(left["n"][look]) == 1]
+        one = one[_mixed(left["hi"][one], left["lo"][one], left["digest"][one]) == left["mark"][one]]
+        if not len(one):
+            break
+        hits = np.stack([pair_of[one].astype(np.uint64), left["hi"][one], left["lo"][one], left["digest"][one], (left["n"][one] + 1).astype(np.uint64)], axis=1)
+        hits = np.unique(hits, axis=0)  # a record may stand alone in several of its cells
+        found.append(hits)
+        pair, sign = hits[:, 0].astype(np.int64), hits[:, 4].astype(np.int64) - 1
+        mark = _mixed(hits[:, 1], hits[:, 2], hits[:, 3])
+        cells = _places(mark, begin[pair], third[pairs[pair, 0]], seed)
+        for i in range(HASHES):
+            np.subtract.at(left["n"], cells[i], sign)
+            for k, values in (("hi", hits[:, 1]), ("lo", hits[:, 2]), ("digest", hits[:, 3]), ("mark", mark)):
+                np.bitwise_xor.at(left[k], cells[i], values)
+        look = np.unique(cells)
+    failed = np.zeros(len(pairs), bool)
+    failed[pair_of[(left["n"] != 0) | (left["hi"] != 0) | (left["lo"] != 0) | (left["digest"] != 0) | (left["mark"] != 0)]] = True
+    all_ = np.concatenate(found) if found else np.zeros((0, 5), np.uint64)
+    return {"pair": all_[:, 0].astype(np.int64), "hi": all_[:, 1], "lo": all_[:, 2], "digest": all_[:, 3], "sign": all_[:, 4].astype(np.int64) - 1}, failed
+
+
+def _located(records: _Records, source: np.ndarray, place: np.ndarray, hi: np.ndarray, lo: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """For each given record the index of the equal stored one, -1 for none."""
+    mine = _mixed(records.source.astype(np.int64), records.place.astype(np.int64), records.hi, records.lo, records.digest)
+    order = np.argsort(mine)
+    at = order[np.minimum(np.searchsorted(mine[order], _mixed(source.astype(np.int64), place.astype(np.int64), hi, lo, digest)), len(order) - 1)]
+    same = (records.source[at] == source) & (records.place[at] == place) & (records.hi[at].view(np.uint64) == hi) & (records.lo[at].view(np.uint64) == lo) & (records.digest[at].view(np.uint64) == digest)
+    return np.where(same, at, -1)
+
+
+def _differences(records: _Records, pairs: np.ndarray, settings: DiffSettings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(indices of records, signs) that make up the difference of each pair of deliveries. A sign of 1 stands for a record of
+    the later delivery that the earlier one does not hold, -1 for the reverse."""
+    share, open_pairs = settings.share, pairs
+    for seed in range(settings.attempts):
+        wanted = {(int(s), int(p) + k) for s, p in open_pairs for k in (0, 1)}
+        own = records.where(np.fromiter(((int(s), int(p)) in wanted for s, p in zip(records.source, records.place)), bool, len(records.source))) if seed else records
+        hits, failed = _peeled(own, open_pairs, share, seed)
+        source, place = open_pairs[hits["pair"], 0], open_pairs[hits["pair"], 1] + (hits["sign"] > 0)
+        at = _located(own, source, place, hits["hi"], hits["lo"], hits["digest"])
+        failed[hits["pair"][at < 0]] = True  # a digest that no stored record has: the table is built again
+        good = ~failed[hits["pair"]]
+        yield own.row[at[good]], hits["sign"][good]
+        if not failed.any():
+            return
+        open_pairs = open_pairs[failed]
+        share *= settings.growth
+    raise RuntimeError("a table could not be peeled; raise DiffSettings.attempts")
+
+
+def _latest(columns: dict[str, np.ndarray]) -> np.ndarray:
+    """Indices of the last loaded row of each source, delivery and key; among equal ones the larger digest holds."""
+    order = np.lexsort([columns[c] for c in ("digest", "loaded", "lo", "hi", "place", "source_hash")])
+    key = np.stack([columns[c][order] for c in ("source_hash", "place", "hi", "lo")], axis=1)
+    last = np.r_[(key[1:] != key[:-1]).any(axis=1), True] if len(key) else np.zeros(0, bool)
+    return order[last]
+
+
+# ---- the operator
+
+
+def snapshot_changes(rows: DataFrame, source: list[str], snapshot: str, key: list[str], content: list[str], settings: DiffSettings = DiffSettings(), loaded: str | None = None) -> DataFrame:
     """Records added, removed or changed between each two consecutive deliveries of a source.
 
-    ``records`` has one row per (source, snapshot, key), see :func:`latest_records`. A delivery that has no rows does
-    not exist; the first delivery of a source gives no rows. Returns source, snapshot (the later delivery), key and
-    ``change``. Nulls: a null in ``content`` is a value of its own, a null in ``key`` or ``source`` too; a null
-    ``snapshot`` is no delivery and its rows are ignored. Input without rows gives no rows. Other columns of
-    ``records`` are ignored, and their names may clash with internal ones.
+    A record is (source, snapshot, key); of several rows of a record the one with the latest ``loaded`` holds, among equally
+    late ones the one whose content has the larger hash, and a null ``loaded`` counts as earliest. A delivery that has no
+    rows does not exist; the first delivery of a source gives no rows. Returns source, snapshot (the later delivery), key and
+    ``change``. Nulls: a null in ``content`` is a value of its own, a null in ``key`` or ``source`` too; a null ``snapshot``
+    is no delivery and its rows are ignored. Input without rows gives no rows. Other columns of ``rows`` are ignored, and
+    their names may clash with internal ones.
     """
-    spark = records.sparkSession
-    taken = {**{f"s{i}": F.col(c) for i, c in enumerate(source)}, **{f"k{i}": F.col(c) for i, c in enumerate(key)}}
     src, keys = [f"s{i}" for i in range(len(source))], [f"k{i}" for i in range(len(key))]
     # concat of tagged parts: a null and an empty text differ, and parts cannot run into each other
-    tagged = lambda cols: [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in cols]
-    base = records.where(F.col(snapshot).isNotNull()).select(
-        *[c.alias(n) for n, c in taken.items()],
-        F.col(snapshot).alias("snapshot"),
-        F.xxhash64(F.lit("hi"), *tagged(key)).alias("hi"),
-        F.xxhash64(F.lit("lo"), *tagged(key), F.lit("lo")).alias("lo"),
-        F.xxhash64(*tagged(content), F.lit("content")).alias("digest"),
-    )
-    base = materialise(base, "snapshot-records")
-    # deliveries are few per source; their sizes set the number of hash buckets
+    tagged = lambda cols: [F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in cols]
+    when = F.coalesce(F.unix_micros(F.col(loaded).cast("timestamp")), F.lit(-(1 << 63))) if loaded else F.lit(0).cast("long")
+    base = rows.where(F.col(snapshot).isNotNull()).select(
+        *[F.col(c).alias(n) for n, c in zip([*src, *keys], [*source, *key])], F.col(snapshot).alias("snapshot"), when.alias("loaded"), F.xxhash64(*tagged([F.col(c) for c in content]), F.lit("content")).alias("digest")
+    )
+    # deliveries are few per source; their sizes set the number of its buckets
     per_source = Window.partitionBy(*src)
-    deliveries = base.groupBy(*src, "snapshot").agg(F.count(F.lit(1)).alias("_rows"))
+    deliveries = rows.where(F.col(snapshot).isNotNull()).groupBy(*[F.col(c).alias(n) for n, c in zip(src, source)], F.col(snapshot).alias("snapshot")).agg(F.count(F.lit(1)).alias("n"))
     deliveries = deliveries.withColumns(
         {
-            "previous": F.lag("snapshot").over(per_source.orderBy("snapshot")),
+            "place": F.row_number().over(per_source.orderBy("snapshot")),
             "following": F.lead("snapshot").over(per_source.orderBy("snapshot")),
-            "buckets": F.greatest(F.ceil(F.max("_rows").over(per_source) / settings.rows_per_bucket), F.lit(1)),
+            "buckets": F.greatest(F.ceil(F.sum("n").over(per_source) / settings.rows_per_bin), F.lit(1)),
         }
-    ).drop("_rows")
-    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"d.{c}")) for c in [*src, "snapshot"]]
-    joined = base.alias("b").join(deliveries.alias("d"), same).select("b.*", "d.previous", "d.following", "d.buckets")
-    elements = joined.withColumns({"bucket": F.pmod(F.xxhash64("hi", F.lit("bucket")), F.col("buckets")), "mark": F.xxhash64("hi", "lo", "digest")}).drop("buckets", *keys)
-
-    group = [*src, "pair", "bucket"]
-    fields = {f.name: f.dataType.simpleString() for f in elements.schema.fields}
-    schema = ", ".join([*[f"{c} {fields[c]}" for c in src], f"pair {fields['snapshot']}", f"bucket {fields['bucket']}", "hi long, lo long, digest long, sign int, peeled boolean"])
-
-    def peel(cells: pd.DataFrame) -> pd.DataFrame:
-        found = _peel(cells)
-        rows = [(0, 0, 0, 0)] if found is None else found
-        out = pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, 4), columns=["hi", "lo", "digest", "sign"])
-        out["sign"], out["peeled"] = out["sign"].astype("int32"), found is not None
-        for c in group:
-            out[c] = cells[c].iloc[0]
-        return out[[*group, "hi", "lo", "digest", "sign", "peeled"]]
-
-    cells, open_elements, parts = settings.cells, elements, []
-    for _ in range(settings.attempts):
-        tried = materialise(_subtracted(open_elements, src, cells).groupBy(*group).applyInPandas(peel, schema), "peeled")
-        parts.append(tried.where("peeled"))
-        failed = tried.where(~F.col("peeled")).select(*src, "bucket", "pair").distinct()
-        if failed.isEmpty():
-            break
-        # a failed bucket of a pair is built again from the elements of its two deliveries only
-        f = failed.alias("f")
-        hit = [*[F.col(f"e.{c}").eqNullSafe(F.col(f"f.{c}")) for c in src], F.col("e.bucket") == F.col("f.bucket")]
-        as_later = open_elements.alias("e").join(f, [*hit, F.col("e.snapshot") == F.col("f.pair")], "left_semi").withColumn("following", F.lit(None).cast(fields["snapshot"]))
-        as_earlier = open_elements.alias("e").join(f, [*hit, F.col("e.following") == F.col("f.pair")], "left_semi").withColumn("previous", F.lit(None).cast(fields["snapshot"]))
-        open_elements = materialise(as_later.unionByName(as_earlier), "failed-buckets")
-        cells *= settings.growth
-    else:
-        raise RuntimeError("a bucket could not be peeled; raise DiffSettings.attempts")
-    peeled = parts[0]
-    for part in parts[1:]:
-        peeled = peeled.unionByName(part)
-
-    # verification: each element must be that of a stored record of the delivery it is said to be in
-    before = deliveries.where(F.col("previous").isNotNull()).select(*src, F.col("snapshot").alias("pair"), "previous")
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"d.{c}")) for c in [*src, "pair"]]
-    peeled = peeled.alias("p").join(before.alias("d"), same).select("p.*", F.when(F.col("p.sign") > 0, F.col("p.pair")).otherwise(F.col("d.previous")).alias("at"))
-    check = [*[F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in src], F.col("r.snapshot") == F.col("p.at"), *[F.col(f"r.{c}") == F.col(f"p.{c}") for c in ("hi", "lo", "digest")]]
-    proven = base.alias("r").join(peeled.alias("p"), check).select(*[F.col(f"r.{c}") for c in [*src, *keys]], "p.pair", "p.sign")
-    kinds = proven.groupBy(*src, "pair", *keys).agg(F.max("sign").alias("_most"), F.min("sign").alias("_least"))
-    change = F.when(F.col("_most") != F.col("_least"), "changed").when(F.col("_most") > 0, "added").otherwise("removed")
-    return kinds.select(*[F.col(a).alias(b) for a, b in zip(src, source)], F.col("pair").alias(snapshot), *[F.col(a).alias(b) for a, b in zip(keys, key)], change.alias("change"))
+    ).drop("n")
+    deliveries = deliveries.select("*", F.explode(F.sequence(F.lit(0), F.lit(settings.salts - 1))).alias("salt"))
+    bins = max(1, -(-rows.count() // settings.rows_per_bin))
+    key_hash = F.xxhash64(*tagged([F.col(c) for c in keys]))
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"d.{c}")) for c in [*src, "snapshot", "salt"]]
+    salted = _combined(base, [*src, *keys, "snapshot", "digest"], "loaded").withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(settings.salts)).cast("int"))
+    joined = salted.alias("b").join(deliveries.alias("d"), same).select("b.*", "d.place", "d.following", "d.buckets").drop("salt")
+    bucket = F.pmod(key_hash, F.col("buckets"))
+    binned = joined.withColumn("bin", F.pmod(F.xxhash64(*tagged([F.col(c) for c in src]), bucket), F.lit(bins))).drop("buckets").repartition("bin")
+    hashed = binned.select("*", F.xxhash64(*tagged([F.col(c) for c in src])).alias("source_hash"), F.xxhash64(F.lit("hi"), *tagged([F.col(c) for c in keys])).alias("hi"), F.xxhash64(F.lit("lo"), *tagged([F.col(c) for c in keys]), F.lit("lo")).alias("lo"))
+    out = StructType([hashed.schema[c] for c in [*src, "snapshot", *keys]])
+    out = StructType([*out.fields, *_parse_datatype_string("change string").fields])
+    arrow = to_arrow_schema(out)
+
+    def change(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_numpy().astype(np.int64) for c in ("source_hash", "place", "hi", "lo", "digest", "loaded")}
+        kept = _latest(columns)
+        _, number = np.unique(columns["source_hash"][kept], return_inverse=True)
+        records = _Records(number.reshape(-1), columns["place"][kept], columns["hi"][kept], columns["lo"][kept], columns["digest"][kept], kept)
+        goes_on = table.column("following").is_valid().to_numpy()[kept]
+        pairs = np.concatenate([np.stack([records.source, records.place - 1], axis=1)[records.place > 1], np.stack([records.source, records.place], axis=1)[goes_on]])
+        if not len(pairs):
+            return arrow.empty_table()
+        parts = list(_differences(records, np.unique(pairs, axis=0), settings))
+        row, sign = np.concatenate([r for r, _ in parts]), np.concatenate([s for _, s in parts])
+        # a record that comes and goes in one pair has changed: both halves have the pair and the key in common
+        pair = columns["place"][row] - (sign > 0)
+        order = np.lexsort([-sign, columns["lo"][row], columns["hi"][row], pair, columns["source_hash"][row]])
+        row, sign, pair = row[order], sign[order], pair[order]
+        key = np.stack([columns["source_hash"][row], pair, columns["hi"][row], columns["lo"][row]], axis=1)
+        twin = np.r_[(key[1:] == key[:-1]).all(axis=1), False] if len(key) else np.zeros(0, bool)
+        second = np.r_[False, twin[:-1]] if len(key) else twin
+        kinds = np.where(twin, "changed", np.where(sign > 0, "added", "removed"))[~second]
+        row, sign = row[~second], sign[~second]
+        picked = table.take(pa.array(row))
+        later = pa.compute.if_else(pa.array(sign > 0), picked.column("snapshot"), picked.column("following"))
+        return pa.Table.from_arrays([*(picked.column(c) for c in src), later, *(picked.column(c) for c in keys), pa.array(kinds, type=pa.string())], names=arrow.names).cast(arrow)
+
+    changes = hashed.groupBy("bin").applyInArrow(change, out)
+    return changes.select(*[F.col(a).alias(b) for a, b in zip(src, source)], F.col("snapshot").alias(snapshot), *[F.col(a).alias(b) for a, b in zip(keys, key)], "change")
+
+
+def _combined(rows: DataFrame, by: list[str], latest: str) -> DataFrame:
+    """Rows that are equal in ``by`` as one with the latest time, within each batch of a task: a record that is delivered
+    over and over shrinks before it is moved, and what is left of it is settled later."""
+    names = rows.columns
+    arrow = to_arrow_schema(rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grouped = pa.Table.from_batches([batch]).group_by(by, use_threads=False).aggregate([(latest, "max")]).rename_columns({f"{latest}_max": latest})
+            yield from grouped.select(names).cast(arrow).to_batches()
+
+    return rows.mapInArrow(run, rows.schema)

@@ -18,10 +18,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     raw = table(spark, folder, "finding_snapshots")
     rows = raw.select("repo", "snapshot_no", F.lower("fingerprint").alias("fingerprint"), "loaded_at", "severity", "confidence", diff.squeezed(F.col("message")).alias("message"), diff.canonical_json(F.col("metadata_json")).alias("metadata_json"))
     # a delivery whose rows all lack a fingerprint is still a delivery: its rows are kept under a null key
-    content = {c: F.col(c) for c in ("severity", "confidence", "message", "metadata_json")}
+    content = ["severity", "confidence", "message", "metadata_json"]
     keyed = rows.withColumns({c: F.when(F.col("fingerprint").isNotNull(), F.col(c)) for c in content})
-    records = diff.latest_records(keyed, ["repo", "snapshot_no", "fingerprint"], "loaded_at", content)
-    return diff.snapshot_changes(records, ["repo"], "snapshot_no", ["fingerprint"], list(content)).where(F.col("fingerprint").isNotNull())
+    return diff.snapshot_changes(keyed, ["repo"], "snapshot_no", ["fingerprint"], content, loaded="loaded_at").where(F.col("fingerprint").isNotNull())
 
 
 def _fields(spark: SparkSession, folder: str, *others: str) -> DataFrame:
