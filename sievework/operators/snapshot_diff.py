@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from sievework.shared import materialise
+
 HASHES = 3
 
 
@@ -212,7 +214,8 @@ def snapshot_changes(rows: DataFrame, source: list[str], snapshot: str, key: lis
             "buckets": F.greatest(F.ceil(F.sum("n").over(per_source) / settings.rows_per_bin), F.lit(1)),
         }
     ).drop("n")
-    deliveries = deliveries.select("*", F.explode(F.sequence(F.lit(0), F.lit(settings.salts - 1))).alias("salt"))
+    # written, so that its size is known when the join is planned; whether it is sent to all tasks is left to the planner
+    deliveries = materialise(deliveries, "deliveries").select("*", F.explode(F.sequence(F.lit(0), F.lit(settings.salts - 1))).alias("salt"))
     bins = max(1, -(-rows.count() // settings.rows_per_bin))
     key_hash = F.xxhash64(*tagged([F.col(c) for c in keys]))
     same = [F.col(f"b.{c}").eqNullSafe(F.col(f"d.{c}")) for c in [*src, "snapshot", "salt"]]
