@@ -1,11 +1,11 @@
-"""Problem 8: evaluation texts that leak into training text, by a positional inverted index that is sharded by document.
-
-Every batch of documents builds its own shard: token postings sorted by term, with positions that run through the
-documents of the shard. The test items (a fixed table) go to all shards. Of every window of an item the terms
-that are rarest in the shard are anchors, one more than edits can hit. Around each posting of an anchor the shard's own
-words are compared with the window's at their offsets; no two posting lists are intersected. Where enough words agree the
-passage is verified by edit distance. So postings are neither shuffled nor collected, and work per shard grows with its
-documents only.
+"""Problem 8: evaluation texts that leak into training text, by a distributed positional inverted index.
+
+The index is stored: a table of segments, each of some documents, with the postings of the items' terms in order of the term
+and their positions, which run through the segment's documents. The counts of all segments together say which terms are rare
+in the whole corpus. Of every window of an item the rarest terms are anchors, one more than edits can hit. In each segment
+the postings of an anchor, shifted by its offset in the item, are intersected with the shifted lists of the window's other
+terms, where edits allow for some that do not meet and for shifts by as many words. Where enough lists meet, the passage is
+verified by edit distance. So no text and no posting is shuffled or collected: segments stay where they are written.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.shared import spread, table
+from sievework.shared import materialise, spread, table
 
 PASSAGE = 20
 EDIT_SHARE = 8
@@ -96,89 +96,131 @@ def edits_within(window: tuple[int, ...], text: list[int], most: int) -> bool:
     return min(before) <= most
 
 
-class Shard:
-    """A positional inverted index over the documents of one batch, limited to the terms of the items."""
+def anchors(item: tuple[int, ...], length: int, most: int, counts: np.ndarray) -> list[int]:
+    """Positions of which every window holds ``most + 1``: its rarest terms. Edits spare one of them at least."""
+    chosen: set[int] = set()
+    for start in range(len(item) - length + 1):
+        window = range(start, start + length)
+        have = sum(p in chosen for p in window)
+        if have <= most:
+            rest = sorted((p for p in window if p not in chosen), key=lambda p: (counts[item[p]], -p))
+            chosen.update(rest[: most + 1 - have])
+    return sorted(chosen)
 
-    def __init__(self, texts: list[str | None], vocabulary: dict[str, int], longest: int):
+
+@dataclass(frozen=True)
+class Window:
+    """What is looked for of an item: windows of a length, with their anchors, the rarest first."""
+
+    item: Item
+    length: int
+    most: int
+    anchors: tuple[int, ...]
+
+
+def windows_of(items: list[Item], counts: np.ndarray) -> list[Window]:
+    """All windows of all items, with anchors by the counts of the whole corpus."""
+    out = []
+    for item in items:
+        n = len(item.words)
+        for length in [w for w in WINDOWS if w <= n] or [n]:
+            most = length // EDIT_SHARE
+            places = sorted(anchors(item.words, length, most, counts), key=lambda p: counts[item.words[p]])
+            out.append(Window(item, length, most, tuple(places)))
+    return out
+
+
+_SEGMENT = "docs array<long>, bounds array<int>, starts array<int>, postings array<int>"
+
+
+class Segment:
+    """The postings of some documents: positions in order of the term, where each term's list starts, and where documents
+    begin among the positions."""
+
+    def __init__(self, docs: np.ndarray, bounds: np.ndarray, starts: np.ndarray, postings: np.ndarray):
+        self.docs, self.bounds, self.starts, self.postings = docs, bounds, starts, postings
+        self._terms: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, keys: list[int], texts: list[str | None], vocabulary: dict[str, int]) -> "Segment":
         get, ids, bounds = vocabulary.get, [], [0]
-        gap = [-1] * (PASSAGE + 4)  # no passage runs over the end of a document
+        gap = [-1] * (max(WINDOWS) + 4)  # no passage runs over the end of a document
         for text in texts:
             if text:
                 ids += [get(w, -1) for w in words(text)]
             ids += gap
             bounds.append(len(ids))
-        self.terms = np.array(ids, dtype=np.int32)
-        self.bounds = np.array(bounds, dtype=np.int64)
-        # items are longer than a shard's first document at times, so diagonals can begin before it
-        self.pad = longest + 3 * PASSAGE
-        self.padded = np.concatenate((np.full(self.pad, -1, np.int32), self.terms, np.full(self.pad, -1, np.int32)))
-        known = np.flatnonzero(self.terms >= 0)
-        order = known[np.argsort(self.terms[known], kind="stable")]
-        self.postings = order
-        self.starts = np.searchsorted(self.terms[order], np.arange(len(vocabulary) + 1))
+        terms = np.array(ids, dtype=np.int32)
+        known = np.flatnonzero(terms >= 0)
+        postings = known[np.argsort(terms[known], kind="stable")].astype(np.int32)
+        starts = np.searchsorted(terms[postings], np.arange(len(vocabulary) + 1)).astype(np.int32)
+        return cls(np.array(keys, dtype=np.int64), np.array(bounds, dtype=np.int32), starts, postings)
 
     def list_of(self, term: int) -> np.ndarray:
         return self.postings[self.starts[term] : self.starts[term + 1]]
 
-    def frequency(self, term: int) -> int:
-        return int(self.starts[term + 1] - self.starts[term])
-
-    def anchors(self, item: tuple[int, ...], length: int, most: int) -> list[int]:
-        """Positions of which every window holds ``most + 1``: its rarest terms. Edits spare one of them at least."""
-        frequencies = [self.frequency(w) for w in item]
-        chosen: set[int] = set()
-        for start in range(len(item) - length + 1):
-            window = range(start, start + length)
-            have = [p for p in window if p in chosen]
-            if len(have) <= most:
-                rest = sorted((p for p in window if p not in chosen), key=lambda p: (frequencies[p], -p))
-                chosen.update(rest[: most + 1 - len(have)])
-        return sorted(chosen)
-
-    def search(self, item: Item) -> set[int]:
-        """Places (of documents in the batch) that hold a passage of the item."""
-        n = len(item.words)
-        found: set[int] = set()
-        for length in [w for w in WINDOWS if w <= n] or [n]:
-            self.search_windows(item, length, found)
-        return found
-
-    def search_windows(self, item: Item, length: int, found: set[int]) -> None:
-        """Adds the places that hold a window of ``length`` words of the item to ``found``."""
-        n = len(item.words)
-        most = length // EDIT_SHARE
-        own = np.array(item.words, dtype=np.int32)
-        for p in self.anchors(item.words, length, most):
-            places = self.list_of(item.words[p])
-            if not len(places):
+    @property
+    def terms(self) -> np.ndarray:
+        """The term of each position, -1 for words that no item has: what verification reads."""
+        if self._terms is None:
+            self._terms = np.full(int(self.bounds[-1]), -1, np.int32)
+            self._terms[self.postings] = np.repeat(np.arange(len(self.starts) - 1, dtype=np.int32), np.diff(self.starts))
+        return self._terms
+
+    def search(self, windows: list[Window]) -> list[tuple[int, int]]:
+        """(document, item) of all passages in the segment."""
+        found: set[tuple[int, int]] = set()
+        for window in windows:
+            self._search(window, found)
+        return [(int(self.docs[doc]), item) for doc, item in sorted(found)]
+
+    def _search(self, window: Window, found: set[tuple[int, int]]) -> None:
+        item, length, most = window.item.words, window.length, window.most
+        for p in window.anchors:
+            diagonals = self.list_of(item[p]).astype(np.int64) - p
+            if not len(diagonals):
                 continue
-            # terms of all windows around the anchor, each looked for at its offset or as far off as edits can move it
-            low, high = max(0, p - length + 1), min(n, p + length)
-            near = self.padded[places[:, None] + np.arange(low - p - most, high - p + most) + self.pad]
-            there = np.zeros((len(places), high - low), dtype=bool)
-            for d in range(2 * most + 1):
-                there |= near[:, d : d + high - low] == own[low:high]
-            counts = np.cumsum(np.pad(there, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
-            inside = counts[:, length:] - counts[:, :-length] >= length - most
-            for k in np.flatnonzero(inside.any(axis=1)).tolist():
-                place = int(places[k])
+            low, high = max(0, p - length + 1), min(len(item), p + length)
+            there = np.zeros((high - low, len(diagonals)), dtype=bool)
+            for i in range(low, high):
+                shifted = self.list_of(item[i])
+                if len(shifted):  # the lists meet on a diagonal or as far off as edits can move it
+                    at = np.searchsorted(shifted, diagonals + (i - most))
+                    there[i - low] = shifted[np.minimum(at, len(shifted) - 1)] - i - diagonals <= most
+                    there[i - low] &= at < len(shifted)
+            counts = np.cumsum(np.pad(there, ((1, 0), (0, 0))), axis=0, dtype=np.int32)
+            inside = counts[length:] - counts[:-length] >= length - most
+            for k in np.flatnonzero(inside.any(axis=0)).tolist():
+                place = int(diagonals[k]) + p
                 doc = int(np.searchsorted(self.bounds, place, side="right")) - 1
-                if doc in found:
-                    continue
-                starts = (np.flatnonzero(inside[k]) + low).tolist()
-                if self.verify(item.words, starts, length, most, place - p):
-                    found.add(doc)
+                if (doc, window.item.item_id) not in found and self._verified(item, (np.flatnonzero(inside[:, k]) + low).tolist(), length, most, int(diagonals[k])):
+                    found.add((doc, window.item.item_id))
 
-    def verify(self, item: tuple[int, ...], starts: list[int], length: int, most: int, diagonal: int) -> bool:
+    def _verified(self, item: tuple[int, ...], starts: list[int], length: int, most: int, diagonal: int) -> bool:
         """Whether one of the item's windows occurs near the diagonal within the allowed edits."""
         for start in starts:
-            a = diagonal + start - most
-            near = self.terms[max(0, a) : max(0, a + length + 3 * most)].tolist()
+            at = diagonal + start - most
+            near = self.terms[max(0, at) : max(0, at + length + 3 * most)].tolist()
             if edits_within(item[start : start + length], near, most):
                 return True
         return False
 
 
+def stored_index(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """The index of all documents as a written table of segments, one per batch of documents."""
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)  # of the items, bounded in leaked()
+    names = [f.split()[0] for f in _SEGMENT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            s = Segment.of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shared.value)
+            columns = [(s.docs, pa.int64()), (s.bounds, pa.int32()), (s.starts, pa.int32()), (s.postings, pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), pa.array(values, type=kind)) for values, kind in columns], names=names)
+
+    return materialise(spread(documents.select(F.col("doc_id").cast("long"), "text"), "doc_id").mapInArrow(run, _SEGMENT), "postings")
+
+
 def leaked(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id) for documents with at least 20 consecutive words of an item (or all of a shorter item), where
     one word in eight may be replaced, dropped or added.
@@ -189,19 +231,24 @@ def leaked(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = [(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()]  # a fixed table, bounded below
     items, vocabulary = prepared(rows)
     if sum(len(i.words) for i in items) > MOST_ITEM_WORDS:
-        raise ValueError("too many test items to send to every shard; search them in parts")
-    shared = documents.sparkSession.sparkContext.broadcast((items, vocabulary))
+        raise ValueError("too many test items to send to every segment; search them in parts")
+    index = stored_index(documents, vocabulary)
+    # occurrences of each term in the whole corpus: as many numbers as the items have terms
+    lists = F.transform(F.sequence(F.lit(1), F.size("starts") - 1), lambda i: F.get("starts", i) - F.get("starts", i - 1))
+    counted = index.where(F.size("starts") > 1).select(F.posexplode(lists).alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(len(vocabulary) + 1, dtype=np.int64)
+    for term, n in counted:
+        counts[term] = n
+    shared = documents.sparkSession.sparkContext.broadcast(windows_of(items, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, vocabulary = shared.value
-        longest = max((len(i.words) for i in items), default=0)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            shard = Shard(batch.column(1).to_pylist(), vocabulary, longest)
-            pairs = [(keys[doc], item.item_id) for item in items for doc in sorted(shard.search(item)) if keys[doc] is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], type=pa.int64()), pa.array([p[1] for p in pairs], type=pa.int64())], names=["doc_id", "item_id"])
+            for row in range(batch.num_rows):
+                segment = Segment(*(batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in range(4)))
+                pairs = segment.search(shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], type=pa.int64()) for i in (0, 1)], names=["doc_id", "item_id"])
 
-    return spread(documents.select(F.col("doc_id").cast("long"), "text"), "doc_id").mapInArrow(run, "doc_id long, item_id long").distinct()
+    return index.mapInArrow(run, "doc_id long, item_id long").distinct()
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
