@@ -110,12 +110,14 @@ def anchors(item: tuple[int, ...], length: int, most: int, counts: np.ndarray) -
 
 @dataclass(frozen=True)
 class Window:
-    """What is looked for of an item: windows of a length, with their anchors, the rarest first."""
+    """What is looked for of an item: windows of a length, with their anchors, the rarest first. ``beside`` has for each
+    anchor positions next to it, of which every passage around the anchor holds one."""
 
     item: Item
     length: int
     most: int
     anchors: tuple[int, ...]
+    beside: tuple[tuple[int, ...], ...]
 
 
 def windows_of(items: list[Item], counts: np.ndarray) -> list[Window]:
@@ -126,10 +128,20 @@ def windows_of(items: list[Item], counts: np.ndarray) -> list[Window]:
         for length in [w for w in WINDOWS if w <= n] or [n]:
             most = length // EDIT_SHARE
             places = sorted(anchors(item.words, length, most, counts), key=lambda p: counts[item.words[p]])
-            out.append(Window(item, length, most, tuple(places)))
+            out.append(Window(item, length, most, tuple(places), tuple(_beside(item.words, p, length, most, counts) for p in places)))
     return out
 
 
+def _beside(item: tuple[int, ...], p: int, length: int, most: int, counts: np.ndarray) -> tuple[int, ...]:
+    """The ``most + 1`` rarest positions in each half window next to an anchor. A window around the anchor holds one of the
+    halves whole, and edits spare one of its positions at least. None if the halves are too short to tell."""
+    half = (length - 1) // 2
+    if half <= most:
+        return ()
+    sides = (range(max(0, p - half), p), range(p + 1, min(len(item), p + half + 1)))
+    return tuple(sorted({q for side in sides for q in sorted(side, key=lambda q: (counts[item[q]], q))[: most + 1]}))
+
+
 _SEGMENT = "docs array<long>, bounds array<int>, starts array<int>, postings array<int>"
 
 
@@ -174,20 +186,27 @@ class Segment:
             self._search(window, found)
         return [(int(self.docs[doc]), item) for doc, item in sorted(found)]
 
+    def _meets(self, term: int, offset: int, diagonals: np.ndarray, most: int) -> np.ndarray:
+        """On which diagonals a term's list, shifted by its offset, has an entry, or as far off as edits can move it."""
+        shifted = self.list_of(term)
+        if not len(shifted):
+            return np.zeros(len(diagonals), dtype=bool)
+        at = np.searchsorted(shifted, diagonals + (offset - most))
+        return (at < len(shifted)) & (shifted[np.minimum(at, len(shifted) - 1)] - offset - diagonals <= most)
+
     def _search(self, window: Window, found: set[tuple[int, int]]) -> None:
         item, length, most = window.item.words, window.length, window.most
-        for p in window.anchors:
+        for p, beside in zip(window.anchors, window.beside):
             diagonals = self.list_of(item[p]).astype(np.int64) - p
+            if len(diagonals) and beside:
+                near = np.zeros(len(diagonals), dtype=bool)
+                for q in beside:
+                    near |= self._meets(item[q], q, diagonals, most)
+                diagonals = diagonals[near]
             if not len(diagonals):
                 continue
             low, high = max(0, p - length + 1), min(len(item), p + length)
-            there = np.zeros((high - low, len(diagonals)), dtype=bool)
-            for i in range(low, high):
-                shifted = self.list_of(item[i])
-                if len(shifted):  # the lists meet on a diagonal or as far off as edits can move it
-                    at = np.searchsorted(shifted, diagonals + (i - most))
-                    there[i - low] = shifted[np.minimum(at, len(shifted) - 1)] - i - diagonals <= most
-                    there[i - low] &= at < len(shifted)
+            there = np.stack([self._meets(item[i], i, diagonals, most) for i in range(low, high)])
             counts = np.cumsum(np.pad(there, ((1, 0), (0, 0))), axis=0, dtype=np.int32)
             inside = counts[length:] - counts[:-length] >= length - most
             for k in np.flatnonzero(inside.any(axis=0)).tolist():
