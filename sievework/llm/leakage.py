@@ -109,26 +109,28 @@ def anchors(item: tuple[int, ...], length: int, most: int, counts: np.ndarray) -
 
 
 @dataclass(frozen=True)
-class Window:
-    """What is looked for of an item: windows of a length, with their anchors, the rarest first. ``beside`` has for each
-    anchor positions next to it, of which every passage around the anchor holds one."""
+class Plan:
+    """How an item is looked for: the lengths of its windows with the edits each may have, and its anchors over all lengths.
+    An anchor has positions beside it, of which every passage around it holds one, and the words that edits can move it by."""
 
     item: Item
-    length: int
-    most: int
-    anchors: tuple[int, ...]
-    beside: tuple[tuple[int, ...], ...]
+    lengths: tuple[tuple[int, int], ...]
+    anchors: tuple[tuple[int, tuple[int, ...], int], ...]
 
 
-def windows_of(items: list[Item], counts: np.ndarray) -> list[Window]:
-    """All windows of all items, with anchors by the counts of the whole corpus."""
+def plans_of(items: list[Item], counts: np.ndarray) -> list[Plan]:
+    """A plan for each item, with anchors by the counts of the whole corpus."""
     out = []
     for item in items:
         n = len(item.words)
-        for length in [w for w in WINDOWS if w <= n] or [n]:
-            most = length // EDIT_SHARE
-            places = sorted(anchors(item.words, length, most, counts), key=lambda p: counts[item.words[p]])
-            out.append(Window(item, length, most, tuple(places), tuple(_beside(item.words, p, length, most, counts) for p in places)))
+        lengths = tuple((length, length // EDIT_SHARE) for length in ([w for w in WINDOWS if w <= n] or [n]))
+        found: dict[int, tuple[set[int] | None, int]] = {}
+        for length, most in lengths:
+            for p in anchors(item.words, length, most, counts):
+                beside = _beside(item.words, p, length, most, counts)
+                known, widest = found.get(p, (set(), 0))
+                found[p] = (None if known is None or not beside else known | set(beside), max(most, widest))
+        out.append(Plan(item, lengths, tuple((p, tuple(sorted(beside or ())), most) for p, (beside, most) in sorted(found.items()))))
     return out
 
 
@@ -179,41 +181,44 @@ class Segment:
             self._terms[self.postings] = np.repeat(np.arange(len(self.starts) - 1, dtype=np.int32), np.diff(self.starts))
         return self._terms
 
-    def search(self, windows: list[Window]) -> list[tuple[int, int]]:
+    def search(self, plans: list[Plan]) -> list[tuple[int, int]]:
         """(document, item) of all passages in the segment."""
-        found: set[tuple[int, int]] = set()
-        for window in windows:
-            self._search(window, found)
-        return [(int(self.docs[doc]), item) for doc, item in sorted(found)]
+        return [(int(self.docs[doc]), plan.item.item_id) for plan in plans for doc in sorted(self._search(plan))]
 
-    def _meets(self, term: int, offset: int, diagonals: np.ndarray, most: int) -> np.ndarray:
-        """On which diagonals a term's list, shifted by its offset, has an entry, or as far off as edits can move it."""
+    def _off(self, term: int, offset: int, diagonals: np.ndarray) -> np.ndarray:
+        """How far off each diagonal a term's list, shifted by its offset, has its nearest entry."""
         shifted = self.list_of(term)
         if not len(shifted):
-            return np.zeros(len(diagonals), dtype=bool)
-        at = np.searchsorted(shifted, diagonals + (offset - most))
-        return (at < len(shifted)) & (shifted[np.minimum(at, len(shifted) - 1)] - offset - diagonals <= most)
-
-    def _search(self, window: Window, found: set[tuple[int, int]]) -> None:
-        item, length, most = window.item.words, window.length, window.most
-        for p, beside in zip(window.anchors, window.beside):
+            return np.full(len(diagonals), np.iinfo(np.int32).max, dtype=np.int64)
+        wanted = diagonals + offset
+        at = np.searchsorted(shifted, wanted)
+        return np.minimum(np.abs(shifted[np.minimum(at, len(shifted) - 1)] - wanted), np.abs(shifted[np.maximum(at - 1, 0)] - wanted))
+
+    def _search(self, plan: Plan) -> set[int]:
+        """Places of the documents that hold a passage of the item."""
+        item = plan.item.words
+        parts = []
+        for p, beside, most in plan.anchors:
             diagonals = self.list_of(item[p]).astype(np.int64) - p
             if len(diagonals) and beside:
-                near = np.zeros(len(diagonals), dtype=bool)
-                for q in beside:
-                    near |= self._meets(item[q], q, diagonals, most)
-                diagonals = diagonals[near]
-            if not len(diagonals):
-                continue
-            low, high = max(0, p - length + 1), min(len(item), p + length)
-            there = np.stack([self._meets(item[i], i, diagonals, most) for i in range(low, high)])
-            counts = np.cumsum(np.pad(there, ((1, 0), (0, 0))), axis=0, dtype=np.int32)
+                diagonals = diagonals[np.any([self._off(item[q], q, diagonals) <= most for q in beside], axis=0)]
+            parts.append(diagonals)
+        diagonals = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+        found: set[int] = set()
+        if not len(diagonals):
+            return found
+        off = np.stack([self._off(term, i, diagonals) for i, term in enumerate(item)])
+        for length, most in plan.lengths:
+            counts = np.cumsum(np.pad(off <= most, ((1, 0), (0, 0))), axis=0, dtype=np.int32)
             inside = counts[length:] - counts[:-length] >= length - most
             for k in np.flatnonzero(inside.any(axis=0)).tolist():
-                place = int(diagonals[k]) + p
-                doc = int(np.searchsorted(self.bounds, place, side="right")) - 1
-                if (doc, window.item.item_id) not in found and self._verified(item, (np.flatnonzero(inside[:, k]) + low).tolist(), length, most, int(diagonals[k])):
-                    found.add((doc, window.item.item_id))
+                starts = np.flatnonzero(inside[:, k])
+                # the document of a passage is that of its window's middle
+                docs = np.searchsorted(self.bounds, diagonals[k] + starts + length // 2, side="right") - 1
+                for doc in set(docs.tolist()) - found:
+                    if self._verified(item, starts[docs == doc].tolist(), length, most, int(diagonals[k])):
+                        found.add(doc)
+        return found
 
     def _verified(self, item: tuple[int, ...], starts: list[int], length: int, most: int, diagonal: int) -> bool:
         """Whether one of the item's windows occurs near the diagonal within the allowed edits."""
@@ -258,7 +263,7 @@ def leaked(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     counts = np.zeros(len(vocabulary) + 1, dtype=np.int64)
     for term, n in counted:
         counts[term] = n
-    shared = documents.sparkSession.sparkContext.broadcast(windows_of(items, counts))
+    shared = documents.sparkSession.sparkContext.broadcast(plans_of(items, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
