@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from sievework.llm.files import last_delivered
 from sievework.llm.names import PARTICLES, WORD, NameModel, train
@@ -19,6 +22,8 @@ from sievework.shared import materialise, spread, table
 # Bound of the labelled sample that the name classifier is fitted on, and of the length of a text in it.
 SAMPLE_ROWS = 2_000
 SAMPLE_CHARS = 4_000
+# The dictionary of given names is broadcast; more are refused.
+MOST_GIVEN = 2_000_000
 
 _GAP = r"(?:[ \t]+|[ \t]*\r?\n[ \t]*(?:[>*#|\-]+[ \t]*)?)"
 
@@ -298,32 +303,35 @@ def entities(text: str, model: NameModel) -> list[Entity]:
 # ---- the operator
 
 def fit_names(documents: DataFrame, given_names: DataFrame, sample_rows: int = SAMPLE_ROWS) -> NameModel:
-    """Fits the name classifier on ``sample_rows`` texts with mail addresses (the first that are
-    read, so that no more than these are); all texts are then searched with it."""
-    slim = documents.where(F.col("text").contains("@") & F.length("text").between(1, SAMPLE_CHARS)).select("text")
-    texts = [r[0] for r in slim.limit(sample_rows).collect()]
+    """Fits the name classifier on ``sample_rows`` texts with mail addresses, those whose key has the smallest hash, so that
+    the choice does not depend on the order of rows; all texts are then searched with it. The list of given names is a
+    dictionary and used whole; one of more than ``MOST_GIVEN`` names is refused instead of swamping the executors."""
+    slim = documents.where(F.col("text").contains("@") & F.length("text").between(1, SAMPLE_CHARS))
+    texts = [r[0] for r in slim.orderBy(F.xxhash64(F.col("doc_id").cast("long")), F.xxhash64("text")).select("text").limit(sample_rows).collect()]
     lines = [line for text in texts for line in text.split("\n") if "@" in line or "at)" in line or "at]" in line]
-    given = [r[0] for r in given_names.where(F.col("given_name").isNotNull()).select("given_name").limit(100_000).collect()]
+    given = [r[0] for r in given_names.where(F.col("given_name").isNotNull()).select("given_name").distinct().limit(MOST_GIVEN + 1).collect()]
+    if len(given) > MOST_GIVEN:
+        raise ValueError("too many given names to send to every task")
     return train(texts, lines, given)
 
 
 def detected(documents: DataFrame, model: NameModel) -> DataFrame:
-    """One row per entity: doc_id, line_no, kind, entity, place in characters, and whether a name is family-first without comma.
+    """One row per entity: doc_id, line_no, kind, entity, place in characters, whether a name is family-first without comma, and its normalised form.
 
     Texts are read whole where they are stored and never shuffled. Of a text delivered again the last delivery holds.
     Null and empty texts give no rows; a null key gives none; extra columns are ignored.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded: a fixed number of weights and the words of a bounded sample
-    schema = "doc_id long, ingested_at timestamp, found array<struct<line_no int, kind string, entity string, start int, stop int, family_first boolean>>"
-    struct = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("entity", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("family_first", pa.bool_())]))
+    schema = "doc_id long, ingested_at timestamp, found array<struct<line_no int, kind string, entity string, start int, stop int, family_first boolean, norm string>>"
+    struct = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("entity", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("family_first", pa.bool_()), ("norm", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names_model = shared.value
         for batch in batches:
             out = []
             for text in batch.column(2).to_pylist():
-                out.append([{"line_no": text.count("\n", 0, e.start) + 1, "kind": e.kind, "entity": text[e.start : e.end], "start": e.start, "stop": e.end, "family_first": e.family_first} for e in entities(text, names_model)] if text else [])
+                out.append([{"line_no": text.count("\n", 0, e.start) + 1, "kind": e.kind, "entity": text[e.start : e.end], "start": e.start, "stop": e.end, "family_first": e.family_first, "norm": normalised(e.kind, text[e.start : e.end], e.family_first)} for e in entities(text, names_model)] if text else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, type=struct)], names=["doc_id", "ingested_at", "found"])
 
     slim = spread(documents.select("doc_id", F.col("ingested_at").cast("timestamp").alias("ingested_at"), "text"), "doc_id")
@@ -344,9 +352,47 @@ def _stream(key: str, *parts: str) -> Iterator[int]:
         counter += 1
 
 
-def _word_like(word: str, stream: Iterator[int], feminine: bool | None = None) -> str:
-    out = "".join(_SYLLABLES[next(stream) % len(_SYLLABLES)] for _ in range(max(2, min(4, len(word) // 3 + 1))))
-    return out if feminine is None else out.rstrip("aeiou") + ("a" if feminine else "o")
+# Letters of the syllables above in other scripts, and runs of letters for scripts without such a table. Fixed values.
+_LATIN = "abdefgiklmnoprstv"
+_SCRIPTS = {"CYRILLIC": "абдефгиклмнопрств", "GREEK": "αβδεφγικλμνοπρστω"}
+_RUNS = {"ARABIC": (0x0628, 0x063A), "HEBREW": (0x05D0, 0x05EA), "DEVANAGARI": (0x0915, 0x0939), "HANGUL": (0xAC00, 0xD7A3), "HIRAGANA": (0x3042, 0x3093), "KATAKANA": (0x30A2, 0x30F3), "CJK": (0x4E00, 0x9FA5), "THAI": (0x0E01, 0x0E2E), "ARMENIAN": (0x0561, 0x0586), "GEORGIAN": (0x10D0, 0x10F0)}
+# Given names whose last letter tells the gender wrong. Fixed values.
+_MASCULINE = frozenset("andrea luca nicola joshua mike george pierre jose uwe rené rene enrique felipe jorge jaime vicente lorenze philippe etienne maxime alexandre antoine guillaume stephane kyle luke blake duane wayne malte arne sönke helge ole".split())
+_FEMININE = frozenset("carmen isabel beatriz ruth ingrid birgit karin astrid margaret elizabeth heidi raquel pilar dolores mercedes ines inés kirsten kerstin gudrun iris doris agnes judith edith muriel carol ann kim megan helen kathryn susan lauren heather hannah sarah leah marion manon margot".split())
+
+
+def _script(word: str) -> str:
+    letter = next((c for c in word if c.isalpha()), "a")
+    return unicodedata.name(letter, "LATIN").split(" ")[0].split("-")[0]
+
+
+def _feminine(word: str) -> bool:
+    return word in _FEMININE or word not in _MASCULINE and word.endswith(("a", "e", "α", "η", "а", "я"))
+
+
+def _word_like(word: str, stream: Iterator[int], feminine: bool | None = None, more: int = 0) -> str:
+    """A word of syllables in the script of ``word``, longer by ``more`` syllables."""
+    script = _script(word)
+    length = max(2, min(4, len(word) // 3 + 1)) + more
+    if script in _RUNS:
+        low, high = _RUNS[script]
+        return "".join(chr(low + (next(stream) << 8 | next(stream)) % (high - low + 1)) for _ in range(max(1, len(word)) + more))
+    out = "".join(_SYLLABLES[next(stream) % len(_SYLLABLES)] for _ in range(length))
+    out = out if feminine is None else out.rstrip("aeiou") + ("a" if feminine else "o")
+    return out.translate(str.maketrans(_LATIN, _SCRIPTS[script])) if script in _SCRIPTS else out
+
+
+def _permuted(digits: str, key: str, tag: str) -> str:
+    """A keyed permutation of the digit strings of one length: distinct ones stay distinct. An unbalanced Feistel network."""
+    if not digits:
+        return digits
+    left, right = digits[: len(digits) // 2], digits[len(digits) // 2 :]
+    for i in range(8):
+        seen, changed = (right, left) if i % 2 == 0 else (left, right)
+        shift = int.from_bytes(hmac.new(key.encode(), f"{tag}\0{len(digits)}\0{i}\0{seen}".encode("utf-8", "surrogatepass"), hashlib.sha256).digest()[:12], "big")
+        new = str((int(changed or "0") + shift) % 10 ** len(changed)).zfill(len(changed)) if changed else ""
+        left, right = (new, right) if i % 2 == 0 else (left, new)
+    return left + right
 
 
 def _cased(out: str, word: str) -> str:
@@ -383,16 +429,17 @@ def normalised(kind: str, entity: str, family_first: bool = False) -> str:
     return bare
 
 
-def _name_surrogate(norm: str, stream: Iterator[int]) -> list[str]:
-    """A word in lower case for every word of a normalised name; the given name is the first and keeps its gender's ending."""
+def _name_surrogate(norm: str, stream: Iterator[int], more: int) -> list[str]:
+    """A word in lower case for every word of a normalised name, in its script; the given name is the first and gets the
+    ending of its gender."""
     out: list[str] = []
     for i, word in enumerate(norm.split(" ")):
         if word in PARTICLES:
             out.append(word)
         elif len(word) == 1:
-            out.append(chr(ord("a") + next(stream) % 26))
+            out.append(_word_like(word, stream, None, more) if more else chr(ord("a") + next(stream) % 26))
         else:
-            out.append(_word_like(word, stream, word.endswith(("a", "e", "ie", "ine")) if i == 0 else None))
+            out.append(_word_like(word, stream, _feminine(word) if i == 0 else None, more))
     return out
 
 
@@ -403,35 +450,34 @@ def surrogate(kind: str, entity: str, key: str = _KEY, attempt: int = 0, family_
     What is drawn depends on the normalised entity only; a mention adds its order, case and separators."""
     norm = normalised(kind, entity, family_first)
     s = _stream(key, kind, norm, str(attempt))
+    more = attempt // 4  # a space that is too small for its entities grows
     if kind == "email":
-        return "".join(_SYLLABLES[next(s) % len(_SYLLABLES)] for _ in range(5)) + f"{next(s)}@example.net"
+        return "".join(_SYLLABLES[next(s) % len(_SYLLABLES)] for _ in range(5 + more)) + f"{next(s)}@example.net"
     if kind in ("phone", "id_number"):
-        # the country code stays, of which 1 and 7 have one digit
+        # the country code stays, of which 1 and 7 have one digit; the rest is permuted, so that numbers of one form differ
         keep = re.match(r"\+(?:[17]|\d{1,2})|00(?:[17]|\d\d)", norm)
         kept = len(_digits(keep.group())) if keep and kind == "phone" else 0
-        out = list(entity)
+        own = _digits(entity)
+        card = kind == "id_number" and 13 <= len(own) <= 19 and luhn(own)
+        letters = re.sub(r"[0-9]", "0", norm)
+        new = own[:kept] + _permuted(own[kept : len(own) - card], key, f"{kind}\0{letters}\0{own[:kept]}\0{card}\0{attempt}")
+        if card:
+            new += next(last for last in "0123456789" if luhn(new + last))
+        fresh, out = iter(new), list(entity)
         for i, c in enumerate(out):
-            if c.isdigit() and kept:
-                kept -= 1
-            elif c.isdigit():
-                out[i] = str(next(s) % 10)
+            if c.isdigit():
+                out[i] = next(fresh)
             elif c.isascii() and c.isalpha() and kind == "id_number":
                 letter = chr(ord("A") + next(s) % 26)
                 out[i] = letter if c.isupper() else letter.lower()
-        digits = [i for i, c in enumerate(out) if c.isdigit()]
-        if kind == "id_number" and 13 <= len(digits) <= 19 and luhn(_digits(entity)):
-            for last in "0123456789":
-                out[digits[-1]] = last
-                if luhn("".join(out[i] for i in digits)):
-                    break
         return "".join(out)
     if kind == "person_name":
         places, before = _name_parts(entity, family_first)
-        words = _name_surrogate(norm, s)
+        words = _name_surrogate(norm, s, more)
         n, at, made = len(places), 0, []
         for i, m in enumerate(places):
             new, word = words[(i - before) % n], m.group()
-            made += [entity[at : m.start()], word if word.lower() in PARTICLES else new.upper() if len(word) == 1 else _cased(new, word)]
+            made += [entity[at : m.start()], word if word.lower() in PARTICLES else new.upper() if len(word) == 1 and len(new) == 1 else _cased(new, word)]
             at = m.end()
         return "".join([*made, entity[at:]])
 
@@ -439,66 +485,86 @@ def surrogate(kind: str, entity: str, key: str = _KEY, attempt: int = 0, family_
         word = m.group()
         if word.lower() in PARTICLES or kind == "address" and re.fullmatch(_EN_TYPES + r"|(?i:rue|avenue|bd|place|chemin|calle|avda|plaza|paseo|bis|apt|flat|unit|de|du|la|bajo)", word):
             return word
-        return _cased(_word_like(word, s), word) if len(word) > 1 else chr(ord("A") + next(s) % 26)
+        return _cased(_word_like(word, s, None, more), word) if len(word) > 1 else chr(ord("A") + next(s) % 26)
 
     text = re.sub(r"\d", lambda m: str(next(s) % 10), entity) if kind == "address" else entity
     return WORD.sub(change, text)
 
 
+def _mapped(df: DataFrame, added: str, make: Callable[..., object], *columns: str) -> DataFrame:
+    """``df`` with a column made from others, one Arrow batch at a time."""
+    field = _parse_datatype_string(added).fields[0]
+    kind = to_arrow_schema(StructType([field])).field(0).type
+    names = [*df.columns, field.name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [batch.column(df_columns[c]).to_pylist() for c in columns]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([make(*row) for row in zip(*values)], type=kind)], names=names)
+
+    df_columns = {c: i for i, c in enumerate(df.columns)}
+    return df.mapInArrow(run, StructType([*df.schema.fields, field]))
+
+
 def _with_norm(found: DataFrame) -> DataFrame:
-    """``found`` with the column norm; without a column family_first no name stands family-first without a comma."""
+    """``found`` with the columns family_first and norm; where the first is not known, no name stands family-first without a
+    comma."""
     if "family_first" not in found.columns:
         found = found.withColumn("family_first", F.lit(False))
-    return found.withColumn("norm", F.udf(normalised)("kind", "entity", "family_first"))
+    return found if "norm" in found.columns else _mapped(found, "norm string", normalised, "kind", "entity", "family_first")
 
 
-def surrogates(found: DataFrame, key: str = _KEY, attempts: int = 12) -> DataFrame:
+def surrogates(found: DataFrame, key: str = _KEY, attempts: int = 64) -> DataFrame:
     """(kind, norm, attempt) for every entity, such that distinct entities of a kind get distinct surrogates.
 
-    Collisions are looked for over all data: of the entities with one surrogate all but the first are tried again.
+    Collisions are looked for over all data: of the entities with one surrogate all but the first are tried again, with a
+    longer one after some attempts, so that the space grows until it suffices. Numbers of one form never collide.
     """
+
     # the normalised form stands for all mentions, whose surrogates differ from its own in order, case and separators only
     def form(kind: str, norm: str, attempt: int) -> str:
         words = re.findall(r"\w+", surrogate(kind, norm, key, attempt).lower())
         return " ".join(sorted(words)) if kind == "person_name" else "".join(words)
 
-    entity = materialise(_with_norm(found).select("kind", "norm").distinct(), "entities")
-    made = F.udf(form)
-    settled = entity.withColumns({"attempt": F.lit(0), "form": made("kind", "norm", F.lit(0))})
+    entity = _with_norm(found).select("kind", "norm").distinct().withColumn("attempt", F.lit(0))
+    settled = materialise(_mapped(entity, "form string", form, "kind", "norm", "attempt"), "surrogates")
     for attempt in range(1, attempts + 1):
-        rank = F.row_number().over(Window.partitionBy("kind", "form").orderBy("attempt", "norm"))
-        ranked = materialise(settled.withColumn("_rank", rank), "surrogates")
-        if ranked.where("_rank > 1").isEmpty():
-            break
-        again = F.col("_rank") > 1
-        settled = ranked.withColumns({"attempt": F.when(again, attempt).otherwise(F.col("attempt")), "form": F.when(again, made("kind", "norm", F.lit(attempt))).otherwise(F.col("form"))}).drop("_rank")
-    else:
-        raise RuntimeError("surrogates still collide; their space is too small for these entities")
-    return ranked.select("kind", "norm", "attempt")
+        # an aggregate that combines first; only the few forms that several entities share are joined back
+        shared = settled.groupBy("kind", "form").agg(F.count(F.lit(1)).alias("_n"), F.min_by("norm", F.struct("attempt", "norm")).alias("_first")).where("_n > 1")
+        again = settled.join(shared, ["kind", "form"]).where(F.col("norm") != F.col("_first")).select("kind", "norm", F.lit(attempt).alias("attempt"))
+        again = materialise(_mapped(again, "form string", form, "kind", "norm", "attempt"), "collisions")
+        if again.isEmpty():
+            return settled.select("kind", "norm", "attempt")
+        settled = materialise(settled.join(again.select("kind", "norm"), ["kind", "norm"], "left_anti").unionByName(again), "surrogates")
+    raise RuntimeError("surrogates still collide; their space is too small for these entities")
+
+
+def assigned(found: DataFrame, key: str = _KEY) -> DataFrame:
+    """``found`` with the surrogate of each mention. Almost all entities keep their first one, so that only those that had
+    to be tried again are joined."""
+    found = materialise(_with_norm(found), "personal-data")
+    again = surrogates(found, key).where("attempt > 0").withColumnRenamed("attempt", "_again")
+    tried = found.join(again, ["kind", "norm"], "left").withColumn("attempt", F.coalesce("_again", F.lit(0))).drop("_again")
+    return _mapped(tried, "surrogate string", lambda kind, entity, attempt, first: surrogate(kind, entity, key, attempt, first), "kind", "entity", "attempt", "family_first")
 
 
 def replaced(documents: DataFrame, found: DataFrame, key: str = _KEY) -> DataFrame:
     """(doc_id, n_replaced, text): every entity replaced by ``[KIND surrogate]``, the rest of the text unchanged."""
-    found = materialise(found, "personal-data")
-    keyed = _with_norm(found).join(surrogates(found, key), ["kind", "norm"])
     # the spans of one text only; their number is bounded by its length
-    spans = keyed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "entity", "attempt", "family_first"))).alias("spans"))
+    spans = assigned(found, key).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "surrogate"))).alias("spans"))
     latest = last_delivered(documents.select("doc_id", "ingested_at", "text"), "doc_id")
 
-    @F.udf("struct<n_replaced int, text string>")
-    def splice(text, spans):
-        if text is None or not spans:
-            return (0, text)
-        out, at = [], 0
-        n = 0
-        for s in spans:
+    def splice(text: str | None, spans: list | None) -> dict:
+        out, at, n = [], 0, 0
+        for s in spans or () if text is not None else ():
             if s["start"] >= at:
-                out += [text[at : s["start"]], f"[{s['kind'].upper()} {surrogate(s['kind'], s['entity'], key, s['attempt'], s['family_first'])}]"]
+                out += [text[at : s["start"]], f"[{s['kind'].upper()} {s['surrogate']}]"]
                 at = s["stop"]
                 n += 1
-        return (n, "".join([*out, text[at:]]))
+        return {"n_replaced": n, "text": text if text is None else "".join([*out, text[at:]])}
 
-    return latest.join(spans, "doc_id", "left").select("doc_id", splice("text", "spans").alias("_s")).select("doc_id", "_s.n_replaced", "_s.text")
+    spliced = _mapped(latest.join(spans, "doc_id", "left").select("doc_id", "text", "spans"), "_s struct<n_replaced: int, text: string>", splice, "text", "spans")
+    return spliced.select("doc_id", "_s.n_replaced", "_s.text")
 
 
 def _detected(spark: SparkSession, folder: str) -> DataFrame:
@@ -507,7 +573,8 @@ def _detected(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _detected(spark, folder).select("doc_id", "line_no", "kind").distinct()
+    """Lines with personal data, read off the mentions that have got a surrogate."""
+    return assigned(_detected(spark, folder)).where(F.col("surrogate").isNotNull()).select("doc_id", "line_no", "kind").distinct()
 
 
 def p9_replaced(spark: SparkSession, folder: str) -> DataFrame:

@@ -66,11 +66,22 @@ def test_surrogates_keep_form_and_tell_entities_apart(spark):
     assert P.surrogate("person_name", "NORA FENNQUIST").isupper() and P.surrogate("email", "a@b.example").endswith("@example.net")
     assert P.surrogate("person_name", "A B", "k1") != P.surrogate("person_name", "A B", "k2")
     assert P.normalised("person_name", "Kest,  Nora") == P.normalised("person_name", "nora kest")
-    # so small a space that surrogates collide at first
-    rows = [(i, 1, "phone", f"9{i:02d}", 0, 3) for i in range(30)]
+    # numbers are permuted, so that even all of a small space stay distinct at once; initials run out and grow
+    rows = [(i, 1, "phone", f"9{i:02d}", 0, 3) for i in range(100)] + [(i, 1, "person_name", f"{a} {b}", 0, 3) for i, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz")]
     found = spark.createDataFrame(rows, "doc_id long, line_no int, kind string, entity string, start int, stop int")
     settled = [(r["kind"], r["norm"], r["attempt"]) for r in P.surrogates(found).collect()]
-    assert len({P.surrogate(k, n, attempt=a) for k, n, a in settled}) == 30 and any(a for _, _, a in settled)
+    phones = {P.surrogate(k, n, attempt=a) for k, n, a in settled if k == "phone"}
+    assert len(phones) == 100 and not any(a for k, _, a in settled if k == "phone")
+    names = {" ".join(sorted(P.surrogate(k, n, attempt=a).lower().split())) for k, n, a in settled if k == "person_name"}
+    assert len(names) == 676 and any(a > 3 for k, _, a in settled if k == "person_name")
+
+
+def test_surrogates_keep_script_and_gender():
+    for name, script in (("Анна Смирнова", "CYRILLIC"), ("Νίκος Παπαδόπουλος", "GREEK"), ("山田 太郎", "CJK"), ("משה כהן", "HEBREW")):
+        assert {P._script(w) for w in P.surrogate("person_name", name).split()} == {script}
+    assert P.surrogate("person_name", "Carmen Kest").split()[0].endswith("a") and P.surrogate("person_name", "Luca Kest").split()[0].endswith("o")
+    cards = ["4111111111111111", "4012888888881881", "5555555555554444"]
+    assert len({P.surrogate("id_number", c) for c in cards}) == 3 and all(P.luhn(P.surrogate("id_number", c)) for c in cards)
 
 
 def shown(text, model):
