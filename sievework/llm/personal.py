@@ -303,11 +303,14 @@ def entities(text: str, model: NameModel) -> list[Entity]:
 # ---- the operator
 
 def fit_names(documents: DataFrame, given_names: DataFrame, sample_rows: int = SAMPLE_ROWS) -> NameModel:
-    """Fits the name classifier on ``sample_rows`` texts with mail addresses, those whose key has the smallest hash, so that
-    the choice does not depend on the order of rows; all texts are then searched with it. The list of given names is a
-    dictionary and used whole; one of more than ``MOST_GIVEN`` names is refused instead of swamping the executors."""
+    """Fits the name classifier on about ``sample_rows`` texts with mail addresses (twice as many at most), those whose keys'
+    hashes lie below the share that makes so many, so that the choice does not depend on the order of rows and only the
+    sample reaches the driver; all texts are then searched with it. The list of given names is a dictionary and used whole;
+    one of more than ``MOST_GIVEN`` names is refused instead of swamping the executors."""
     slim = documents.where(F.col("text").contains("@") & F.length("text").between(1, SAMPLE_CHARS))
-    texts = [r[0] for r in slim.orderBy(F.xxhash64(F.col("doc_id").cast("long")), F.xxhash64("text")).select("text").limit(sample_rows).collect()]
+    share = min(1.0, sample_rows / max(slim.count(), 1))
+    sample = slim.where(F.xxhash64(F.col("doc_id").cast("long"), F.lit("sample")) <= int((share - 0.5) * 2**64 - (share == 1.0)))
+    texts = [r[0] for r in sample.select("text").limit(2 * sample_rows).collect()]
     lines = [line for text in texts for line in text.split("\n") if "@" in line or "at)" in line or "at]" in line]
     given = [r[0] for r in given_names.where(F.col("given_name").isNotNull()).select("given_name").distinct().limit(MOST_GIVEN + 1).collect()]
     if len(given) > MOST_GIVEN:
