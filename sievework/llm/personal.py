@@ -309,7 +309,7 @@ def fit_names(documents: DataFrame, given_names: DataFrame, sample_rows: int = S
     one of more than ``MOST_GIVEN`` names is refused instead of swamping the executors."""
     slim = documents.where(F.col("text").contains("@") & F.length("text").between(1, SAMPLE_CHARS))
     share = min(1.0, sample_rows / max(slim.count(), 1))
-    sample = slim.where(F.xxhash64(F.col("doc_id").cast("long"), F.lit("sample")) <= int((share - 0.5) * 2**64 - (share == 1.0)))
+    sample = slim.where(F.xxhash64(F.col("doc_id").cast("long"), F.lit("sample")) <= min(int((share - 0.5) * 2**64), 2**63 - 1))
     texts = [r[0] for r in sample.select("text").limit(2 * sample_rows).collect()]
     lines = [line for text in texts for line in text.split("\n") if "@" in line or "at)" in line or "at]" in line]
     given = [r[0] for r in given_names.where(F.col("given_name").isNotNull()).select("given_name").distinct().limit(MOST_GIVEN + 1).collect()]

@@ -134,3 +134,10 @@ def test_replacement_leaves_the_rest(spark, model):
     assert got[1]["n_replaced"] == 4 and "Kestvane" not in out and out.startswith("Ask [PERSON_NAME ") and out.endswith(" left. ü😀") and "\r\n" in out
     assert got[2]["text"] is None and got[4]["text"] == "nothing here"
     assert P.detected(docs.limit(0), model).count() == 0
+
+
+def test_the_fitting_sample_may_hold_all_texts(spark):
+    at = dt.datetime(2025, 1, 1)
+    docs = spark.createDataFrame([(i, f"Clara Kestvane{i} <clara.kestvane{i}@x.example>", at) for i in range(20)], "doc_id long, text string, ingested_at timestamp")
+    names = spark.createDataFrame([("Clara",), (None,)], "given_name string")
+    assert "clara" in P.fit_names(docs, names).given and P.fit_names(docs, names, 5) and P.fit_names(docs.limit(0), names.limit(0))
