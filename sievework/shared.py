@@ -69,17 +69,15 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A table below this size per core may lie in fewer splits than there are cores.
-_SMALL_PER_CORE = 16 << 20
+#: Setting that names a number of partitions for tables of files and texts, for input that lies in too few parts.
+SPREAD_KEY = "spark.sievework.spread"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over as many partitions as there are cores, for work that is heavy per row, if it is small and lies in few
-    files. Large tables stay as they are. The hash of the keys spreads the rows, which a lost task repeats in the same
-    way. Size and files come from the plan's statistics; nothing is run for them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * _SMALL_PER_CORE and len(df.inputFiles()) < cores else df
+def spread(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """``df`` over as many partitions as are asked for, by argument or by the setting ``SPREAD_KEY``; without either it stays
+    as it is read. The hash of the keys spreads the rows, which a lost task repeats in the same way."""
+    wanted = partitions or int(df.sparkSession.conf.get(SPREAD_KEY, "0"))
+    return df.repartition(wanted, *keys) if wanted else df
 
 
 _shipped: set[str] = set()
