@@ -42,13 +42,24 @@ def encoding(path: str):
     return _encodings[path]
 
 
-_PARTS = re.compile(r"[\s\S]{1,50000}(?:(?=\s)|\Z)|[\s\S]{1,50000}")
+_BORDER = re.compile(r"\S(?=\s)")
+_PART = 50_000
+
+
+def parts(text: str) -> list[str]:
+    """A text in parts of at least ``_PART`` characters that end where white space follows a character that is none. No token
+    of the pattern reaches over such a place, so that the parts have the tokens of the whole."""
+    out, low = [], 0
+    while len(text) - low > _PART and (m := _BORDER.search(text, low + _PART)):
+        out.append(text[low : m.end()])
+        low = m.end()
+    return [*out, text[low:]]
 
 
 def count_tokens(text: str, path: str = VOCABULARY) -> int:
-    """Tokens of a whole text. Very long texts are encoded in parts that end before white space, as the pattern does."""
+    """Tokens of a whole text. A long one is encoded in parts, see :func:`parts`."""
     code = encoding(path)
-    return sum(len(code.encode_ordinary(p)) for p in _PARTS.findall(text)) if len(text) > 50_000 else len(code.encode_ordinary(text))
+    return sum(len(code.encode_ordinary(part)) for part in parts(text))
 
 
 class Levels:

@@ -66,3 +66,13 @@ def test_edges_of_tables(spark):
     at = dt.datetime(2025, 1, 1)
     df = spark.createDataFrame([(1, None, at), (2, "", at), (3, "hello world", at), (3, "hello", at + dt.timedelta(days=1)), (None, "x", at)], "doc_id long, text string, ingested_at timestamp")
     assert {r["doc_id"]: r["n_tokens"] for r in P.sizes(df).collect()} == {1: 0, 2: 0, 3: 1}
+
+
+def test_parts_of_a_text_have_the_tokens_of_the_whole():
+    r = random.Random(3)
+    code = P.encoding(P.VOCABULARY)
+    for _ in range(6):
+        text = "".join(r.choice(["word", " ", "  \n", "\t", "it's", "12345", "...", "ü漢", " " * r.randrange(40), "x" * r.randrange(300)]) for _ in range(r.randrange(20_000, 40_000)))
+        assert len(P.parts(text)) > 1 and "".join(P.parts(text)) == text
+        assert P.count_tokens(text) == len(code.encode_ordinary(text))
+    assert P.parts("y" * 120_000) == ["y" * 120_000] and P.parts(" " * 120_000) == [" " * 120_000] and P.parts("") == [""]
