@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 
+from sievework.llm.script_parser import deep_enough
+
 _STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*"')
 _JSONC_SKIP = re.compile(r'"(?:[^"\\\n]|\\.)*"|//[^\n]*|/\*[\s\S]*?\*/|,(?=(?:\s|//[^\n]*|/\*[\s\S]*?\*/)*[}\]])')
 
@@ -25,7 +27,9 @@ def json_errors(text: str, relaxed: bool = False) -> list[tuple[int, str]]:
         json.loads(text, parse_constant=_no_constant)
     except json.JSONDecodeError as x:
         return [(x.pos, x.msg), *_Json(text).errors()[1:]]
-    except (ValueError, RecursionError) as x:
+    except RecursionError:  # deeper than the library reads; the other parser knows no depth
+        return _Json(text).errors()
+    except ValueError as x:
         return _Json(text).errors() or [(0, str(x)[:200])]
     return []
 
@@ -602,8 +606,6 @@ class Yaml:
 def yaml_errors(text: str) -> list[tuple[int, str]]:
     """All structural errors of a YAML text in the order found. An empty text is an empty stream and valid."""
     yaml = Yaml(text)
-    try:
-        yaml.check()
-    except RecursionError:
-        return [*yaml.errors, (0, "nested too deeply")]
+    deep_enough(text)
+    yaml.check()
     return yaml.errors

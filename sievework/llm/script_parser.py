@@ -186,8 +186,6 @@ class Parser:
                 break
             except ParseError as x:
                 self.note(x)
-            except RecursionError:
-                self.note(ParseError(self.s, "nested too deeply"))
             if len(self.errors) >= self.most or not self.recover():
                 break
         return self.errors
@@ -1753,7 +1751,10 @@ _STATEMENTS = {
     "function": Parser.s_function, "async": Parser.s_async, "class": Parser.s_class, "debugger": Parser.s_debugger, "with": Parser.s_with, "import": Parser.s_import, "export": Parser.s_export,
 }
 
-_DEPTH = 60_000
+def deep_enough(text: str) -> None:
+    """Lets calls nest as deeply as a text can, so that no depth is an error. What nests takes a letter, and no letter more
+    calls than this; frames of Python functions live on the heap."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000 + 40 * len(text)))
 
 
 def script_errors(text: str, extension: str, path: str = "", most_errors: int = 1_000_000) -> list[tuple[int, str]]:
@@ -1761,6 +1762,5 @@ def script_errors(text: str, extension: str, path: str = "", most_errors: int =
     dialect = DIALECTS[extension]
     if path.endswith(".d.ts"):
         dialect = Dialect(typed=True, goal="module", ambient=True)
-    if sys.getrecursionlimit() < _DEPTH:
-        sys.setrecursionlimit(_DEPTH)
+    deep_enough(text)
     return Parser(text, dialect, most_errors).parse()

@@ -33,27 +33,38 @@ def language(path: str = "display_path"):
     return F.lower(F.regexp_extract(path, EXTENSION, 1))
 
 
+# One extension for each language, in the order in which a file that is invalid is tried as another. The typed script
+# languages read plain scripts too.
+FAMILIES = ("json", "cjs", "mjs", "jsx", "ts", "tsx", "yaml")
+
+
+def accepted_by(text: str) -> list[str]:
+    """The languages for which a text is valid, whatever its extension says."""
+    return [x for x in FAMILIES if not (script_errors(text, x, f"a.{x}", 1) if x in DIALECTS else errors_of(text, f"a.{x}"))]
+
+
 def _parsed(text: str | None, path: str | None) -> dict:
     if text is None or path is None:
-        return {"n_errors": None, "first_line": None, "first_cause": None, "errors": None}
+        return {"n_errors": None, "first_line": None, "first_cause": None, "errors": None, "accepted_by": None}
     errors, line, last = [], 1, 0
     for at, cause in errors_of(text, path):
         line += text.count("\n", last, at) if at >= last else -text.count("\n", at, last)
         last = at
         errors.append({"line": line, "cause": cause})
     first = errors[0] if errors else {"line": None, "cause": None}
-    return {"n_errors": len(errors), "first_line": first["line"], "first_cause": first["cause"], "errors": errors}
+    return {"n_errors": len(errors), "first_line": first["line"], "first_cause": first["cause"], "errors": errors, "accepted_by": accepted_by(text) if errors else None}
 
 
 def parsed_files(files: DataFrame) -> DataFrame:
-    """Per file with a language and a text: how many errors it has, line and cause of the first, and of all in the order found.
+    """Per file with a language and a text: how many errors it has, line and cause of the first, and of all in the order found;
+    of an invalid file also the languages that accept it.
 
     Files are parsed where they are read, one batch at a time; only the small outcome is shuffled, to let the last of
     repeated deliveries hold. Each file is parsed whole. A file whose last delivery has no text, and one without path or
     language, gives no row; an empty file is valid (but no valid JSON). Extra columns are ignored.
     """
     typed = files.withColumn("language", language()).where(F.col("language").isin(LANGUAGES))
-    rows = per_file(typed, _parsed, "n_errors int, first_line int, first_cause string, errors array<struct<line: int, cause: string>>", keep=["repo", "language"])
+    rows = per_file(typed, _parsed, "n_errors int, first_line int, first_cause string, errors array<struct<line: int, cause: string>>, accepted_by array<string>", keep=["repo", "language"])
     return rows.where(F.col("n_errors").isNotNull() | F.col("error").isNotNull())
 
 
@@ -73,5 +84,11 @@ def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("invalid_share", F.col("n_invalid") / F.col("n_files"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates}
+def p3_accepted(spark: SparkSession, folder: str) -> DataFrame:
+    """Per language and language that accepts them: how many of its invalid files; null for files that none accepts."""
+    rows = parsed_files(table(spark, folder, "files")).where("n_errors > 0")
+    return rows.select("language", F.explode_outer("accepted_by").alias("accepted_by")).groupBy("language", "accepted_by").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_files": p3_files, "p3_rates": p3_rates, "p3_accepted": p3_accepted}
 SQL: dict[str, str] = {}

@@ -7,6 +7,7 @@ import pytest
 from sievework.llm import syntax
 from sievework.llm.data_parsers import json_errors, yaml_errors
 from sievework.llm.script_parser import script_errors
+from sievework.llm.syntax import accepted_by, errors_of
 
 GOOD = {
     "ts": [
@@ -116,3 +117,12 @@ def test_operator_edges(spark):
     got = {r["file_id"]: r["n_errors"] for r in syntax.parsed_files(files(spark, rows)).collect()}
     assert got == {1: 0, 2: 1, 6: 0}
     assert syntax.parsed_files(files(spark, [])).count() == 0
+
+
+def test_no_depth_is_an_error_and_other_languages_are_told():
+    for n in (3_000, 30_000):
+        assert errors_of("x = " + "[" * n + "]" * n, "a.ts") == [] and errors_of("[" * n + "]" * n, "a.json") == [] and errors_of("x = " + "(" * (n // 10) + "1" + ")" * (n // 10), "a.js") == []
+        assert errors_of("[" * n + "]" * (n - 1), "a.json") != [] and errors_of("{" * n + "}" * n, "a.js") == []
+    assert errors_of("a: " + "[" * 5_000 + "]" * 5_000, "a.yml") == []
+    assert accepted_by('{"a": 1}') == ["json", "yaml"] and "ts" in accepted_by("const a: string = b;") and "cjs" not in accepted_by("const a: string = b;")
+    assert accepted_by("const a = {;\n") == []
