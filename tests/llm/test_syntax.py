@@ -125,4 +125,4 @@ def test_no_depth_is_an_error_and_other_languages_are_told():
         assert errors_of("[" * n + "]" * (n - 1), "a.json") != [] and errors_of("{" * n + "}" * n, "a.js") == []
     assert errors_of("a: " + "[" * 5_000 + "]" * 5_000, "a.yml") == []
     assert accepted_by('{"a": 1}') == ["json", "yaml"] and "ts" in accepted_by("const a: string = b;") and "cjs" not in accepted_by("const a: string = b;")
-    assert accepted_by("const a = {;\n") == []
+    assert accepted_by("a: [b, {c\n") == []
