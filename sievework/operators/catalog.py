@@ -12,6 +12,7 @@ class Rule:
     severity: str
     confidence: str
     threshold: float | None = None
+    remediation: str = ""
 
 
 # Fixed values, one rule a line: id, pillar, severity, confidence, threshold.

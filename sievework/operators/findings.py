@@ -77,6 +77,26 @@ def in_changed_ranges(findings: DataFrame, ranges: DataFrame, whole_files: DataF
     return f.join(w, whole, "left_semi").unionByName(hit.alias("f").join(w, whole, "left_anti"))
 
 
+# Rules whose findings on line 1 speak of the whole file. Fixed values.
+FILE_WIDE = ("design.large-module-concentration", "docs.missing-file-overview", "size.file-length")
+
+
+def in_scope(findings: DataFrame, ranges: DataFrame, whole_files: DataFrame | None = None, regions: DataFrame | None = None, keys: tuple[str, ...] = ("repo", "file_path")) -> DataFrame:
+    """Findings that a change touches: whose file is new as a whole, whose lines overlap a changed range (a finding without
+    line stands on line 1), that speak of the whole of a changed file, or, with ``regions``, whose innermost declaration
+    overlaps a changed range. Findings have a fingerprint, unique within ``keys``."""
+    placed = findings.withColumn("_line", F.col("line")).withColumn("line", F.coalesce("line", F.lit(1)))
+    wide = F.col("rule_id").isin(*FILE_WIDE) & (F.col("_line") == 1) & F.col("symbol").isNull()
+    hit = in_changed_ranges(placed, ranges, whole_files, keys).unionByName(placed.where(wide).join(ranges.select(*keys).distinct(), list(keys), "left_semi"))
+    if regions is not None:
+        around = enclosing_region(placed, regions, "fingerprint", keys).select(*keys, F.col("fingerprint"), F.col("region_start").alias("start"), F.col("region_end").alias("end"))
+        d, r = around.alias("d"), ranges.alias("r")
+        changed = d.join(r, [*[F.col(f"d.{k}") == F.col(f"r.{k}") for k in keys], F.col("d.start") <= F.col("r.end"), F.col("d.end") >= F.col("r.start")], "left_semi").select(*keys, "fingerprint")
+        hit = hit.unionByName(placed.join(changed, [*keys, "fingerprint"], "left_semi"))
+    names = [*keys, "fingerprint"]
+    return findings.join(hit.select(*names).distinct(), names, "left_semi")
+
+
 def enclosing_region(findings: DataFrame, regions: DataFrame, key: str, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:
     """The declaration around each finding: one of the same name first, else the narrowest. Findings outside of all
     regions are left out. Regions: keys, name, start, end; ``key`` tells findings apart."""
@@ -85,7 +105,8 @@ def enclosing_region(findings: DataFrame, regions: DataFrame, key: str, keys: tu
     span = F.col("r.end") - F.col("r.start")
     named = F.coalesce((F.col("f.symbol") == F.col("r.name")).cast("int"), F.lit(0))
     best = F.min_by(F.struct(F.col("r.name").alias("name"), F.col("r.start").alias("start"), F.col("r.end").alias("end")), F.struct(-named, span, F.col("r.start"), F.col("r.name")))
-    return f.join(r, same).groupBy(F.col(f"f.{key}").alias(key)).agg(best.alias("_r")).select(key, F.col("_r.name").alias("region"), F.col("_r.start").alias("region_start"), F.col("_r.end").alias("region_end"))
+    scope = [k for k in keys if k != key]
+    return f.join(r, same).groupBy(F.col(f"f.{key}").alias(key), *[F.col(f"f.{k}").alias(k) for k in scope]).agg(best.alias("_r")).select(key, *scope, F.col("_r.name").alias("region"), F.col("_r.start").alias("region_start"), F.col("_r.end").alias("region_end"))
 
 
 def leading_comments(declarations: DataFrame, comments: DataFrame, blank_lines: DataFrame, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:

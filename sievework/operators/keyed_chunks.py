@@ -64,7 +64,11 @@ def numbered_rows(df: DataFrame, keys: list[str], order_by: list[str], chunk_row
             keys, order_by = ([free if c == name else c for c in names] for names in (keys, order_by))
     spark = df.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(count, *keys, *order_by).sortWithinPartitions(*keys, *order_by)
+    # rows that tie in the order are told apart, so that a key whose order is coarse is spread too
+    tie = "_tie"
+    while tie in df.columns:
+        tie += "_"
+    ordered = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(count, *keys, *order_by, tie).sortWithinPartitions(*keys, *order_by).drop(tie)
     schema = StructType([*df.schema.fields, StructField(PART, IntegerType()), StructField(LOCAL, LongType())])
     rows = materialise(ordered.mapInArrow(lambda batches: _number(batches, keys), schema), "keyed-rows")
 

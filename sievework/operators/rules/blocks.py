@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.patterns import java
 from sievework.operators.catalog import Config
+from sievework.operators.rules.lines import YIELD
 
 TEST_PATH = r"(?:^|/)(?:__tests__|tests?|spec|__fixtures__|fixtures?|testdata)/|\.(?:test|spec)\.[cm]?[tj]sx?$"
 BROAD_TEST_PATH = r"(?:^|/)test/(?:integration|contract|smoke|performance)/"
@@ -106,18 +107,30 @@ def _offsets(code: Column, pattern: str) -> Column:
     return F.aggregate(matches, start, lambda s, m: F.struct((s["n"] + lines(m["all"])).alias("n"), F.array_append(s["out"], F.struct((s["n"] + lines(m["front"])).alias("line"), m["name"].alias("name"))).alias("out")), lambda s: s["out"])
 
 
+def prepared(blocks: DataFrame) -> DataFrame:
+    """Blocks with what several rules look at. A null name, flag or comment mark counts as empty or false, and a block whose
+    code is unknown is told by its body."""
+    false = F.lit(False)
+    b = blocks.withColumns({"block_code": F.coalesce("code_body", "body"), "is_test": F.coalesce("is_test", false), "commented": F.coalesce("has_leading_comment", false), "exported": F.coalesce("is_exported", false), "par": F.coalesce("params", F.lit("")), "title": F.coalesce("name", F.lit(""))})
+    code = F.col("block_code")
+    b = b.withColumns({"cyclo": cyclomatic(code), "deep": nesting(code), "n_params": parameter_count(F.col("par")), "inner": function_body(code)})
+    return b.withColumns({"setup": F.when(F.col("is_test"), setup_lines(F.col("inner"))), "cognitive": F.col("cyclo") + F.col("deep")})
+
+
 def block_findings(blocks: DataFrame, config: Config = Config()) -> DataFrame:
-    """Findings of all block rules in one pass over the blocks; a block whose code is unknown is told by its body.
+    """Findings of all block rules in one pass over the blocks.
 
     ``blocks``: repo, file_path, name, params, start_line, line_count, body, code_body, is_public, is_exported, is_test,
-    has_leading_comment, declaration_line. Nothing is shuffled. A null name, flag or comment mark counts as empty or false.
+    has_leading_comment, declaration_line. Nothing is shuffled; blocks without body give nothing.
     """
+    return prepared(blocks.where(F.col("body").isNotNull())).select("repo", "file_path", F.inline(block_yields(config)))
+
+
+def block_yields(config: Config = Config()) -> Column:
+    """What all block rules yield for one block as :func:`prepared` gives it."""
     false = F.lit(False)
-    b = blocks.where(F.col("body").isNotNull()).withColumns({"code": F.coalesce("code_body", "body"), "is_test": F.coalesce("is_test", false), "commented": F.coalesce("has_leading_comment", false), "exported": F.coalesce("is_exported", false), "par": F.coalesce("params", F.lit("")), "title": F.coalesce("name", F.lit(""))})
-    code, body, title = F.col("code"), F.col("body"), F.col("title")
-    b = b.withColumns({"cyclo": cyclomatic(code), "deep": nesting(code), "n_params": parameter_count(F.col("par")), "inner": function_body(code)})
+    code, body, title = F.col("block_code"), F.col("body"), F.col("title")
     inner, test = F.col("inner"), F.col("is_test")
-    b = b.withColumns({"setup": F.when(test, setup_lines(inner)), "cognitive": F.col("cyclo") + F.col("deep")})
     limit = config.threshold
     has = lambda p, c=code: c.rlike(java(p))
     in_tests = F.coalesce(F.col("file_path").rlike(TEST_PATH), false)
@@ -155,7 +168,7 @@ def block_findings(blocks: DataFrame, config: Config = Config()) -> DataFrame:
         ("test-quality.only-skip", test & has(FOCUS), "A test is focused or skipped.", None),
     ]
     none = F.lit(None).cast("string")
-    row = lambda rule_id, line, symbol, message, data: F.struct(F.lit(rule_id).alias("rule_id"), line.cast("int").alias("line"), symbol.alias("symbol"), message.alias("message"), data.alias("metadata_json"))
+    row = lambda rule_id, line, symbol, message, data: F.struct(F.lit(rule_id).alias("rule_id"), line.cast("int").alias("line"), symbol.alias("symbol"), message.alias("message"), none.alias("severity"), data.alias("metadata_json"))
     start, name = F.col("start_line"), F.col("name")
     parts = [F.array_compact(F.array(*[F.when(F.coalesce(hit, false), row(rule_id, start, name, F.lit(message), F.to_json(F.struct(F.col(metric).alias("value"))) if metric else none)) for rule_id, hit, message, metric in rules if config.enabled(rule_id)]))]
     named = lambda rule_id, names, message: F.transform(names, lambda n: row(rule_id, start, name, F.concat(F.lit(message), n), F.to_json(F.struct(n.alias("name")))))
@@ -178,9 +191,8 @@ def block_findings(blocks: DataFrame, config: Config = Config()) -> DataFrame:
         lines = F.split(code, "\n")
         last = F.coalesce(F.array_max(F.transform(lines, lambda x, i: F.when(~_bare(x).isin("", "}"), i))), F.lit(-1))
         bare_return = F.coalesce(F.regexp_like(_bare(F.get(lines, last)), F.lit(java(r"^return\s*;?$"))), false)
-        parts.append(F.when(bare_return, F.array(row("waste.useless-return", start + last, name, F.lit("The last line returns nothing."), none))).otherwise(F.array().cast("array<struct<rule_id:string,line:int,symbol:string,message:string,metadata_json:string>>")))
-    found = b.select("repo", "file_path", F.inline(F.concat(*parts)))
-    return found.select("repo", "file_path", "rule_id", "line", "symbol", "message", none.alias("severity"), "metadata_json")
+        parts.append(F.when(bare_return, F.array(row("waste.useless-return", start + last, name, F.lit("The last line returns nothing."), none))).otherwise(F.array().cast(YIELD)))
+    return F.concat(*parts)
 
 
 def _magic(expression: Column, value: Column) -> Column:

@@ -97,9 +97,9 @@ def cycle_findings(edge: DataFrame) -> DataFrame:
 
 
 def concentration(files: DataFrame, config: Config) -> DataFrame:
-    """The largest script of each repository if it holds more than the threshold of its lines, in per cent."""
-    scripts = files.where(F.col("is_script") & F.col("text").isNotNull() & production(F.col("file_path")))
-    lines = scripts.select("repo", "file_path", (F.regexp_count("text", F.lit("\n")) + 1).alias("n"))
+    """The largest script of each repository if it holds more than the threshold of its lines, in per cent. ``files``: repo,
+    file_path, is_script, n (lines)."""
+    lines = files.where(F.col("is_script") & production(F.col("file_path"))).select("repo", "file_path", "n")
     # of equally large files the one with the first path holds
     largest = F.min(F.struct((-F.col("n")).alias("_n"), "file_path"))
     total = lines.groupBy("repo").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("files"), F.max("n").alias("n"), largest.alias("_largest"))
@@ -110,21 +110,19 @@ def concentration(files: DataFrame, config: Config) -> DataFrame:
 
 
 def missing_tests(files: DataFrame, edge: DataFrame) -> DataFrame:
-    """Scripts with an export that no test beside them and no import from a test covers: two anti joins."""
-    paths = files.where(F.col("is_script")).select("repo", "file_path", "text")
+    """Scripts with an export that no test beside them and no import from a test covers: two anti joins. ``files``: repo,
+    file_path, is_script, symbol and line (of the first export, null without one)."""
+    paths = files.where(F.col("is_script"))
     base = F.regexp_replace("file_path", r"\.[cm]?[tj]sx?$", "")
     folder = F.when(S.dir_name(F.col("file_path")) == ".", F.lit("")).otherwise(S.dir_name(F.col("file_path")))
     below = lambda name: F.when(folder == "", F.lit(name)).otherwise(F.concat(folder, F.lit(f"/{name}")))
     # a test covers files of its name in its folder and above it; one in a top folder covers files everywhere
     tests = paths.where(F.col("file_path").rlike(TEST)).select("repo", S.base_name(F.regexp_replace(base, r"\.(?:test|spec)$", "")).alias("name"), F.when(F.col("file_path").rlike("^tests?/"), F.lit("*")).otherwise(folder).alias("at")).distinct()
-    text = F.col("text")
-    before = F.regexp_extract(text, java(rf"([\s\S]*?){EXPORTED}"), 1)
-    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    open_files = paths.where(production(F.col("file_path")) & text.rlike(java(EXPORTED))).select("repo", "file_path", S.base_name(base).alias("name"), F.regexp_extract(text, java(EXPORTED), 1).alias("symbol"), line.alias("_line"), F.explode(F.array(folder, below("__tests__"), below("tests"), F.lit("*"))).alias("at"))
+    open_files = paths.where(production(F.col("file_path")) & F.col("symbol").isNotNull()).select("repo", "file_path", S.base_name(base).alias("name"), "symbol", "line", F.explode(F.array(folder, below("__tests__"), below("tests"), F.lit("*"))).alias("at"))
     covered = open_files.join(tests, ["repo", "name", "at"], "left_semi").select("repo", "file_path").distinct()
     imported = edge.where(F.col("src").rlike(TEST)).select("repo", F.col("dst").alias("file_path")).distinct()
     rows = open_files.where("at = '*'").join(covered.unionByName(imported), ["repo", "file_path"], "left_anti")
-    return _rows(rows, "test-quality.missing-nearby-test", "No test covers the file.", F.col("_line"), F.col("symbol"))
+    return _rows(rows, "test-quality.missing-nearby-test", "No test covers the file.", F.col("line"), F.col("symbol"))
 
 
 def bin_findings(bins: DataFrame, files: DataFrame) -> DataFrame:

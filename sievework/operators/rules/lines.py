@@ -93,16 +93,16 @@ def _starts_in_code(pattern: str) -> Column:
     return F.when(F.col("line").rlike(pattern), walked).otherwise(False)
 
 
-def line_findings(lines: DataFrame, config: Config = Config()) -> DataFrame:
-    """Findings of all line rules in one pass. ``lines``: repo, file_path, n, line, code (masked; null: see
-    :func:`code_line`).
+#: What a rule yields for a line or block.
+YIELD = "array<struct<rule_id:string,line:int,symbol:string,message:string,severity:string,metadata_json:string>>"
 
-    Lines are only filtered and projected, so nothing is shuffled; null lines give nothing.
-    """
-    source = lines.where(F.col("line").isNotNull()).withColumn("code", F.coalesce("code", code_line(F.col("line"))))
+
+def line_yields(config: Config = Config()) -> Column:
+    """What all line rules yield for one line: of its columns line, code (masked; null: see :func:`code_line`), n and
+    file_path. Nothing for a null line."""
     none = F.lit(None).cast("string")
-    row = lambda rule, symbol, severity=none: F.struct(F.lit(rule.rule_id).alias("rule_id"), symbol.alias("symbol"), F.lit(rule.message).alias("message"), severity.alias("severity"))
-    once = lambda hit, *args: F.when(F.coalesce(hit, F.lit(False)), F.array(row(*args))).otherwise(F.array().cast("array<struct<rule_id:string,symbol:string,message:string,severity:string>>"))
+    row = lambda rule, symbol, severity=none: F.struct(F.lit(rule.rule_id).alias("rule_id"), F.col("n").cast("int").alias("line"), symbol.alias("symbol"), F.lit(rule.message).alias("message"), severity.alias("severity"), none.alias("metadata_json"))
+    once = lambda hit, *args: F.when(F.coalesce(hit, F.lit(False)), F.array(row(*args))).otherwise(F.array().cast(YIELD))
     each = lambda pattern, group, rule: F.transform(F.regexp_extract_all("code", F.lit(pattern), F.lit(group)), lambda s: row(rule, s))
     found = []
     for rule in LINE_RULES:
@@ -129,8 +129,16 @@ def line_findings(lines: DataFrame, config: Config = Config()) -> DataFrame:
     if config.enabled("naming.hungarian-notation") and config.hungarian_prefixes:
         pattern = r"\b(?:const|let|var|public|private|protected)\s+((?:" + "|".join(sorted(config.hungarian_prefixes)) + r")[A-Z][A-Za-z0-9_$]*)"
         found.append(each(java(pattern), 1, LineRule("naming.hungarian-notation", "", "A name begins with its type.")))
-    rows = source.select("repo", "file_path", F.col("n").alias("found_line"), F.inline(F.concat(*found)))
-    return rows.select("repo", "file_path", "rule_id", F.col("found_line").alias("line"), "symbol", "message", "severity", none.alias("metadata_json"))
+    return F.concat(F.array().cast(YIELD), *found)
+
+
+def line_findings(lines: DataFrame, config: Config = Config()) -> DataFrame:
+    """Findings of all line rules in one pass. ``lines``: repo, file_path, n, line, code (see :func:`line_yields`).
+
+    Lines are only filtered and projected, so nothing is shuffled; null lines give nothing.
+    """
+    source = lines.where(F.col("line").isNotNull()).withColumn("code", F.coalesce("code", code_line(F.col("line"))))
+    return source.select("repo", "file_path", F.inline(line_yields(config)))
 
 
 # ---- secrets: on the raw text of every file
@@ -159,11 +167,9 @@ _FOLDER = r"(?:^|/)(?:src|test|tests|fixtures?|docs|scripts|bin|workflow|package
 _NOTE_NAME = r"(?i)^(?:ADR-\d{3}|M\d{2,3})-[A-Za-z0-9_.-]+\.(?:md|mdx)$"
 
 
-def secret_findings(lines: DataFrame, config: Config = Config()) -> DataFrame:
-    """Secrets on raw lines, comments included: one finding per rule, line and value, with a redacted preview.
-
-    ``lines``: repo, file_path, n, line. Previews that are allowed drop out. Only built-in expressions are used.
-    """
+def secret_yields(config: Config = Config()) -> Column:
+    """What the rules on secrets yield for one raw line, comments included: one finding per rule and value, with a redacted
+    preview. Previews that are allowed drop out."""
     line = F.col("line")
     found = lambda rule_id, values: F.transform(values, lambda v: F.struct(F.lit(rule_id).alias("rule_id"), v.alias("value")))
     nothing = F.array().cast("array<string>")
@@ -185,21 +191,26 @@ def secret_findings(lines: DataFrame, config: Config = Config()) -> DataFrame:
         return shaped & v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]") & (distinct >= F.least(F.lit(12), F.ceil(F.length(v) / 3))) & (S.entropy(v) >= 4.0)
 
     parts.append(found("sensitive-data.high-entropy-string", F.filter(F.regexp_extract_all(line, F.lit(_QUOTED), F.lit(2)), dense)))
-    rows = lines.where(line.isNotNull()).select("repo", "file_path", F.col("n").alias("line"), F.inline(F.concat(*parts)))
-    rows = rows.withColumn("preview", S.redacted(F.col("value")))
-    if config.secret_previews:
-        rows = rows.where(~F.col("preview").isin(sorted(config.secret_previews)))
-    if config.disabled:
-        rows = rows.where(~F.col("rule_id").isin(sorted(config.disabled)))
     none = F.lit(None).cast("string")
-    message = F.concat(F.lit("A value looks like a secret or a person's data: "), F.col("preview"))
-    return rows.select("repo", "file_path", "rule_id", "line", none.alias("symbol"), message.alias("message"), none.alias("severity"), F.to_json(F.struct("preview")).alias("metadata_json"))
+    allowed, off = sorted(config.secret_previews), sorted(config.disabled)
+    values = F.transform(F.concat(*parts), lambda v: F.struct(v["rule_id"].alias("rule_id"), S.redacted(v["value"]).alias("preview")))
+    kept = F.filter(values, lambda v: ~v["preview"].isin(allowed) & ~v["rule_id"].isin(off)) if allowed or off else values
+    message = "A value looks like a secret or a person's data: "
+    return F.transform(kept, lambda v: F.struct(v["rule_id"].alias("rule_id"), F.col("n").cast("int").alias("line"), none.alias("symbol"), F.concat(F.lit(message), v["preview"]).alias("message"), none.alias("severity"), F.to_json(F.struct(v["preview"].alias("preview"))).alias("metadata_json")))
+
+
+def secret_findings(lines: DataFrame, config: Config = Config()) -> DataFrame:
+    """Secrets on raw lines. ``lines``: repo, file_path, n, line. Only built-in expressions are used."""
+    return lines.where(F.col("line").isNotNull()).select("repo", "file_path", F.inline(secret_yields(config)))
+
+
+_LOCK_FILES = ("package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb")
 
 
-def length_findings(files: DataFrame, config: Config = Config()) -> DataFrame:
-    """Files with more lines than the threshold; lock files are exempt."""
+def length_yields(config: Config = Config()) -> Column:
+    """What the rule on long files yields for a file, of its columns text and file_path; lock files are exempt."""
     lines = F.regexp_count("text", F.lit("\n")) + 1
-    lock = S.base_name(F.col("file_path")).isin("package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb")
     none = F.lit(None).cast("string")
-    rows = files.where(F.col("text").isNotNull() & ~lock).withColumn("_n", lines).where(F.col("_n") > config.threshold("size.file-length"))
-    return rows.select("repo", "file_path", F.lit("size.file-length").alias("rule_id"), F.lit(1).alias("line"), none.alias("symbol"), F.lit("The file is long.").alias("message"), none.alias("severity"), F.to_json(F.struct(F.col("_n").alias("lines"))).alias("metadata_json"))
+    long = F.col("text").isNotNull() & ~S.base_name(F.col("file_path")).isin(*_LOCK_FILES) & (lines > config.threshold("size.file-length"))
+    row = F.struct(F.lit("size.file-length").alias("rule_id"), F.lit(1).alias("line"), none.alias("symbol"), F.lit("The file is long.").alias("message"), none.alias("severity"), F.to_json(F.struct(lines.alias("lines"))).alias("metadata_json"))
+    return F.when(F.coalesce(long, F.lit(False)), F.array(row)).otherwise(F.array().cast(YIELD))

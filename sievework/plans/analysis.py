@@ -14,26 +14,34 @@ from sievework.plans import rule_sql
 from sievework.shared import table
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of the tables, each path by its last delivery.
+def deliveries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(all deliveries of files, those that another of the same path has replaced).
 
-    Only the few deliveries that are not the last are gathered, and left out by an anti join whose small side the
-    planner sends around, so that the texts stay where they are. A delivery that is repeated as it is stays repeated;
-    findings become distinct later.
+    A delivery is told by its time and key. One that is repeated as it is stays repeated; findings become distinct later.
     """
-    rows = table(spark, folder, "files").select("file_id", "repo", F.col("display_path").alias("file_path"), "is_script", "text", "mode", "ingested_at")
-    when = F.struct("ingested_at", "file_id")
-    per_path = rows.groupBy("repo", "file_path").agg(F.max(when).alias("_last"), F.collect_set(when).alias("_all")).where(F.size("_all") > 1)
-    stale = per_path.select("repo", "file_path", "_last", F.explode("_all").alias("_k")).where(F.col("_k") != F.col("_last")).select("repo", "file_path", "_k.file_id", "_k.ingested_at")
-    return rows.join(stale, ["repo", "file_path", "file_id", "ingested_at"], "left_anti")
+    rows = table(spark, folder, "files").select("repo", F.col("display_path").alias("file_path"), "is_script", "text", "mode", F.concat_ws(" ", F.date_format(F.col("ingested_at").cast("timestamp"), "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("file_id").cast("string"), 20, "0")).alias("delivery"))
+    last = rows.groupBy("repo", "file_path").agg(F.max("delivery").alias("_last"), F.collect_set("delivery").alias("_all")).where(F.size("_all") > 1)
+    return rows, last.select("repo", "file_path", "_last", F.explode("_all").alias("delivery")).where(F.col("delivery") != F.col("_last")).drop("_last")
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of the tables, each path by its last delivery: an anti join with the few deliveries that are not the last,
+    which the planner sends around as long as they are small."""
+    rows, stale = deliveries(spark, folder)
+    return rows.join(stale, ["repo", "file_path", "delivery"], "left_anti").drop("delivery")
+
+
+def _analysed(spark: SparkSession, folder: str, **options) -> DataFrame:
+    rows, stale = deliveries(spark, folder)
+    return A.analyse(rows, stale=stale, **options)
 
 
 def analysis(spark: SparkSession, folder: str) -> DataFrame:
-    return A.analyse(files(spark, folder)).select("repo", "file_path", "line", "rule_id", "symbol", "severity", "pillar", "confidence", "message", "fingerprint")
+    return _analysed(spark, folder).select("repo", "file_path", "line", "rule_id", "symbol", "severity", "pillar", "confidence", "message", "fingerprint")
 
 
 def analysis_by_rule(spark: SparkSession, folder: str) -> DataFrame:
-    return G.severity_counts(A.analyse(files(spark, folder)), "rule_id")
+    return G.severity_counts(_analysed(spark, folder), "rule_id")
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:

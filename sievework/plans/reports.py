@@ -111,7 +111,7 @@ def changed_scope(spark: SparkSession, folder: str) -> DataFrame:
 
 def enclosing_blocks(spark: SparkSession, folder: str) -> DataFrame:
     unique = _findings(spark, folder).select("finding_id", "repo", "file_path", "line", "symbol").distinct()
-    return R.enclosing_region(unique, _ranges(spark, folder).where(F.col("name").isNotNull()), "finding_id", ("repo", "file_path"))
+    return R.enclosing_region(unique, _ranges(spark, folder).where(F.col("name").isNotNull()), "finding_id", ("repo", "file_path")).drop("repo", "file_path")
 
 
 def severity_cube(spark: SparkSession, folder: str) -> DataFrame:

@@ -122,3 +122,10 @@ def test_all_rows_equal(spark):
     got = numbered(spark, [("k", 1, "v")] * 50).toPandas()
     assert sorted(got["key_row"]) == list(range(1, 51))
     assert isinstance(got, pd.DataFrame)
+
+
+def test_a_hot_key_whose_rows_all_tie_is_spread(spark):
+    df = spark.range(4000).selectExpr("'k' AS k", "1 AS o", "'v' AS v", "7 AS _tie")
+    got = chunks.numbered_rows(df, ["k"], ["o"], 100, partitions=8)
+    assert sorted(r[0] for r in got.select("key_row").collect()) == list(range(1, 4001)) and got.columns == ["k", "o", "v", "_tie", "key_row", "key_chunk"]
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2000
