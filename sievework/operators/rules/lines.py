@@ -24,37 +24,39 @@ class LineRule:
     on: str = "masked"
     #: The group that is the finding's symbol, of each match; without one a line gives one finding.
     symbol: int | None = None
+    #: Texts of which every match holds one, in lower case for a pattern without regard to case. They spare the pattern.
+    signs: tuple[str, ...] = ()
 
 
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
 LINE_RULES = [
-    LineRule("security.eval-call", r"\beval\s*\(", "Code is built at run time by eval()."),
-    LineRule("security.new-function", r"\bnew\s+Function\s*\(|(?:^|[=(:,])\s*Function\s*\(", "Code is built at run time by the Function constructor."),
-    LineRule("security.insecure-random", r"\bMath\.random\s*\(", "Math.random() is no source for secrets."),
-    LineRule("security.inner-html", r"\.innerHTML\s*=(?!\s*(?:\"\"|''))|\bdangerouslySetInnerHTML\b", "Markup is set from code."),
-    LineRule("security.proto-access", r"\.__proto__\b", "The prototype is reached directly."),
-    LineRule("security.document-write", r"\bdocument\.write\s*\(", "The document is written to directly."),
-    LineRule("waste.redundant-boolean-cast", r"\b(?:if|while)\s*\(\s*(?:!!\s*[A-Za-z_$][A-Za-z0-9_$.]*|Boolean\s*\()", "A condition is cast to a boolean anyway."),
-    LineRule("security.weak-crypto", r"(?i)\b(?:createHash|createHmac)\s*\(\s*[\"'](?:md5|sha1)[\"']|\bcreateCipher\s*\(|\b(?:secureProtocol|minVersion|maxVersion)\s*:\s*[\"'](?:SSLv2_method|SSLv3_method|TLSv1(?:_method)?|TLSv1\.1)[\"']", "A broken algorithm or protocol is asked for.", "code"),
-    LineRule("security.disabled-tls-verification", r"(?i)\b(?:process\.env\.)?NODE_TLS_REJECT_UNAUTHORIZED\b\s*=\s*[\"']0[\"']|\brejectUnauthorized\s*:\s*false\b", "Certificates are not checked.", "code"),
-    LineRule("security.javascript-url", r"(?i)[\"'`]\s*javascript\s*:(?!\s+URL\b)", "A URL holds script.", "code"),
-    LineRule("security.proto-access", r"\[\s*[\"']__proto__[\"']\s*\]", "The prototype is reached by its name.", "code"),
-    LineRule("security.sql-concatenation", r"(?i)\b(?:query|execute|raw)\s*\(\s*(?:`[^`]*(?:SELECT|INSERT|UPDATE|DELETE)[^`]*\$\{|[\"'][^\"']*(?:SELECT|INSERT|UPDATE|DELETE)[^\"']*[\"']\s*\+)", "A statement is put together from text.", "code"),
-    LineRule("modernisation.date-now-candidate", r"\bnew\s+Date\s*\(\s*\)\s*\.getTime\s*\(\s*\)|\bNumber\s*\(\s*new\s+Date\s*\(\s*\)\s*\)", "Date.now() says the same.", "code"),
-    LineRule("modernisation.object-spread-candidate", r"\bObject\.assign\s*\(\s*\{\s*\}\s*,", "A spread says the same.", "code"),
-    LineRule("waste.console-log", r"\bconsole\.(?:log|debug)\s*\(", "A line writes to the console.", "code"),
-    LineRule("waste.any-type", r":\s*any\b|as\s+any\b", "The type any switches checks off.", "code"),
-    LineRule("modernisation.var-declaration", r"\bvar\s+[A-Za-z_$]", "A var could be let or const.", "code"),
-    LineRule("security.async-foreach", r"\.forEach\s*\(\s*async\b", "forEach does not wait for its callback."),
-    LineRule("security.string-timer", r"(?:^|[^.A-Za-z0-9_$])(?:setTimeout|setInterval|execScript)\s*\(\s*[\"'`]|\b(?:window|self|globalThis)\.(?:setTimeout|setInterval|execScript)\s*\(\s*[\"'`]", "A timer is given text."),
-    LineRule("modernisation.optional-chaining-candidate", rf"\b({_NAME})\s*&&\s*\1\.{_NAME}", "Optional chaining says the same.", symbol=1),
-    LineRule("modernisation.nullish-coalescing-candidate", r"=\s*([A-Za-z_$][A-Za-z0-9_$.]*)\s*\|\|\s*(?:[\"'`]\s*[\"'`]|\d+|true|false)", "?? may be meant.", symbol=1),
-    LineRule("modernisation.loose-equality", r"(?<![=!])(?<!\bnull\s{0,20})[=!]=(?!=)(?!\s*null\b)", "A comparison converts types."),
-    LineRule("modernisation.non-null-assertion", rf"\b({_NAME}(?:\.{_NAME})*)!(?=\.|\[|\)|,|;|\s+(?:as|in|instanceof)\b|\s*$)", "A null check is waived.", symbol=1),
-    LineRule("modernisation.double-cast", r"\bas\s+(?:unknown|any)\s+as\s+[^;,\n]+", "A cast goes by way of another type."),
-    LineRule("security.throw-non-error", r"^(?:(?!\bthrow\s).)*\bthrow\s+(?:[\"'`]|\d|\{|\[)", "What is thrown is no error."),
-    LineRule("security.floating-promise", rf"^\s*(?!(?:await|return|void|throw|yield)\b)(?!(?:const|let|var)\s)(fetch|(?:{_NAME}\.)*[A-Za-z0-9_$]*(?:Async|Promise))\s*\(", "Nobody waits for a promise.", symbol=1),
-    LineRule("waste.exported-any", rf"^(?=.*\bany\b).*?\bexport\s+(?:async\s+)?(?:function|const|let|var|class|interface|type)\s+({_NAME})", "An exported declaration uses any.", symbol=1),
+    LineRule("security.eval-call", r"\beval\s*\(", "Code is built at run time by eval().", signs=("eval",)),
+    LineRule("security.new-function", r"\bnew\s+Function\s*\(|(?:^|[=(:,])\s*Function\s*\(", "Code is built at run time by the Function constructor.", signs=("Function",)),
+    LineRule("security.insecure-random", r"\bMath\.random\s*\(", "Math.random() is no source for secrets.", signs=("Math.random",)),
+    LineRule("security.inner-html", r"\.innerHTML\s*=(?!\s*(?:\"\"|''))|\bdangerouslySetInnerHTML\b", "Markup is set from code.", signs=("nerHTML",)),
+    LineRule("security.proto-access", r"\.__proto__\b", "The prototype is reached directly.", signs=("__proto__",)),
+    LineRule("security.document-write", r"\bdocument\.write\s*\(", "The document is written to directly.", signs=("document.write",)),
+    LineRule("waste.redundant-boolean-cast", r"\b(?:if|while)\s*\(\s*(?:!!\s*[A-Za-z_$][A-Za-z0-9_$.]*|Boolean\s*\()", "A condition is cast to a boolean anyway.", signs=("!!", "Boolean")),
+    LineRule("security.weak-crypto", r"(?i)\b(?:createHash|createHmac)\s*\(\s*[\"'](?:md5|sha1)[\"']|\bcreateCipher\s*\(|\b(?:secureProtocol|minVersion|maxVersion)\s*:\s*[\"'](?:SSLv2_method|SSLv3_method|TLSv1(?:_method)?|TLSv1\.1)[\"']", "A broken algorithm or protocol is asked for.", "code", signs=("createh", "createcipher", "secureprotocol", "minversion", "maxversion")),
+    LineRule("security.disabled-tls-verification", r"(?i)\b(?:process\.env\.)?NODE_TLS_REJECT_UNAUTHORIZED\b\s*=\s*[\"']0[\"']|\brejectUnauthorized\s*:\s*false\b", "Certificates are not checked.", "code", signs=("reject",)),
+    LineRule("security.javascript-url", r"(?i)[\"'`]\s*javascript\s*:(?!\s+URL\b)", "A URL holds script.", "code", signs=("javascript",)),
+    LineRule("security.proto-access", r"\[\s*[\"']__proto__[\"']\s*\]", "The prototype is reached by its name.", "code", signs=("__proto__",)),
+    LineRule("security.sql-concatenation", r"(?i)\b(?:query|execute|raw)\s*\(\s*(?:`[^`]*(?:SELECT|INSERT|UPDATE|DELETE)[^`]*\$\{|[\"'][^\"']*(?:SELECT|INSERT|UPDATE|DELETE)[^\"']*[\"']\s*\+)", "A statement is put together from text.", "code", signs=("query", "execute", "raw")),
+    LineRule("modernisation.date-now-candidate", r"\bnew\s+Date\s*\(\s*\)\s*\.getTime\s*\(\s*\)|\bNumber\s*\(\s*new\s+Date\s*\(\s*\)\s*\)", "Date.now() says the same.", "code", signs=("Date",)),
+    LineRule("modernisation.object-spread-candidate", r"\bObject\.assign\s*\(\s*\{\s*\}\s*,", "A spread says the same.", "code", signs=("Object.assign",)),
+    LineRule("waste.console-log", r"\bconsole\.(?:log|debug)\s*\(", "A line writes to the console.", "code", signs=("console.",)),
+    LineRule("waste.any-type", r":\s*any\b|as\s+any\b", "The type any switches checks off.", "code", signs=("any",)),
+    LineRule("modernisation.var-declaration", r"\bvar\s+[A-Za-z_$]", "A var could be let or const.", "code", signs=("var",)),
+    LineRule("security.async-foreach", r"\.forEach\s*\(\s*async\b", "forEach does not wait for its callback.", signs=(".forEach",)),
+    LineRule("security.string-timer", r"(?:^|[^.A-Za-z0-9_$])(?:setTimeout|setInterval|execScript)\s*\(\s*[\"'`]|\b(?:window|self|globalThis)\.(?:setTimeout|setInterval|execScript)\s*\(\s*[\"'`]", "A timer is given text.", signs=("setTimeout", "setInterval", "execScript")),
+    LineRule("modernisation.optional-chaining-candidate", rf"\b({_NAME})\s*&&\s*\1\.{_NAME}", "Optional chaining says the same.", symbol=1, signs=("&&",)),
+    LineRule("modernisation.nullish-coalescing-candidate", r"=\s*([A-Za-z_$][A-Za-z0-9_$.]*)\s*\|\|\s*(?:[\"'`]\s*[\"'`]|\d+|true|false)", "?? may be meant.", symbol=1, signs=("||",)),
+    LineRule("modernisation.loose-equality", r"(?=[=!]=)(?<![=!])(?<!\bnull\s{0,20})[=!]=(?!=)(?!\s*null\b)", "A comparison converts types.", signs=("==", "!=")),
+    LineRule("modernisation.non-null-assertion", rf"\b({_NAME}(?:\.{_NAME})*)!(?=\.|\[|\)|,|;|\s+(?:as|in|instanceof)\b|\s*$)", "A null check is waived.", symbol=1, signs=("!",)),
+    LineRule("modernisation.double-cast", r"\bas\s+(?:unknown|any)\s+as\s+[^;,\n]+", "A cast goes by way of another type.", signs=("unknown", "any")),
+    LineRule("security.throw-non-error", r"^(?:(?!\bthrow\s).)*\bthrow\s+(?:[\"'`]|\d|\{|\[)", "What is thrown is no error.", signs=("throw",)),
+    LineRule("security.floating-promise", rf"^\s*(?!(?:await|return|void|throw|yield)\b)(?!(?:const|let|var)\s)(fetch|(?:{_NAME}\.)*[A-Za-z0-9_$]*(?:Async|Promise))\s*\(", "Nobody waits for a promise.", symbol=1, signs=("fetch", "Async", "Promise")),
+    LineRule("waste.exported-any", rf"^(?=.*\bany\b).*?\bexport\s+(?:async\s+)?(?:function|const|let|var|class|interface|type)\s+({_NAME})", "An exported declaration uses any.", symbol=1, signs=("export",)),
 ]
 _CONSOLE_FREE = r"(?:^|/)(?:scripts|bin)/|(?i:(?:^|/)(?:cli|server)[/.])"
 _TRUST = r"(?i)\b(?:trust boundary|external input|wire format|parser boundary|TS2352|unknown hop|validated|narrowed|type guard|schema)\b"
@@ -93,6 +95,16 @@ def _starts_in_code(pattern: str) -> Column:
     return F.when(F.col("line").rlike(pattern), walked).otherwise(False)
 
 
+def _signed(rule: LineRule) -> Column:
+    """Whether a line holds one of the texts without which the rule's pattern cannot match."""
+    column = F.col("code" if rule.on == "masked" else "line")
+    column = F.lower(column) if rule.pattern.startswith("(?i)") else column
+    out = column.contains(rule.signs[0])
+    for sign in rule.signs[1:]:
+        out = out | column.contains(sign)
+    return F.coalesce(out, F.lit(False))
+
+
 #: What a rule yields for a line or block.
 YIELD = "array<struct<rule_id:string,line:int,symbol:string,message:string,severity:string,metadata_json:string>>"
 
@@ -110,9 +122,9 @@ def line_yields(config: Config = Config()) -> Column:
             continue
         pattern = java(rule.pattern)
         if rule.symbol:
-            found.append(each(pattern, rule.symbol, rule))
+            found.append(F.when(_signed(rule), each(pattern, rule.symbol, rule)).otherwise(F.array().cast(YIELD)))
             continue
-        hit, severity = (F.col("code").rlike(pattern) if rule.on == "masked" else _starts_in_code(pattern)), none
+        hit, severity = _signed(rule) & (F.col("code").rlike(pattern) if rule.on == "masked" else _starts_in_code(pattern)), none
         if rule.rule_id == "waste.console-log":
             hit = hit & ~F.coalesce(F.col("file_path").rlike(_CONSOLE_FREE), F.lit(False))
         if rule.rule_id == "modernisation.double-cast":
@@ -120,12 +132,12 @@ def line_yields(config: Config = Config()) -> Column:
         found.append(once(hit, rule, none, severity))
     if config.enabled("waste.commented-out-code"):
         rule = LineRule("waste.commented-out-code", "", "A comment holds code.")
-        found.append(once(F.col("line").rlike(java(_COMMENTED + _STATEMENT)) & ~F.col("line").rlike(java(f"{_COMMENTED}(?:{_PROSE})")), rule, none))
+        found.append(once(F.col("line").contains("//") & F.col("line").rlike(java(_COMMENTED + _STATEMENT)) & ~F.col("line").rlike(java(f"{_COMMENTED}(?:{_PROSE})")), rule, none))
     if config.enabled("modernisation.ts-comment-without-rationale"):
         rule = LineRule("modernisation.ts-comment-without-rationale", "", "A check is switched off without a reason.")
         told = F.regexp_replace(F.regexp_extract("line", java(_DIRECTIVE), 1), java(r"^[-:\s]+"), "")
         words = F.regexp_count(told, F.lit("[A-Za-z]{3,}"))
-        found.append(once(F.col("line").rlike(java(_DIRECTIVE)) & (words < 3) & ~told.rlike(java(_RATIONALE)), rule, none))
+        found.append(once(F.col("line").contains("@ts-") & F.col("line").rlike(java(_DIRECTIVE)) & (words < 3) & ~told.rlike(java(_RATIONALE)), rule, none))
     if config.enabled("naming.hungarian-notation") and config.hungarian_prefixes:
         pattern = r"\b(?:const|let|var|public|private|protected)\s+((?:" + "|".join(sorted(config.hungarian_prefixes)) + r")[A-Z][A-Za-z0-9_$]*)"
         found.append(each(java(pattern), 1, LineRule("naming.hungarian-notation", "", "A name begins with its type.")))
