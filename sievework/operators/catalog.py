@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+
+from sievework.operators.descriptions import TEXTS
 
 
 @dataclass(frozen=True)
@@ -12,7 +14,10 @@ class Rule:
     severity: str
     confidence: str
     threshold: float | None = None
+    description: str = ""
     remediation: str = ""
+    option_keys: tuple[str, ...] = ()
+    list_keys: tuple[str, ...] = ()
 
 
 # Fixed values, one rule a line: id, pillar, severity, confidence, threshold.
@@ -144,7 +149,7 @@ RULES: dict[str, Rule] = {}
 for _line in _TABLE.split("\n"):
     if _line:
         _id, _pillar, _severity, _confidence, *_threshold = _line.split()
-        RULES[_id] = Rule(_id, _pillar, _severity, _confidence, float(_threshold[0]) if _threshold else None)
+        RULES[_id] = Rule(_id, _pillar, _severity, _confidence, float(_threshold[0]) if _threshold else None, *TEXTS[_id])
 
 
 # Options of rules besides their threshold, with their defaults. Fixed values.
@@ -152,6 +157,13 @@ OPTIONS: dict[str, dict[str, float]] = {
     "design.large-module-concentration": {"minFiles": 4, "minLines": 80},
     "naming.generic-parameter": {"minParameters": 3, "minLineCount": 30, "minCyclomatic": 8},
 }
+# The lists of names that a rule reads. Fixed values.
+LISTS: dict[str, tuple[str, ...]] = {
+    "naming.acronym-case": ("known_acronyms",), "naming.boolean-prefix": ("accepted_boolean_names", "boolean_prefixes"), "naming.generic-function": ("banned_generic_names",), "naming.generic-parameter": ("placeholder_names",),
+    "naming.hungarian-notation": ("hungarian_prefixes",), "naming.identifier-quality": ("placeholder_names",), "naming.negative-boolean": ("negative_boolean_allowed",), "naming.short-variable": ("accepted_abbreviations",),
+}
+for _id in {*OPTIONS, *LISTS}:
+    RULES[_id] = replace(RULES[_id], option_keys=tuple(OPTIONS.get(_id, ())), list_keys=LISTS.get(_id, ()))
 
 
 @dataclass(frozen=True)
@@ -163,6 +175,8 @@ class Config:
     severities: dict[str, str] = field(default_factory=dict)
     disabled: frozenset[str] = frozenset()
     ignored_paths: tuple[str, ...] = ()
+    #: Severity from which on a command fails, per command.
+    minimum_severity: dict[str, str] = field(default_factory=dict)
     secret_previews: frozenset[str] = frozenset()
     accepted_abbreviations: frozenset[str] = frozenset("age app cb db fn fs id io key log max min now raw rx tx ui url".split())
     banned_generic_names: frozenset[str] = frozenset("process handle doit run execute manage".split())
@@ -223,15 +237,18 @@ def config_of(profile: str = "recommended", overrides: dict | None = None, custo
     """The configuration of a profile with the overrides of a configuration file on top."""
     found = resolve_profile(profile, custom)
     overrides = overrides or {}
-    disabled = set(found.get("disabled", ())) | set(overrides.get("disabled", ()))
+    named = set(overrides.get("named", ()))  # a rule that the configuration names takes nothing from the profile
+    found = found | {k: {r: v for r, v in found.get(k, {}).items() if r not in named} for k in ("thresholds", "options", "severities")} | {"disabled": set(found.get("disabled", ())) - named}
+    disabled = set(found["disabled"]) | set(overrides.get("disabled", ()))
     if only := found.get("only_pillars"):
-        disabled |= {r.rule_id for r in RULES.values() if r.pillar not in only}
-    lists = {k: frozenset(v) for k, v in overrides.items() if k in Config.__dataclass_fields__ and k not in ("thresholds", "options", "severities", "disabled", "ignored_paths")}
+        disabled |= {r.rule_id for r in RULES.values() if r.pillar not in only and r.rule_id not in named}
+    lists = {k: frozenset(v) for k, v in overrides.items() if k in Config.__dataclass_fields__ and k not in ("thresholds", "options", "severities", "disabled", "ignored_paths", "minimum_severity")}
     return Config(
         thresholds=found.get("thresholds", {}) | overrides.get("thresholds", {}),
         options={r: found.get("options", {}).get(r, {}) | overrides.get("options", {}).get(r, {}) for r in {*found.get("options", {}), *overrides.get("options", {})}},
         severities=found.get("severities", {}) | overrides.get("severities", {}),
         disabled=frozenset(disabled),
+        minimum_severity=overrides.get("minimum_severity", {}),
         ignored_paths=tuple(dict.fromkeys([*found.get("ignored_paths", ()), *overrides.get("ignored_paths", ())])),
         **lists,
     )

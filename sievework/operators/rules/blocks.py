@@ -170,7 +170,7 @@ def block_yields(config: Config = Config()) -> Column:
     none = F.lit(None).cast("string")
     row = lambda rule_id, line, symbol, message, data: F.struct(F.lit(rule_id).alias("rule_id"), line.cast("int").alias("line"), symbol.alias("symbol"), message.alias("message"), none.alias("severity"), data.alias("metadata_json"))
     start, name = F.col("start_line"), F.col("name")
-    parts = [F.array_compact(F.array(*[F.when(F.coalesce(hit, false), row(rule_id, start, name, F.lit(message), F.to_json(F.struct(F.col(metric).alias("value"))) if metric else none)) for rule_id, hit, message, metric in rules if config.enabled(rule_id)]))]
+    parts = [F.array_compact(F.array(*[F.when(F.coalesce(hit, false), row(rule_id, start, name, F.lit(message), F.to_json(F.struct(F.col(metric).alias("value"))) if metric else none)) for rule_id, hit, message, metric in rules if config.enabled(rule_id)])).cast(YIELD)]
     named = lambda rule_id, names, message: F.transform(names, lambda n: row(rule_id, start, name, F.concat(F.lit(message), n), F.to_json(F.struct(n.alias("name")))))
     nothing = F.array().cast("array<string>")
     if config.enabled("waste.unused-parameter"):

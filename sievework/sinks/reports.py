@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +40,24 @@ def first_findings(findings: DataFrame, n: int) -> list[dict]:
     return [r.asDict() for r in findings.orderBy(*canonical_order()).limit(n).select(*columns).collect()]
 
 
-def text(findings: DataFrame) -> str:
+def text_lines(findings: DataFrame) -> Iterator[str]:
+    """The report for terminals, line by line: scores, complex places, and every finding in canonical order. Findings come
+    from the tasks one part at a time, so that their number is no matter."""
     d = digest(findings)
     s = d["summary"]
-    out = [f"Score {d['score']:.1f} ({d['grade']})", f"Findings {s['total']}: {s['error']} errors, {s['warning']} warnings, {s['advisory']} advisories", "  ".join(f"{x['severity']} {x['grade']}" for x in d["severities"])]
-    for c in G.complexity_clusters(findings).orderBy("file_path", "symbol").limit(OFFENDERS).collect():
-        out.append(f"Complex: {c['file_path']} {c['symbol']} ({', '.join(c['rule_ids'])})")
-    out += [f"{f['file_path']}:{f['line'] or 0} {f['severity']} {f['rule_id']} {f['message']}" for f in first_findings(findings, HTML_ROWS)]
+    yield f"Score {d['score']:.1f} ({d['grade']})"
+    yield f"Findings {s['total']}: {s['error']} errors, {s['warning']} warnings, {s['advisory']} advisories"
+    yield "  ".join(f"{x['severity']} {x['grade']}" for x in d["severities"])
+    for c in G.complexity_clusters(findings).orderBy("file_path", "symbol").toLocalIterator():
+        yield f"Complex: {c['file_path']} {c['symbol']} ({', '.join(c['rule_ids'])})"
+    for f in findings.orderBy(*canonical_order()).select("file_path", "line", "severity", "rule_id", "message").toLocalIterator():
+        yield f"{f['file_path']}:{f['line'] or 0} {f['severity']} {f['rule_id']} {f['message']}"
     if s["total"] >= HINT:
-        out.append("Many findings: a baseline lets you begin with the new ones.")
-    return "\n".join(out) + "\n"
+        yield "Many findings: a baseline lets you begin with the new ones."
+
+
+def text(findings: DataFrame) -> str:
+    return "\n".join(text_lines(findings)) + "\n"
 
 
 def markdown(findings: DataFrame) -> str:
@@ -122,7 +131,7 @@ def sarif(findings: DataFrame, most: int = 1_000_000) -> str:
     results = [json.loads(r[0]) for r in sarif_results(findings.orderBy(*canonical_order())).limit(most + 1).collect()]
     if len(results) > most:
         raise ValueError("too many findings for one log; write sarif_results() as a table")
-    rules = [{"id": r, "defaultConfiguration": {"level": SARIF_LEVELS[RULES[r].severity]}, "properties": {"pillar": RULES[r].pillar, "confidence": RULES[r].confidence}} for r in sorted(RULES)]
+    rules = [{"id": r, "shortDescription": {"text": RULES[r].description}, "help": {"text": RULES[r].remediation}, "defaultConfiguration": {"level": SARIF_LEVELS[RULES[r].severity]}, "properties": {"pillar": RULES[r].pillar, "confidence": RULES[r].confidence}} for r in sorted(RULES)]
     return json.dumps({"version": SARIF, "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "sievework", "rules": rules}}, "results": results}]}, indent=2)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.sources.ignore import IgnoreRule, classify, kind_of, parse_ignore_file
+from sievework.sources.ignore import IgnoreRule, classify, configured, kind_of, parse_ignore_file
 
 SCHEMA = "repo string, file_path string, is_script boolean, text string, mode int, size long, error string"
 
@@ -43,10 +43,48 @@ def walk(root: str, patterns: tuple[str, ...] = (), include_ignored: bool = Fals
     return found, skipped
 
 
-def files_of(spark: SparkSession, root: str, patterns: tuple[str, ...] = (), repo: str = ".", include_ignored: bool = False) -> DataFrame:
+def inputs(root: str, paths: list[str], patterns: tuple[str, ...] = (), include_ignored: bool = False) -> tuple[list[str], list[tuple[str, str, str]], list[str]]:
+    """(files, what was left out, inputs that do not exist) of several inputs below a root. A file that is named itself is
+    left out by the configuration only; a folder is walked."""
+    found: set[str] = set()
+    skipped: dict[str, tuple[str, str, str]] = {}
+    missing = []
+    for given in paths or ["."]:
+        at = os.path.join(root, given)
+        shown = os.path.relpath(at, root).replace(os.sep, "/")
+        if not os.path.exists(at):
+            missing.append(given)
+        elif os.path.isfile(at):
+            hit = configured(patterns, shown)
+            if hit:
+                skipped[shown] = (shown, "config", hit)
+            elif kind_of(shown):
+                found.add(shown)
+        else:
+            files, left = walk(root, patterns, include_ignored)
+            inside = (lambda p: True) if shown == "." else (lambda p: p == shown or p.startswith(f"{shown}/"))  # noqa: B023
+            found |= {p for p in files if inside(p)}
+            skipped |= {p[0]: p for p in left if inside(p[0])}
+    return sorted(found), [skipped[p] for p in sorted(skipped)], missing
+
+
+def ignored(path: str, root: str = ".", patterns: tuple[str, ...] = ()) -> tuple[str, str] | None:
+    """(source, pattern) of what leaves a path out when its tree is walked; ignore files of all folders above it count."""
+    rules: list[IgnoreRule] = []
+    parts = path.split("/")
+    for i in range(len(parts)):
+        folder = "/".join(parts[:i])
+        at = os.path.join(root, folder, ".gitignore")
+        if os.path.isfile(at):
+            with open(at, encoding="utf-8", errors="replace") as lines:
+                rules += parse_ignore_file(lines.read(), folder)
+    return classify(path, rules, patterns)
+
+
+def files_of(spark: SparkSession, root: str, patterns: tuple[str, ...] = (), repo: str = ".", include_ignored: bool = False, paths: list[str] | None = None) -> DataFrame:
     """The files of a tree that all executors can read, one row each: text (null and an error if it cannot be read),
     mode and size. Only the list of paths is made on the driver; the texts are read by the tasks."""
-    paths, _ = walk(root, patterns, include_ignored)
+    paths, _, _ = inputs(root, paths or ["."], patterns, include_ignored)
     listed = spark.createDataFrame([(p,) for p in paths], "file_path string")
     tasks = max(1, min(len(paths) // 64 + 1, spark.sparkContext.defaultParallelism * 4))
 

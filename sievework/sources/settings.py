@@ -10,6 +10,8 @@ from sievework.operators.catalog import PROFILES, RULES, Config, ConfigError, co
 
 VERSION = "sievework.config.v1"
 NAMES = ("sievework.yaml", "sievework.yml", ".sievework.yaml", "sievework.json")
+#: Commands that fail from a severity on.
+GATED = ("analyse", "summary", "report")
 LISTS = ("accepted_abbreviations", "banned_generic_names", "accepted_boolean_names", "boolean_prefixes", "hungarian_prefixes", "placeholder_names", "negative_boolean_allowed", "known_acronyms", "secret_previews")
 
 
@@ -100,7 +102,13 @@ def validated(data: object) -> dict:
         raise ConfigError("a configuration is a mapping")
     if data.get("schemaVersion") != VERSION:
         raise ConfigError(f"schemaVersion has to be {VERSION!r}")
-    out: dict = {"thresholds": {}, "severities": {}, "disabled": set()}
+    out: dict = {"thresholds": {}, "options": {}, "severities": {}, "disabled": set(), "named": set(data.get("rules") or {}), "minimum_severity": {}}
+    for command, severity in (data.get("minimumSeverity") or {}).items():
+        if command not in GATED:
+            raise ConfigError(f"unknown command {command!r} in minimumSeverity; known are {', '.join(GATED)}")
+        if severity not in ("none", "advisory", "warning", "error"):
+            raise ConfigError(f"unknown severity {severity!r}")
+        out["minimum_severity"][command] = severity
     for rule_id, options in (data.get("rules") or {}).items():
         if rule_id not in RULES:
             near = [r for r in RULES if r.split(".")[-1] == rule_id.split(".")[-1]]
@@ -112,6 +120,10 @@ def validated(data: object) -> dict:
             if isinstance(options["threshold"], bool) or not isinstance(options["threshold"], (int, float)):
                 raise ConfigError(f"the threshold of {rule_id} is no number")
             out["thresholds"][rule_id] = float(options["threshold"])
+        for name, value in (options.get("options") or {}).items():
+            if name not in RULES[rule_id].option_keys or isinstance(value, bool) or not isinstance(value, (int, float)):
+                raise ConfigError(f"{name!r} is no option of {rule_id}, or no number")
+            out["options"].setdefault(rule_id, {})[name] = value
         if "severity" in options:
             if options["severity"] not in ("advisory", "warning", "error"):
                 raise ConfigError(f"unknown severity {options['severity']!r}")
@@ -123,24 +135,53 @@ def validated(data: object) -> dict:
     return out
 
 
-def load(root: str = ".", path: str | None = None, profile: str | None = None) -> Config:
-    """The configuration at ``path``, or the first of the known names below ``root``, or the defaults."""
-    at = path or next((p for n in NAMES if os.path.isfile(p := os.path.join(root, n))), None)
-    if at is None:
-        return config_of(profile or "recommended")
-    with open(at, encoding="utf-8-sig") as f:
-        text = f.read()
+def _read(at: str) -> dict:
     try:
+        with open(at, encoding="utf-8-sig") as f:
+            text = f.read()
         data = json.loads(text) if at.endswith(".json") else parse_yaml(text)
-    except ValueError as x:
+    except (ValueError, OSError) as x:
         raise ConfigError(f"{at}: {x}") from x
-    return config_of(profile or data.get("profile") or "recommended", validated(data), data.get("profiles"))
+    if not isinstance(data, dict):
+        raise ConfigError(f"{at}: a configuration is a mapping")
+    return data
+
+
+def profile_of(spec: str, folder: str = ".") -> tuple[str, dict[str, dict]]:
+    """(name, profiles) of a profile that is named or that a file holds; a file may extend another by its path."""
+    custom: dict[str, dict] = {}
+
+    def from_file(path: str) -> str:
+        name = os.path.abspath(path)
+        if name not in custom:
+            data = _read(name)
+            own = validated({"schemaVersion": VERSION, "rules": data.get("rules")})
+            custom[name] = {k: own[k] for k in ("thresholds", "options", "severities", "disabled")} | {"ignored_paths": tuple((data.get("paths") or {}).get("ignore") or ())}
+            if base := data.get("extends"):
+                custom[name]["extends"] = from_file(os.path.join(os.path.dirname(name), base)) if _is_path(base) else base
+        return name
+
+    return (from_file(os.path.join(folder, spec)), custom) if _is_path(spec) else (spec, custom)
+
+
+def _is_path(spec: str) -> bool:
+    return "/" in spec or spec.endswith((".yaml", ".yml", ".json"))
+
+
+def load(root: str = ".", path: str | None = None, profile: str | None = None, skip: bool = False) -> Config:
+    """The configuration at ``path``, or the first of the known names below ``root``, or the defaults (also with ``skip``). A
+    profile that is asked for goes before that of the file."""
+    at = path or (None if skip else next((p for n in NAMES if os.path.isfile(p := os.path.join(root, n))), None))
+    data = _read(at) if at else {}
+    spec, folder = (profile, ".") if profile else (data.get("profile") or "recommended", os.path.dirname(at or ""))
+    name, custom = profile_of(spec, folder)
+    return config_of(name, validated(data) if at else None, (data.get("profiles") or {}) | custom)
 
 
-def initial(profile: str = "recommended", ignored: tuple[str, ...] = ()) -> str:
+def initial(profile: str = "recommended", ignored: tuple[str, ...] = (), minimum: dict[str, str] | None = None) -> str:
     """The text of a new configuration with every rule as the profile has it."""
     config = config_of(profile)
-    lines = [f"schemaVersion: {VERSION}", f"profile: {profile}", "paths:", "  ignore:" + ("" if ignored else " []"), *[f'    - "{p}"' for p in ignored], "rules:"]
+    lines = [f"schemaVersion: {VERSION}", f"profile: {profile}", "paths:", "  ignore:" + ("" if ignored else " []"), *[f'    - "{p}"' for p in ignored], *(["minimumSeverity:", *[f"  {c}: {v}" for c, v in minimum.items()]] if minimum else []), "rules:"]
     for r in sorted(RULES.values(), key=lambda r: r.rule_id):
         lines += [f"  {r.rule_id}:", f"    enabled: {str(config.enabled(r.rule_id)).lower()}"]
         if r.threshold is not None:
