@@ -44,6 +44,11 @@ def analysis_by_rule(spark: SparkSession, folder: str) -> DataFrame:
     return G.severity_counts(_analysed(spark, folder), "rule_id")
 
 
+def file_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings of the rules that raw text decides, without masks: on documentation blocks, overviews, lengths and manifests."""
+    return _analysed(spark, folder).where(F.col("rule_id").isin(*rule_sql.FILE_RULES)).select("repo", "file_path", "line", "rule_id", "symbol")
+
+
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "code_lines").distinct().select("repo", F.col("display_path").alias("file_path"), "n", "line", F.col("code_line").alias("code"))
 
@@ -103,11 +108,11 @@ def diagnostics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "analysis": analysis, "analysis_by_rule": analysis_by_rule, "line_rules": line_rules, "secret_rules": secret_rules, "block_rules": block_rules, "block_metrics": block_metrics,
+    "analysis": analysis, "analysis_by_rule": analysis_by_rule, "file_rules": file_rules, "line_rules": line_rules, "secret_rules": secret_rules, "block_rules": block_rules, "block_metrics": block_metrics,
     "import_edges": import_edges, "import_cycles": import_cycles, "comments": comments, "extracted_blocks": extracted_blocks, "masked_files": masked_files, "diagnostics": diagnostics,
 }
 SQL = {
-    "line_rules": rule_sql.LINE_RULES_SQL, "secret_rules": rule_sql.SECRET_RULES_SQL, "block_rules": rule_sql.BLOCK_RULES_SQL,
+    "file_rules": rule_sql.FILE_RULES_SQL, "line_rules": rule_sql.LINE_RULES_SQL, "secret_rules": rule_sql.SECRET_RULES_SQL, "block_rules": rule_sql.BLOCK_RULES_SQL,
     "block_metrics": r"""SELECT block_id, start_line, 1 + len(regexp_extract_all(regexp_replace(coalesce(code_body, body), '[^A-Za-z0-9_?&|]', '  ', 'g'), '(?:(?:^| )(?:if|switch|case|for|while|catch)(?: |$))')) + length(coalesce(code_body, body)) - length(replace(coalesce(code_body, body), '?', ''))
         + len(regexp_extract_all(coalesce(code_body, body), '&&')) + len(regexp_extract_all(coalesce(code_body, body), '\|\|')) AS cyclomatic,
         len(list_filter(string_split(coalesce(params, ''), ','), lambda p: trim(p) <> '')) AS n_params FROM blocks WHERE body IS NOT NULL""",

@@ -195,3 +195,54 @@ f(repo, file_path, line, rule_id, symbol) AS (""" + " UNION ALL ".join([
         WHERE x <> '' AND k + 1 < len(t) AND regexp_matches(t[k], '\\b(?:const|let)\\s+' || replace(x, '$', '\\$') || '\\s*=[\\s\\S]'))""",
     f"SELECT repo, file_path, start_line + z.i, 'waste.useless-return', name FROM (SELECT *, {_LAST} AS z FROM b) WHERE {has('z.t', r'^return\s*;?$')}",
 ]) + ") SELECT * FROM f"
+
+
+# ---- files: rules that raw text decides
+
+_EXPORT = rf"/\*\*((?:[^*]|\*+[^*/])*)\*+/\s*export\s+function\s+({NAME})\s*\(([^)]*)\)(?:\s*:\s*([^{{\n]+))?"
+_TAGS = f"list_filter(list_transform(string_split(doc, chr(10)), lambda x: {part('x', rf'@param\s*(?:\{{[^}}]*\}}\s*)?({NAME})', 1)}), lambda x: x <> '')"
+_COMMENT_LINES = r"list_filter(list_transform(string_split(regexp_extract(c, '^/\*([\s\S]*?)\*/', 1), chr(10)), lambda x: trim(regexp_replace(x, '^\s*\*\s?', ''), chr(9) || chr(13) || ' ')), lambda x: x <> '' AND x NOT LIKE '@%')"
+_NO_COMMENTS = r"""regexp_replace(regexp_replace(regexp_replace(text, '^\x{FEFF}', ''), '("(?:[^"\\\n]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/', '\1', 'g'), ',(\s*[}\]])', '\1', 'g')"""
+
+
+def _key_line(key: str) -> str:
+    """The line on which a key of a document stands first, 1 if it does not."""
+    return f"(1 + coalesce(length(regexp_extract(text, '([\\s\\S]*?)\"' || {key} || '\"\\s*:', 1)) - length(replace(regexp_extract(text, '([\\s\\S]*?)\"' || {key} || '\"\\s*:', 1), chr(10), '')), 0))"
+
+
+def _setting(flag: str, rule_id: str) -> str:
+    on = f"json_extract(j, '$.compilerOptions.{flag}')"
+    return f"SELECT repo, file_path, {_key_line(repr(flag))}, '{rule_id}', '{flag}' FROM j WHERE {has('file_path', r'(?:^|/)tsconfig(?:\.[^./]+)*\.json$')} AND coalesce({on}::VARCHAR, '') <> 'true' AND NOT ({on} IS NULL AND json_extract(j, '$.extends') IS NOT NULL)"
+
+
+def _entries(section: str) -> str:
+    return f"SELECT repo, file_path, text, unnest(json_keys(j, '$.{section}')) AS k, '{section}' AS s, j FROM j WHERE {has('file_path', r'(?:^|/)package\.json$')} AND json_type(j, '$.{section}') = 'OBJECT'"
+
+
+_VALUE = "json_extract_string(json_extract(j, '$.' || s), '$.\"' || k || '\"')"
+_URL_SPEC = r"^(?:https?://|git(?:\+https?|\+ssh)?://|ssh://|github:|gitlab:|bitbucket:|file:|git@[^:]+:[^/]+/|[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+(?:#.+)?$)"
+_PLAIN = "lower(trim(v))"
+
+FILE_RULES = (
+    "docs.missing-file-overview", "docs.missing-param-tag", "docs.missing-return-tag", "docs.stale-param-tag", "size.file-length", "modernisation.tsconfig-strict-disabled", "modernisation.tsconfig-index-safety-disabled", "modernisation.tsconfig-exact-optional-disabled",
+    "security.remote-install-script", "security.risky-lifecycle-script", "security.url-dependency", "waste.broad-runtime-version",
+)
+FILE_RULES_SQL = f"""WITH f AS (SELECT repo, display_path AS file_path, is_script, text FROM files QUALIFY row_number() OVER (PARTITION BY repo, display_path ORDER BY ingested_at DESC, file_id DESC) = 1),
+h AS (SELECT *, CASE WHEN b LIKE '#!%' THEN regexp_replace(regexp_replace(b, '^[^\\n]*', ''), '^\\s*', '') ELSE b END AS c FROM (SELECT *, regexp_replace(regexp_replace(text, '^\\x{{FEFF}}', ''), '^\\s*', '') AS b FROM f WHERE is_script AND text IS NOT NULL)),
+x AS (SELECT repo, file_path, text, unnest({parts('text', _EXPORT, 0)}) AS whole, unnest({parts('text', _EXPORT, 1)}) AS doc, unnest({parts('text', _EXPORT, 2)}) AS name, unnest({parts('text', _EXPORT, 3)}) AS par, unnest({parts('text', _EXPORT, 4)}) AS returns FROM f WHERE is_script),
+d AS (SELECT *, 1 + length(front) - length(replace(front, chr(10), '')) AS line, {_PARAMETERS} AS names, {_TAGS} AS tags, trim(coalesce(returns, ''), {_BLANK}) AS kind FROM (SELECT *, substr(text, 1, position(whole IN text) - 1) AS front FROM x)),
+j AS (SELECT repo, file_path, text, t::JSON AS j FROM (SELECT *, {_NO_COMMENTS} AS t FROM f WHERE NOT is_script AND file_path LIKE '%.json' AND text IS NOT NULL) WHERE json_valid(t) AND json_type(t) = 'OBJECT'),
+s AS (SELECT *, {_VALUE} AS v FROM ({_entries('scripts')})),
+p AS (SELECT *, {_VALUE} AS v FROM ({' UNION ALL '.join(_entries(x) for x in ('dependencies', 'devDependencies', 'optionalDependencies', 'peerDependencies'))})),
+r(repo, file_path, line, rule_id, symbol) AS (""" + " UNION ALL ".join([
+    f"SELECT repo, file_path, 1, 'docs.missing-file-overview', NULL FROM h WHERE NOT ({has('c', r'^//[ \t]*[^\s]')} OR c LIKE '/*%' AND len({_COMMENT_LINES}) > 0)",
+    "SELECT repo, file_path, line, 'docs.missing-param-tag', name FROM d WHERE len(list_filter(names, lambda n: NOT list_contains(tags, n))) > 0",
+    "SELECT repo, file_path, line, 'docs.stale-param-tag', name FROM d WHERE len(list_filter(tags, lambda t: NOT list_contains(names, t))) > 0",
+    f"SELECT repo, file_path, line, 'docs.missing-return-tag', name FROM d WHERE kind <> '' AND NOT {has('kind', r'^void\b')} AND NOT {has('doc', r'@returns?\b')}",
+    "SELECT repo, file_path, 1, 'size.file-length', NULL FROM f WHERE length(text) - length(replace(text, chr(10), '')) + 1 > 750 AND regexp_extract(file_path, '[^/]*$') NOT IN ('package-lock.json', 'npm-shrinkwrap.json', 'yarn.lock', 'pnpm-lock.yaml', 'bun.lockb')",
+    _setting("strict", "modernisation.tsconfig-strict-disabled"), _setting("noUncheckedIndexedAccess", "modernisation.tsconfig-index-safety-disabled"), _setting("exactOptionalPropertyTypes", "modernisation.tsconfig-exact-optional-disabled"),
+    f"SELECT repo, file_path, {_key_line('k')}, 'security.remote-install-script', k FROM s WHERE {has('v', r'\b(?:curl|wget)\b[^\n|;&]*https?://[^\n|;&]*\|\s*(?:sudo\s+)?(?:sh|bash|zsh)\b', 'i')}",
+    f"SELECT repo, file_path, {_key_line('k')}, 'security.risky-lifecycle-script', k FROM s WHERE k IN ('preinstall', 'install', 'postinstall', 'prepare', 'prepublish', 'prepublishOnly')",
+    f"SELECT DISTINCT repo, file_path, {_key_line('k')}, 'security.url-dependency', k FROM p WHERE {has('v', _URL_SPEC, 'i')}",
+    f"SELECT DISTINCT repo, file_path, {_key_line('k')}, 'waste.broad-runtime-version', k FROM p WHERE s IN ('dependencies', 'optionalDependencies') AND ({_PLAIN} IN ('*', 'x', 'latest') OR {has(_PLAIN, r'^>=\s*\d')} AND {_PLAIN} NOT LIKE '%<%' OR {_PLAIN} LIKE '%||%')",
+]) + ") SELECT * FROM r"
