@@ -57,9 +57,10 @@ def deep_imports(imports: DataFrame, config: Config) -> DataFrame:
 def cycles(edge: DataFrame, longest: int = LONGEST_CYCLE) -> DataFrame:
     """Import cycles of at most ``longest`` files, each once: (repo, files in order of their names).
 
-    Only edges that can lie on a cycle take part: files that nothing imports, or that import nothing, are peeled off
-    first. Paths start at the smallest of their files and grow by one join per step, so a cycle is found once; each
-    step is written, which keeps the plans short.
+    Only edges that can lie on a cycle take part: those whose target leads back to their source within the steps that are
+    left. Paths start at the smallest of their files, grow by one join
+    per step and only to files that can still get back in time, so that a path without a cycle is given up as soon as that is
+    known and a cycle is found once; each step is written, which keeps the plans short.
     """
     own = materialise(edge.where(~F.col("type_only") & (F.col("src") != F.col("dst"))).select("repo", "src", "dst").distinct(), "import-edges")
     for _ in range(longest):
@@ -70,14 +71,16 @@ def cycles(edge: DataFrame, longest: int = LONGEST_CYCLE) -> DataFrame:
         after = own.count()
         if after in (before, 0):
             break
+    back = _distances(own, longest)
     paths = own.where("dst > src").select("repo", F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("files"))
     closed = None
-    for _ in range(longest - 1):
-        paths = materialise(paths, "import-paths")
+    for steps in range(2, longest + 1):
+        # a path of this many files has to get back within the steps that are left
+        paths = paths.join(back.where(F.col("steps") <= longest - steps + 1), ["repo", "last", "first"], "left_semi")
+        paths = materialise(paths.select("repo", "first", "last", "files"), "import-paths")
         if paths.isEmpty():
             break
-        back = own.select("repo", F.col("src").alias("last"), F.col("dst").alias("first"))
-        found = paths.join(back, ["repo", "last", "first"], "left_semi").select("repo", F.array_sort("files").alias("files"))
+        found = paths.join(back.where("steps = 1"), ["repo", "last", "first"], "left_semi").select("repo", F.array_sort("files").alias("files"))
         closed = found if closed is None else closed.unionByName(found)
         step = own.select("repo", F.col("src").alias("last"), F.col("dst").alias("next"))
         grown = paths.join(step, ["repo", "last"]).where((F.col("next") > F.col("first")) & ~F.array_contains("files", F.col("next")))
@@ -87,6 +90,22 @@ def cycles(edge: DataFrame, longest: int = LONGEST_CYCLE) -> DataFrame:
     return closed.distinct()
 
 
+def _distances(edge: DataFrame, longest: int) -> DataFrame:
+    """(repo, last, first, steps): from which files which smaller file is reached, and in how few steps at least, over files
+    that are not smaller than it. Walks backwards from each file and meets every pair once, so that its size is bounded by the
+    pairs within one component and not by the paths between them."""
+    seen = materialise(edge.where("src > dst").select("repo", F.col("src").alias("last"), F.col("dst").alias("first"), F.lit(1).alias("steps")), "import-reach")
+    fresh = seen
+    for steps in range(2, longest):
+        before = edge.select("repo", F.col("src").alias("earlier"), F.col("dst").alias("last"))
+        reached = fresh.join(before, ["repo", "last"]).where("earlier > first").select("repo", F.col("earlier").alias("last"), "first").distinct()
+        fresh = materialise(reached.join(seen, ["repo", "last", "first"], "left_anti").withColumn("steps", F.lit(steps)), "import-reach")
+        if fresh.isEmpty():
+            break
+        seen = seen.unionByName(fresh)
+    return seen
+
+
 def cycle_findings(edge: DataFrame) -> DataFrame:
     """A finding per cycle, at the first import by which its first file joins it."""
     found = cycles(edge).withColumn("file_path", F.element_at("files", 1))

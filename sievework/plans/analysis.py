@@ -112,6 +112,7 @@ QUERIES = {
     "import_edges": import_edges, "import_cycles": import_cycles, "comments": comments, "extracted_blocks": extracted_blocks, "masked_files": masked_files, "diagnostics": diagnostics,
 }
 SQL = {
+    "import_edges": rule_sql.IMPORT_EDGES_SQL, "import_cycles": rule_sql.IMPORT_CYCLES_SQL,
     "file_rules": rule_sql.FILE_RULES_SQL, "line_rules": rule_sql.LINE_RULES_SQL, "secret_rules": rule_sql.SECRET_RULES_SQL, "block_rules": rule_sql.BLOCK_RULES_SQL,
     "block_metrics": r"""SELECT block_id, start_line, 1 + len(regexp_extract_all(regexp_replace(coalesce(code_body, body), '[^A-Za-z0-9_?&|]', '  ', 'g'), '(?:(?:^| )(?:if|switch|case|for|while|catch)(?: |$))')) + length(coalesce(code_body, body)) - length(replace(coalesce(code_body, body), '?', ''))
         + len(regexp_extract_all(coalesce(code_body, body), '&&')) + len(regexp_extract_all(coalesce(code_body, body), '\|\|')) AS cyclomatic,

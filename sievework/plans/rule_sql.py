@@ -246,3 +246,25 @@ r(repo, file_path, line, rule_id, symbol) AS (""" + " UNION ALL ".join([
     f"SELECT DISTINCT repo, file_path, {_key_line('k')}, 'security.url-dependency', k FROM p WHERE {has('v', _URL_SPEC, 'i')}",
     f"SELECT DISTINCT repo, file_path, {_key_line('k')}, 'waste.broad-runtime-version', k FROM p WHERE s IN ('dependencies', 'optionalDependencies') AND ({_PLAIN} IN ('*', 'x', 'latest') OR {has(_PLAIN, r'^>=\s*\d')} AND {_PLAIN} NOT LIKE '%<%' OR {_PLAIN} LIKE '%||%')",
 ]) + ") SELECT * FROM r"
+
+
+# ---- imports
+
+_STATEMENT = r"(?m)^[ \t]*((?:import|export)\b[^;\"'`]*?[\"'][^\"'\n]*[\"'])"
+_EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
+_TRIED = f"""CASE WHEN {has('base', r'\.[^./]+$')} THEN [base, {', '.join(f"regexp_replace(base, '[.][^./]+$', '') || '.{e}'" for e in _EXTENSIONS)}]
+   ELSE [{', '.join(f"base || '.{e}', base || '/index.{e}'" for e in _EXTENSIONS)}] END"""
+_COLLAPSED = "array_to_string(list_reduce(list_prepend([], list_transform(list_filter(string_split(raw, '/'), lambda p: p NOT IN ('', '.')), lambda p: [p])), lambda d, p: CASE WHEN p[1] = '..' AND len(d) > 0 AND d[-1] <> '..' THEN d[1:-2] ELSE d || p END), '/')"
+_EDGES = f"""f AS (SELECT repo, display_path AS file_path, is_script, text FROM files QUALIFY row_number() OVER (PARTITION BY repo, display_path ORDER BY ingested_at DESC, file_id DESC) = 1),
+i AS (SELECT repo, file_path, text, unnest({parts('text', _STATEMENT, 1)}) AS statement FROM f WHERE is_script),
+s AS (SELECT *, {part('statement', r"[\"']([^\"'\n]*)[\"']$", 1)} AS specifier, {has('statement', r'^(?:import|export)\s+type\b')} AS type_only, substr(text, 1, position(statement IN text) - 1) AS front FROM i),
+r AS (SELECT *, CASE WHEN contains(file_path, '/') THEN regexp_replace(file_path, '/[^/]*$', '') || '/' || specifier ELSE specifier END AS raw, 1 + length(front) - length(replace(front, chr(10), '')) AS line FROM s WHERE specifier LIKE '.%'),
+t AS (SELECT *, {_TRIED} AS tried FROM (SELECT *, {_COLLAPSED} AS base FROM r)),
+u AS (SELECT repo, file_path AS src, specifier, line, type_only, unnest(tried) AS dst, unnest(range(1, len(tried) + 1)) AS rank FROM t),
+e AS (SELECT u.repo, u.src, f.file_path AS dst, u.specifier, u.line, u.type_only FROM u JOIN f ON f.repo = u.repo AND f.file_path = u.dst
+   QUALIFY row_number() OVER (PARTITION BY u.repo, u.src, u.specifier, u.line, u.type_only ORDER BY u.rank) = 1)"""
+IMPORT_EDGES_SQL = f"WITH {_EDGES} SELECT * FROM e"
+IMPORT_CYCLES_SQL = f"""WITH RECURSIVE {_EDGES}, g AS (SELECT DISTINCT repo, src, dst FROM e WHERE NOT type_only AND src <> dst),
+w AS (SELECT repo, src AS first, dst AS last, [src, dst] AS path FROM g WHERE dst > src
+      UNION ALL SELECT w.repo, first, g.dst, list_append(path, g.dst) FROM w JOIN g ON g.repo = w.repo AND g.src = w.last WHERE g.dst > first AND NOT list_contains(path, g.dst) AND len(path) < 12)
+SELECT DISTINCT w.repo, array_to_string(list_sort(path), ' -> ') AS files FROM w JOIN g ON g.repo = w.repo AND g.src = w.last AND g.dst = w.first"""

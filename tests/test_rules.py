@@ -93,6 +93,10 @@ def test_graph(spark):
     edge = spark.createDataFrame([("r", str(i), str((i + 1) % 20), "", 1, False) for i in range(20)], "repo string, src string, dst string, specifier string, line int, type_only boolean")
     assert graph.cycles(edge).count() == 0  # longer than a cycle may be
     assert graph.cycles(edge.limit(0)).count() == 0
+    # a ladder: layers of two files that all lead on, of which only the last leads back to the first
+    dense = [("r", f"{a:02d}{x}", f"{a + 1:02d}{y}", "", 1, False) for a in range(11) for x in "ab" for y in "ab"] + [("r", "11a", "00a", "", 1, False)]
+    got = graph.cycles(spark.createDataFrame(dense, edge.schema)).collect()
+    assert len(got) == 2**10 and all(len(r["files"]) == 12 for r in got)
 
 
 def test_ignore_rules():
