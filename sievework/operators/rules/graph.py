@@ -69,7 +69,9 @@ def cycles(edge: DataFrame, longest: int = LONGEST_CYCLE) -> DataFrame:
         left = left.join(left.select("repo", F.col("src").alias("dst")).distinct(), ["repo", "dst"], "left_semi").select("repo", "src", "dst")
         own = materialise(left, "import-core")
         after = own.count()
-        if after in (before, 0):
+        if after == 0:
+            return own.sparkSession.createDataFrame([], "repo string, files array<string>")
+        if after == before:
             break
     back = _distances(own, longest)
     paths = own.where("dst > src").select("repo", F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("files"))
