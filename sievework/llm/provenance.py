@@ -186,17 +186,28 @@ def merkle_nodes(leaves: DataFrame) -> DataFrame:
     return nodes
 
 
-def shared_subtrees(nodes: DataFrame, least_weight: int = 120, related: float = 0.5) -> DataFrame:
+#: Bare characters below which equal files and directories count as chance. A parameter of the operator.
+LEAST_WEIGHT = 120
+#: Into how many parts the copies of one hash are split where they look up who else holds it.
+SALTS = 16
+
+
+def _per_salt(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
+def shared_subtrees(nodes: DataFrame, least_weight: int = LEAST_WEIGHT, related: float = 0.5) -> DataFrame:
     """Nodes (repo, path) whose hash occurs in at least two unrelated repositories.
 
     A repository that shares most of its files with another is a relative of it (a fork or a mirror), and what only
     relatives share is no third-party code. Relatives are found without pairs of repositories: of each hash only the
     first repository that holds it is noted, and a repository is a relative of the one that is first for more than
-    ``related`` of its files.
+    ``related`` of its files. Who holds a hash is an aggregate that combines first; only hashes of several repositories are
+    joined back, and the copies of one hash are salted, so that a library in a million repositories meets in no one task.
     """
-    heavy = nodes.where(F.col("weight") >= least_weight)
+    heavy = nodes.where(F.col("weight") >= least_weight).withColumn("salt", F.pmod(F.xxhash64("repo", "path"), F.lit(SALTS)).cast("int"))
     holders = heavy.groupBy("hash").agg(F.min("repo").alias("first"), F.max("repo").alias("last")).where(F.col("first") != F.col("last"))
-    files = heavy.join(holders, "hash")
+    files = heavy.join(_per_salt(holders), ["hash", "salt"])
     sizes = heavy.groupBy("repo").agg(F.count(F.lit(1)).alias("_all"))
     common = files.where(F.col("repo") != F.col("first")).groupBy("repo", "first").agg(F.count(F.lit(1)).alias("_common"))
     kin = common.join(sizes, "repo").where(F.col("_common") > related * F.col("_all")).select("repo", "first")
@@ -204,7 +215,7 @@ def shared_subtrees(nodes: DataFrame, least_weight: int = 120, related: float =
     root = kin.groupBy("repo").agg(F.min("first").alias("family"))
     family = files.join(root, "repo", "left").withColumn("family", F.coalesce("family", "repo"))
     spread = family.groupBy("hash").agg(F.min("family").alias("_a"), F.max("family").alias("_b")).where(F.col("_a") != F.col("_b"))
-    return files.join(spread.select("hash"), "hash", "left_semi").select("repo", "path", "depth")
+    return files.join(_per_salt(spread.select("hash")), ["hash", "salt"], "left_semi").select("repo", "path", "depth")
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
