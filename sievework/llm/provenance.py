@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ _EXTERNAL_SCRIPTS = re.compile(r"(?:^|/)(?:js|javascripts?|scripts|static|public
 _PUBLISHED = re.compile(r"\A\s*(?:[\"']use strict[\"'];?\s*)?(?:[;!+]?\(?function\s*\((?:root|global|window|self|globalThis)\s*,?\s*\w*\)\s*\{|(?:var|const|let) VERSION = [\"']\d+\.\d+\.\d+[\"'];)")
 
 
+@lru_cache(maxsize=4)
 def uncommented(text: str) -> str:
     """Text without comments; what looks like one in a string stays."""
     return _STRING_OR_COMMENT.sub(lambda m: m.group(1) or "", text)
@@ -85,7 +87,7 @@ def is_numbered(text: str) -> bool:
 def is_table(text: str) -> bool:
     """Whether nearly all of the code is literals: data stored as code."""
     code = uncommented(text)
-    bare = re.sub(r"\s+", "", code)
+    bare = "".join(code.split())
     if len(bare) < 400:
         return False
     literals = sum(len(m) for m in _LITERAL.findall(code))
@@ -151,7 +153,7 @@ def own_marks(text: str, path: str) -> str | None:
 
 def leaf_hash(text: str) -> int:
     """Hash of a script without comments and white space, so that a banner, a licence or line ends do not matter."""
-    bare = re.sub(r"\s+", "", uncommented(text).lstrip("﻿"))
+    bare = "".join(uncommented(text).lstrip("﻿").split())
     return int.from_bytes(hashlib.blake2b(bare.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
@@ -159,7 +161,7 @@ def _marks(text: str | None, path: str | None) -> dict:
     if text is None or path is None:
         return {"mark": None, "leaf": None, "weight": 0, "shown": path}
     script = path.rsplit(".", 1)[-1].lower() in DIALECTS
-    bare = len(re.sub(r"\s+", "", uncommented(text))) if script else 0
+    bare = len("".join(uncommented(text).split())) if script else 0
     return {"mark": own_marks(text, path), "leaf": leaf_hash(text) if script and bare else None, "weight": bare, "shown": path}
 
 
