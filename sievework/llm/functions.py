@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.files import per_file
-from sievework.llm.script_parser import DIALECTS, ParseError, Parser, script_errors
+from sievework.llm.script_parser import DIALECTS, ParseError, Parser, deep_enough, script_errors
 from sievework.llm.syntax import language
 from sievework.shared import table
 
@@ -385,6 +385,7 @@ _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\WA-Za-z\d_]+")
 
 
 def _parses(code: str) -> bool:
+    deep_enough(code)
     try:
         return not Parser(code, DIALECTS["tsx"], 1).parse()
     except ParseError:
@@ -461,20 +462,27 @@ def documented_functions(files: DataFrame) -> DataFrame:
 
     Files are read and scanned whole where they are stored; only files that yield a candidate are parsed for validity.
     Of repeated deliveries the last holds. Null texts or paths, other languages and invalid scripts give no rows; extra
-    columns are ignored.
+    columns are ignored. A file that could not be searched gives one row with ``error`` and without a function; ``error``
+    is null in all others.
     """
     scripts = files.where(language().isin(list(DIALECTS)))
     rows = per_file(scripts, _pairs, "pairs array<struct<name string, declaration_line int, doc string, code string>>", keep=["repo", "display_path"])
-    return rows.select("file_id", "repo", "display_path", F.inline("pairs"))
+    told = rows.where((F.size("pairs") > 0) | F.col("error").isNotNull())
+    return told.select("file_id", "repo", "display_path", "error", F.inline_outer("pairs")).select("file_id", "repo", "display_path", "name", "declaration_line", "doc", "code", "error")
 
 
 def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """All pairs of a function's code and its documentation."""
+    """All pairs of a function's code and its documentation, and in ``error`` the files that could not be searched."""
     return documented_functions(table(spark, folder, "files"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return documented_functions(table(spark, folder, "files")).select("file_id", "declaration_line").distinct()
+    """Where documented functions are declared. Its rows have no place for a file that could not be searched, and without
+    one it would pass for a file without such functions: it ends the query, and ``p1_pairs`` gives the rest."""
+    rows = documented_functions(table(spark, folder, "files"))
+    failed = F.raise_error(F.format_string("file %s (%s) could not be searched: %s", "file_id", "display_path", "error")).cast("int")
+    line = F.when(F.col("error").isNull(), F.col("declaration_line")).otherwise(failed)
+    return rows.select("file_id", line.alias("declaration_line")).distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs}
